@@ -102,8 +102,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", huge: int = H
     group have none. An empty table gives no rows.
     """
     prints = staged(fingerprints(df, key, text, huge), "exact-prints")
-    same = prints.groupBy("fingerprint", "n_bytes").agg(F.count("*").alias("_n"))
-    # a left side that is shuffled by fingerprint: a hot group is split by Spark's skew join
+    # counts are written before they are joined: only sides that are shuffled as they stand can be split where a group is hot
+    same = staged(prints.groupBy("fingerprint", "n_bytes").agg(F.count("*").alias("_n")), "exact-counts")
     suspects = staged(prints.join(same.where("_n > 1"), ["fingerprint", "n_bytes"]).select(key, "fingerprint", "n_bytes"), "exact-suspects")
     odd = staged(unequal(df, suspects, key, text), "exact-unequal")
     if odd.isEmpty():
@@ -111,7 +111,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", huge: int = H
     else:
         marked = prints.join(odd.withColumn("_odd", F.lit(True)), ["fingerprint", "n_bytes"], "left").withColumn("_split", F.when(F.col("_odd"), F.col("text_sha256")).otherwise("")).drop("_odd")
     by = ["fingerprint", "n_bytes", "_split"]
-    least = marked.groupBy(*by).agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size"))
+    least = staged(marked.groupBy(*by).agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size")), "exact-least")
     return marked.join(least, by).select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
