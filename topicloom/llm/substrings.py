@@ -18,7 +18,7 @@ from pyspark.sql.functions import arrow_udf
 
 from topicloom.llm.common import SPACES, staged
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM = 20, 4
 #: Bytes of text whose packed strings are gathered before they are sent, and bytes that are cut into words at once.
 FLUSH, BLOCK = 8 << 20, 1 << 20
 #: A minimiser is split into its windows when it leads a share of 1 / HEAVY of all packed strings, so at most HEAVY are.
@@ -91,7 +91,8 @@ def _flushes(batches):
 
 def _blob(entries) -> bytes:
     keys, starts, counts, strings = zip(*entries, strict=True)
-    head = [np.array(keys, np.int64), np.array(starts, np.int64), np.array(counts, np.int32), np.array([len(s) for s in strings], np.int32)]
+    # keys and starts as steps from the entry before, which are mostly small
+    head = [np.diff(np.array(keys, np.int64), prepend=0), np.diff(np.array(starts, np.int64), prepend=0), np.array(counts, np.int32), np.array([len(s) for s in strings], np.int32)]
     return zstandard.ZstdCompressor(level=3).compress(np.int64(len(keys)).tobytes() + b"".join(x.tobytes() for x in head) + b"".join(strings))
 
 
@@ -101,7 +102,7 @@ def _unblob(blob: bytes):
     for kind in (np.int64, np.int64, np.int32, np.int32):
         out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    return *out, data[at:]
+    return np.cumsum(out[0]), np.cumsum(out[1]), *out[2:], data[at:]
 
 
 def heavy_minimisers(df: DataFrame, window: int, gram: int) -> np.ndarray:
