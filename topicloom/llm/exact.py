@@ -83,7 +83,8 @@ def unequal(df: DataFrame, suspects: DataFrame, key: str = "doc_id", text: str =
     one copy of each chunk from a task.
     """
     whole = normal_space(F.col(text))
-    pairs = df.select(F.col(key), whole.alias("_text")).join(suspects.select(key, "fingerprint", "n_bytes").distinct(), key).where(F.octet_length("_text") == F.col("n_bytes"))
+    # merge: the same plan at every size
+    pairs = df.select(F.col(key), whole.alias("_text")).join(suspects.select(key, "fingerprint", "n_bytes").distinct().hint("merge"), key).where(F.octet_length("_text") == F.col("n_bytes"))
     many = F.greatest(F.lit(0), F.ceil(F.length("_text") / COMPARE).cast("int") - 1)
     part = (
         pairs.select("fingerprint", "n_bytes", "_text", F.explode(F.sequence(F.lit(0), many)).alias("_no"))
@@ -120,5 +121,5 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     found = groups(df, key, text)
     stay = found.where("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s")).distinct()
     rows = df.withColumn("_sha", F.sha2(normal_space(F.col(text)), 256))
-    both = rows.join(stay, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
+    both = rows.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
     return both.dropDuplicates([key, "_sha"]).drop("_sha")
