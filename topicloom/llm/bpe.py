@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -43,18 +44,20 @@ def safe_pieces(text: str, chunk: int = CHUNK_CHARS):
     yield text[at:]
 
 
-def encode_text(enc, text: str) -> list[int]:
-    ids: list[int] = []
+def encode_text(enc, text: str) -> np.ndarray:
+    """The ids of a whole text, four bytes each."""
+    ids: list[np.ndarray] = []
+    plain = lambda t: ids.append(enc.encode_to_numpy(t, disallowed_special=()))
     for piece in safe_pieces(text):
         at = 0
         for run in _LONG_RUN.finditer(piece):
             # the pattern's own rule: a run keeps its last character for what follows it in the text
             end = run.end() if run.end() == len(piece) else run.end() - 1
-            ids += enc.encode_ordinary(piece[at : run.start()])
-            ids += enc._encode_single_piece(piece[run.start() : end].encode())
+            plain(piece[at : run.start()])
+            ids.append(np.array(enc._encode_single_piece(piece[run.start() : end].encode()), np.uint32))
             at = end
-        ids += enc.encode_ordinary(piece[at:] if at else piece)
-    return ids
+        plain(piece[at:] if at else piece)
+    return (ids[0] if len(ids) == 1 else np.concatenate(ids)).astype(np.int32)
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -68,7 +71,9 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     @arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         enc = encoding(rank_file, pattern)
-        return pa.array([encode_text(enc, t.as_py() or "") for t in texts], pa.list_(pa.int32()))
+        lists = [encode_text(enc, t.as_py() or "") for t in texts]
+        ends = np.cumsum([0, *map(len, lists)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32()))
 
     return df.withColumn(out, ids(F.col(text)))
 
