@@ -68,6 +68,21 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def necessary_words(bigrams: list[str], threshold: float) -> list[str]:
+    """Words of which a match must hold one.
+
+    A match lacks at most |B| (1 - t/(2-t)) of the template's bigrams B, so words that stand in more of
+    them than that cannot all be missing. Greedy: words of most bigrams first, longer ones before shorter.
+    """
+    left, out, spare = set(bigrams), [], len(bigrams) * (1 - threshold / (2 - threshold)) + 1e-9
+    while len(bigrams) - len(left) <= spare:
+        words = sorted({w for b in left for w in b.split()})
+        best = max(words, key=lambda w: (len(w) > 3, sum(w in b.split() for b in left), len(w)))
+        left = {b for b in left if best not in b.split()}
+        out.append(best)
+    return out
+
+
 def unit_bigrams(unit: Column) -> Column:
     """Distinct word bigrams of a unit: A-Z lower-cased, all but a-z and 0-9 a separator."""
     plain = F.trim(F.regexp_replace(F.translate(unit, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
@@ -92,12 +107,15 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
     lit = {name: F.array(*[F.lit(b) for b in bs]) for name, bs in spread.items()}
 
     whole = F.coalesce(F.col(text), F.lit(""))
+    lower, may = F.lower(whole), F.lit(False)
+    for word in sorted({w for b in spread.values() for w in necessary_words(b, threshold)}):
+        may |= F.contains(lower, F.lit(word))
     units = F.array_distinct(F.concat(F.array(whole), F.split(whole, r"\n[\x20\x09-\x0D]*\n"), F.split(whole, r"\n")))
     least, most = min((len(b) for b in spread.values()), default=0) * low, max((len(b) for b in spread.values()), default=0) * high
     grams = F.filter(F.transform(units, unit_bigrams), lambda a: F.size(a).between(least, most))
     # a match needs |A and B| >= t/(2-t) |A|, and so as large a share of A among all templates' bigrams
     grams = F.filter(grams, lambda a: F.size(F.array_intersect(a, every)) >= low * F.size(a) - 1e-9)
-    held = df.select(F.col(key), F.array_distinct(F.transform(grams, lambda a: F.array_sort(a))).alias("_grams"))
+    held = df.select(F.col(key), F.when(may, F.array_distinct(F.transform(grams, lambda a: F.array_sort(a)))).otherwise(F.array().cast("array<array<string>>")).alias("_grams"))
 
     def against(name: str):
         def dice(a):
