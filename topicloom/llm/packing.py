@@ -12,6 +12,7 @@ one's place) is distributed.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections import defaultdict
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import staged
 
 CAPACITY = 2048
-#: Words (parts of a text between spaces) whose ids a worker remembers, and their longest.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Words (parts of a text between spaces) whose ids a worker remembers, in two generations of so many, and their longest.
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
 #: Characters that are cut into words at once.
 BLOCK = 1 << 20
 #: Pieces are ranked within so many blocks of source partitions.
@@ -46,9 +47,17 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word: all words are one pre-tokenized input, and each id tells its word."""
+        if not words:
+            return []
+        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+        ends = np.searchsorted(of, np.arange(len(words) + 1)) * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def __call__(self, text: str) -> bytes:
         out, at = [], 0
@@ -56,21 +65,30 @@ class WordIds:
             end = len(text) if len(text) - at <= BLOCK else text.find(" ", at + BLOCK)
             end = len(text) if end < 0 else end
             words = text[at:end].replace("\n", " ").split(" ")
-            new = [w for w in {*words} if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known = {}
-                    new = [*{*words}]
-                self.known.update(zip(new, self._encode(new), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, words)))
-            if any(len(w) > CACHE_CHARS for w in new):
-                for w in new:
-                    if len(w) > CACHE_CHARS:
-                        del self.known[w]
+            if len(self.known) > CACHE_WORDS:
+                self.known, self.older = {}, self.known
+            known, older, new, long = self.known, self.older, [], []
+            for w in {*words}.difference(known):
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    (new if len(w) <= CACHE_CHARS else long).append(w)
+            known.update(zip(new, self._encode(new), strict=True))
+            if long:
+                known.update(zip(long, self._encode(long), strict=True))
+            out.append(b"".join(map(known.__getitem__, words)))
+            for w in long:
+                del known[w]
             at = end
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each worker, so that later tasks know the words of earlier ones."""
+    return WordIds(path)
+
+
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenises whole texts and cuts those over ``capacity`` ids: ``(key, piece, start, length, ids_crc32[, ids])``.
 
@@ -80,7 +98,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     schema = f"{key} {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def cut(batches):
-        ids_of, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids_of, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             cols = defaultdict(list)
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
