@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,7 +15,7 @@ from topicloom.llm.common import components, staged
 #: missed by all of 16 tables with probability 7e-5.
 TABLES, BITS, COSINE = 16, 12, 0.98
 #: Vectors that one task compares with as many others; larger buckets are split into pairs of such blocks.
-BLOCK = 1024
+BLOCK = 512
 
 
 def planes(dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 11) -> np.ndarray:
@@ -27,22 +28,20 @@ def signatures(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return side @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _verify(a: pd.DataFrame, b: pd.DataFrame | None, table: int, tables: int, bits: int, cosine: float):
+def _verify(x: np.ndarray, y: np.ndarray | None, table: int, tables: int, bits: int, cosine: float):
     """Links between the rows of two blocks (or within one) that no earlier table shows: ``(i, j)`` pairs in blocks of bounded size."""
-    x = np.stack(a["vector"].to_numpy()).astype(np.float64)
-    y = x if b is None else np.stack(b["vector"].to_numpy()).astype(np.float64)
-    sx = signatures(x, tables, bits)
-    sy = sx if b is None else signatures(y, tables, bits)
+    one = y is None
+    y = x if one else y
     nx, ny = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (x, y))
     for at in range(0, len(x), 256):
         s = slice(at, at + 256)
         near = (x[s] @ y.T) / (nx[s, None] * ny[None]) >= cosine
-        if b is None:
+        if one:
             near &= np.arange(at, at + near.shape[0])[:, None] < np.arange(len(y))[None]
         i, j = np.nonzero(near)
         i += at
-        if table:
-            new = ~(sx[i, :table] == sy[j, :table]).any(1)
+        if table and len(i):
+            new = ~(signatures(x[i], tables, bits)[:, :table] == signatures(y[j], tables, bits)[:, :table]).any(1)
             i, j = i[new], j[new]
         yield i, j
 
@@ -106,28 +105,56 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     )
     placed = placed.join(classes.select(F.col("id").alias("_id"), "vector"), F.col("id") == F.col("_id")).drop("_id")
 
-    def checked(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["t"].iloc[0])
-        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
-            a, b = pdf.reset_index(drop=True), None
-            every = a
+    def links(t, x, y, own, ids, n, vectors):
+        """Counts and a forest of one pair of blocks, as rows (a, b, n)."""
+        v, left = vectors.astype(np.float64), own == x
+        if x == y:
+            first, a, b = np.arange(len(ids)), v, None
+            second = first
         else:
-            left = pdf["_i"] == pdf["x"]
-            a, b = pdf[left].reset_index(drop=True), pdf[~left].reset_index(drop=True)
-            every = pd.concat([a, b], ignore_index=True)
-        if not len(a) or b is not None and not len(b):
-            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
-        shift, total, n, tree = (0 if b is None else len(a)), np.zeros(len(every), np.int64), every["n"].to_numpy(), []
+            first, second = np.nonzero(left)[0], np.nonzero(~left)[0]
+            a, b = v[first], v[second]
+        if not len(first) or not len(second):
+            return []
+        total, tree = np.zeros(len(ids), np.int64), []
         for i, j in _verify(a, b, t, tables, bits, cosine):
-            j = j + shift
+            i, j = first[i], second[j]
             np.add.at(total, i, n[j])
             np.add.at(total, j, n[i])
             tree.append(np.stack([i, j], 1))
-        ids, some = every["id"].to_numpy(), np.nonzero(total)[0]
-        edges = [*_forest((p for x in tree for p in x.tolist()), len(every))]
-        return pd.DataFrame({"a": [*ids[some], *(ids[i] for i, _ in edges)], "b": [*ids[some], *(ids[j] for _, j in edges)], "n": [*total[some], *[0] * len(edges)]}, dtype="int64")
-
-    found = staged(placed.groupBy("g", "d", "t", "s", "x", "y").applyInPandas(checked, "a bigint, b bigint, n bigint"), "vector-links")
+        if not total.any():
+            return []
+        some = np.nonzero(total)[0]
+        edges = [(ids[i], ids[j], 0) for i, j in _forest((p for e in tree for p in e.tolist()), len(ids))]
+        return [*zip(ids[some], ids[some], total[some], strict=True), *edges]
+
+    def checked(batches):
+        """Rows come sorted by pair of blocks; one pair is in memory at a time."""
+        name, held = None, []
+
+        def flush():
+            own, ids, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+            out = np.array(links(name[2], name[4], name[5], own, ids, n, np.concatenate([h[3] for h in held])), np.int64).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, k], pa.int64()) for k in range(3)], ["a", "b", "n"])
+
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            keys = np.stack([c.astype(np.int64) for c in cols[:6]], 1)
+            cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1, [len(keys)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if hi == lo:
+                    continue
+                if tuple(keys[lo]) != name and held:
+                    yield flush()
+                    held = []
+                name = tuple(keys[lo].tolist())
+                held.append((cols[6][lo:hi], cols[7][lo:hi], cols[8][lo:hi], np.stack(list(batch.column(9).slice(lo, hi - lo).to_numpy(zero_copy_only=False)))))
+        if held:
+            yield flush()
+
+    by = ["g", "d", "t", "s", "x", "y"]
+    placed = placed.select(F.xxhash64("g").alias("g"), *by[1:], "_i", "id", "n", "vector").repartition(*by).sortWithinPartitions(*by)
+    found = staged(placed.mapInArrow(checked, "a bigint, b bigint, n bigint"), "vector-links")
     linked = found.where("a = b").groupBy("a").agg(F.sum("n").alias("m"))
     roots = components(found.where("a <> b").select("a", "b"), "vectors")
     of = classes.join(linked, F.col("id") == F.col("a"), "left").join(roots, F.col("id") == F.col("node"), "left")
