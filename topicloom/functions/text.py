@@ -54,14 +54,23 @@ def valid_words(words: Column) -> Column:
     return F.filter(words, lambda x: F.length(x) > 1)
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Space-joined runs of ``n`` words; none if there are fewer."""
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(words: Column, n: int) -> Column:
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams(words: Column, n: int) -> Column:
+    """Space-joined runs of ``n`` words; none if there are fewer."""
+    return let(words, lambda w: _runs(w, n))
+
+
 def ngrams_up_to(words: Column, most: int = 4) -> Column:
-    return F.flatten(F.array(*[ngrams(words, n) for n in range(1, most + 1)]))
+    return let(words, lambda w: F.flatten(F.array(*[_runs(w, n) for n in range(1, most + 1)])))
 
 
 def chunks(words: Column, boundary) -> Column:

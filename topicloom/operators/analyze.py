@@ -21,7 +21,7 @@ def unreachable(faqs: DataFrame, stop=(), synonyms=None, coverage: int = COVERAG
     plain = lambda c: F.array_join(text.without(text.analyzer_normalize(c), stop), " ")
     parsed = F.transform("path", lambda t, i: F.struct(text.parse_term(t, synonyms).alias("t"), i.alias("i")))
     shown = F.filter(parsed, lambda x: F.coalesce(x.t.usage != "organizer", F.lit(True)))
-    names = F.transform(F.filter(shown, lambda x: x.i > 0), lambda x: plain(x.t.name))
+    names = F.transform(F.filter(shown, lambda x: x.i > 0), lambda x: plain(x.t["name"]))
     extra = F.flatten(F.transform(shown, lambda x: F.transform(x.t.synonyms, plain)))
     tags = F.filter(F.transform("tags", plain), lambda x: x != "")
     path = F.array_distinct(F.concat(names, tags))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,9 @@ def empty_nodes_to_tags(assigned: DataFrame) -> DataFrame:
     taken = base.select(F.col("path").alias("prefix")).distinct()
     gone = prefixes.join(taken, "prefix", "left_anti").groupBy("path").agg(F.collect_set("k").alias("_gone"))
     both = base.join(gone, "path", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    n = F.size("terms")
-    stays = F.filter("terms", lambda t, i: ~F.array_contains("_gone", n - i))
-    leaves = F.filter("terms", lambda t, i: F.array_contains("_gone", n - i))
+    of = lambda ks: F.transform(ks, lambda k: F.element_at("path", k))
+    stays = F.reverse(of(F.filter(F.sequence(F.lit(1), F.size("path")), lambda k: ~F.array_contains("_gone", k))))
+    leaves = of(F.reverse(F.array_sort("_gone")))
     return both.select(*[c for c in assigned.columns if c not in ("terms", "tags")], stays.alias("terms"), F.concat("tags", leaves).alias("tags"))
 
 
@@ -35,4 +35,5 @@ def collapse_thin_nodes(assigned: DataFrame, least: int = 2) -> DataFrame:
 
 
 def optimise(assigned: DataFrame) -> DataFrame:
-    return collapse_thin_nodes(empty_nodes_to_tags(assigned))
+    """Both steps. Each reads its input several times, so inputs are kept; lost blocks are computed again."""
+    return collapse_thin_nodes(empty_nodes_to_tags(assigned.persist()).persist())
