@@ -26,7 +26,9 @@ from topicloom.llm.common import staged
 
 CAPACITY = 2048
 #: Words (parts of a text between spaces) whose ids a worker remembers, in two generations of so many, and their longest.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 800_000, 48
+#: Stands between words that are encoded together.
+_MARK = "\x01"
 #: Characters that are cut into words at once.
 BLOCK = 1 << 20
 #: Pieces are ranked within so many blocks of source partitions.
@@ -46,41 +48,67 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: all words are one pre-tokenized input, and each id tells its word."""
-        if not words:
-            return []
-        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-        ends = np.searchsorted(of, np.arange(len(words) + 1)) * 4
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    def __call__(self, text: str) -> bytes:
-        out, at = [], 0
-        while at < len(text):
-            end = len(text) if len(text) - at <= BLOCK else text.find(" ", at + BLOCK)
-            end = len(text) if end < 0 else end
-            words = text[at:end].replace("\n", " ").split(" ")
+    def _slow(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words to ``known``: all are encoded as one text, with a mark between them whose one id tells where each ends."""
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.nonzero(ids == self.mark)[0] if self.mark is not None else []
+        if len(stops) != len(new) - 1:  # the mark stands in a word, or has not one id
+            known.update(zip(new, self._slow(new), strict=True))
+            return
+        raw, stops = ids.tobytes(), (stops * 4).tolist()
+        known.update(zip(new, [raw[i:j] for i, j in zip([0, *[x + 4 for x in stops]], [*stops, len(raw)], strict=True)], strict=True))
+
+    def _blocks(self, texts):
+        """``(number of the text, words)`` of each block of each text."""
+        for no, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = len(text) if len(text) - at <= BLOCK else text.find(" ", at + BLOCK)
+                end = len(text) if end < 0 else end
+                yield no, text[at:end].replace("\n", " ").split(" ")
+                at = end
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that are new to some of about BLOCK characters of texts are learned together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+
+        def flush():
             if len(self.known) > CACHE_WORDS:
                 self.known, self.older = {}, self.known
-            known, older, new, long = self.known, self.older, [], []
-            for w in {*words}.difference(known):
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    (new if len(w) <= CACHE_CHARS else long).append(w)
-            known.update(zip(new, self._encode(new), strict=True))
-            if long:
-                known.update(zip(long, self._encode(long), strict=True))
-            out.append(b"".join(map(known.__getitem__, words)))
-            for w in long:
-                del known[w]
-            at = end
-        return b"".join(out)
+            known = self.known
+            missing = {w for _, words in held for w in {*words} if w not in known}
+            long = [w for w in missing if len(w) > CACHE_CHARS]
+            self._learn([w for w in missing if len(w) <= CACHE_CHARS])
+            own = dict(zip(long, self._slow(long), strict=True))
+            for no, words in held:
+                out[no].append(b"".join([known[w] if w in known else own[w] for w in words] if own else map(known.__getitem__, words)))
+
+        for no, words in self._blocks(texts):
+            held.append((no, words))
+            size += len(words)
+            if size > BLOCK // 4:
+                flush()
+                held, size = [], 0
+        flush()
+        return [b"".join(x) for x in out]
 
 
 @functools.lru_cache(maxsize=2)
@@ -101,8 +129,9 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         ids_of, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             cols = defaultdict(list)
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(t.as_py() or "") + end
+            raw = ids_of([t.as_py() or "" for t in batch.column(1)])
+            for k, ids in zip(batch.column(0).to_pylist(), raw, strict=True):
+                ids += end
                 for no, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for name, x in (("k", k), ("piece", no), ("start", at // 4), ("length", len(part) // 4), ("crc", zlib.crc32(part))):

@@ -20,11 +20,11 @@ from topicloom.llm.common import SPACES, staged
 
 WINDOW, GRAM = 20, 4
 #: Bytes of text whose packed strings are gathered before they are sent, and bytes that are cut into words at once.
-FLUSH, BLOCK = 8 << 20, 1 << 20
+FLUSH, BLOCK = 4 << 20, 1 << 20
 #: A minimiser is split into its windows when it leads a share of 1 / HEAVY of all packed strings, so at most HEAVY are.
 HEAVY = 4096
 #: Buckets for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 2
 _TO_SPACE = bytes.maketrans(SPACES, b" " * len(SPACES))
 _LAST = np.iinfo(np.int64).max
 _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64) | 1 for i in range(64)], np.uint64)
