@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from topicloom.llm.common import bounded_batches
+
 #: Texts are cut near multiples of so many characters before the regex runs over them.
 CHUNK_CHARS = 1 << 16
 _SPACE = r"\p{White_Space}"
@@ -68,6 +70,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     already named ``out`` is replaced.
     """
 
+    bounded_batches(df.sparkSession)
+
     @arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         enc = encoding(rank_file, pattern)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import staged
+from topicloom.llm.common import bounded_batches, staged
 
 CAPACITY = 2048
 #: Words (parts of a text between spaces) whose ids a worker remembers, in two generations of so many, and their longest.
@@ -122,6 +122,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     A document's ids end with ``end_id``, so a null or empty text is one piece of one id.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType
     schema = f"{key} {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import staged
+from topicloom.llm.common import bounded_batches, staged
 
 #: Bounds of the training sample, the rows whose hashed ids are smallest: a documented parameter.
 N_POSITIVE, N_UNLABELLED = 4000, 8000
@@ -140,6 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = N_POSITIVE, n_un
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``, the model's score of the whole text (0 to 1; null as empty). Nothing but the text enters it."""
 
+    bounded_batches(docs.sparkSession)
+
     @arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         x = np.array([features(t.as_py()) for t in texts], np.float64).reshape(-1, WIDTH)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import SPACE_CLASS, components, staged
+from topicloom.llm.common import bounded_batches, components, staged
 
 BITS, THRESHOLD, SHINGLE = 64, 3, 3
 #: Lengths of the blocks: 12 of 5 bits and one of 4, so 2^13 anchors of covering radius 26.
@@ -187,6 +187,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: in
     zero) are linked like any other. Null keys take part, but only a group without other keys has a null
     component. An empty table gives no rows.
     """
+    bounded_batches(df.sparkSession)
     rows = staged(with_fingerprints(df.select(F.col(key), F.col(text)), text, "simhash", shingle).select(key, "simhash"), "simhash")
     least = rows.groupBy("simhash").agg(F.min(key).alias("_least"))
     found = staged(components(links(rows, threshold), "simhash"), "simhash-components")
@@ -199,7 +200,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: in
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The row with the smallest key of each group, with all its columns; of rows that repeat that key, one."""
     stay = groups(df, key, text, threshold, shingle).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    return df.join(stay, F.col(key).eqNullSafe(F.col("_k")), "left_semi").dropDuplicates([key])
+    # merge: the same plan at every size
+    return df.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col("_k")), "left_semi").dropDuplicates([key])
 
 
 def hexadecimal(column: str = "simhash") -> F.Column:

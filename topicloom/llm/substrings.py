@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import SPACES, staged
+from topicloom.llm.common import SPACES, bounded_batches, staged
 
 WINDOW, GRAM = 20, 4
 #: Bytes of text whose packed strings are gathered before they are sent, and bytes that are cut into words at once.
@@ -230,6 +230,7 @@ def _repeats(blobs: list[bytes], window: int):
 def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
     """Runs ``(key, start, windows)`` of windows whose word sequence also starts earlier: at a smaller key, or earlier in the document."""
     spark = df.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     heavy = heavy_minimisers(rows, window, gram)
