@@ -39,6 +39,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has (in any case): names with it clash with nothing."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sends whole texts to Python in batches of at most so many rows (a session setting, lowered only)."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import normal_space, staged
+from topicloom.llm.common import normal_space, prefix, staged
 
 #: Fixed value: the largest prime below 2^120.
 PRIME = 2**120 - 119
@@ -118,8 +118,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", huge: int = H
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, one of each group, with their columns as they were."""
-    found = groups(df, key, text)
-    stay = found.where("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s")).distinct()
-    rows = df.withColumn("_sha", F.sha2(normal_space(F.col(text)), 256))
-    both = rows.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
-    return both.dropDuplicates([key, "_sha"]).drop("_sha")
+    p = prefix(df)
+    stay = groups(df, key, text).where("kept").select(F.col(key).alias(f"{p}k"), F.col("text_sha256").alias(f"{p}s")).distinct()
+    rows = df.withColumn(f"{p}sha", F.sha2(normal_space(F.col(text)), 256))
+    both = rows.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col(f"{p}k")) & (F.col(f"{p}sha") == F.col(f"{p}s")), "left_semi")
+    return both.dropDuplicates([key, f"{p}sha"]).drop(f"{p}sha")

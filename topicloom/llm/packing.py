@@ -193,6 +193,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Dat
     The pieces of a sequence lie gapless from offset 0. Order within equal lengths follows the key and
     piece in each source partition; repeated rows are packed each. No rows give no rows.
     """
+    names, own_names = parts.columns, {key: "_key", "piece": "piece", "length": "length"}
+    parts = parts.toDF(*[own_names.get(c, f"c{i}") for i, c in enumerate(names)])
     rows = staged(parts.withColumn("_source", (F.spark_partition_id() % MOST_SOURCES).cast("int")), "packing")
     spark = rows.sparkSession
     counts = staged(rows.groupBy("length", "_source").count(), "packing-counts")
@@ -205,11 +207,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Dat
     runs = spark.createDataFrame([*by.items()], "length bigint, _runs array<struct<lo:bigint,hi:bigint,seq:bigint,at:bigint>>")
     before = Window.partitionBy("length").orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_source", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_source").orderBy(key, "piece")
+    own = Window.partitionBy("length", "_source").orderBy("_key", "piece")
     ranked = rows.withColumn("_own", F.row_number().over(own) - 1).join(starts, ["length", "_source"]).withColumn("_rank", F.col("_before") + F.col("_own"))
     run = F.filter("_runs", lambda x: (x.lo <= F.col("_rank")) & (F.col("_rank") < x.hi))[0]
     placed = ranked.join(F.broadcast(runs), "length").withColumn("_run", run)  # runs are bounded by the capacity
-    return placed.withColumn("sequence_id", F.col("_run.seq") + F.col("_rank") - F.col("_run.lo")).withColumn("offset", F.col("_run.at")).drop("_source", "_own", "_before", "_rank", "_runs", "_run")
+    return placed.select(
+        *[F.col(own_names.get(c, f"c{i}")).alias(c) for i, c in enumerate(names)],
+        (F.col("_run.seq") + F.col("_rank") - F.col("_run.lo")).alias("sequence_id"), F.col("_run.at").alias("offset"),
+    )
 
 
 def sequences(packed: DataFrame) -> DataFrame:

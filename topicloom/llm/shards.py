@@ -65,7 +65,8 @@ def shuffle(df: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
     executor changes nothing; pass narrow rows (ids, sizes). Repeated rows, null ids and any column
     names but ``shard`` and ``slot`` are fine; no rows give no rows.
     """
-    rows = staged(df.withColumn("_source", (F.spark_partition_id() % MOST_SOURCES).cast("int")).withColumn("_row", F.monotonically_increasing_id()), "shards")
+    names = df.columns
+    rows = staged(df.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_source", (F.spark_partition_id() % MOST_SOURCES).cast("int")).withColumn("_row", F.monotonically_increasing_id()), "shards")
     spark = rows.sparkSession
     counts = sorted((r["_source"], r["count"]) for r in rows.groupBy("_source").count().collect())  # MOST_SOURCES rows at most
     sizes = shard_sizes(sum(n for _, n in counts), shards)
@@ -84,9 +85,10 @@ def shuffle(df: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("shard", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     again = Window.partitionBy("shard", "_block").orderBy(F.xxhash64("_row", F.lit(seed + 2)), "_row")
-    return (
+    done = (
         sent.withColumn("_place", F.row_number().over(again) - 1)
         .join(F.broadcast(starts), ["shard", "_block"])
         .withColumn("slot", (F.col("_start") + F.col("_place")).cast("long"))
         .drop("_block", "_row", "_place", "_start")
     )
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "shard", "slot")

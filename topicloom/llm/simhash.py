@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import bounded_batches, components, staged
+from topicloom.llm.common import bounded_batches, components, prefix, staged
 
 BITS, THRESHOLD, SHINGLE = 64, 3, 3
 #: Lengths of the blocks: 12 of 5 bits and one of 4, so 2^13 anchors of covering radius 26.
@@ -199,9 +199,10 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: in
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The row with the smallest key of each group, with all its columns; of rows that repeat that key, one."""
-    stay = groups(df, key, text, threshold, shingle).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
+    p = prefix(df)
+    stay = groups(df, key, text, threshold, shingle).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(f"{p}k")).distinct()
     # merge: the same plan at every size
-    return df.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col("_k")), "left_semi").dropDuplicates([key])
+    return df.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col(f"{p}k")), "left_semi").dropDuplicates([key])
 
 
 def hexadecimal(column: str = "simhash") -> F.Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import SPACES, bounded_batches, staged
+from topicloom.llm.common import SPACES, bounded_batches, prefix, staged
 
 WINDOW, GRAM = 20, 4
 #: Bytes of text whose packed strings are gathered before they are sent, and bytes that are cut into words at once.
@@ -287,9 +287,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     Words are runs of bytes other than white space; null and empty texts have none. Rows that share
     a key count as one document: a repeated row is treated as the row that it repeats, and rows of one
     key with different texts share the places that are removed. A null key counts as the largest.
-    Keys are integers. An empty table gives no rows.
+    Keys are integers. Columns of ``df`` that are named like the new ones are replaced. An empty
+    table gives no rows.
     """
-    runs = repeated_windows(df, key, text, window, gram).select(F.col("key").alias("_k"), F.struct("start", (F.col("start") + F.col("windows") + (window - 1)).alias("end")).alias("_r"))
-    of = runs.groupBy("_k").agg(F.collect_list("_r").alias("_runs"))  # of one document
-    both = df.join(of, F.col(key).cast("bigint").eqNullSafe(F.col("_k")), "left")
-    return both.withColumn("_out", arrow_udf(_kept, "struct<n_words:bigint,n_removed:bigint,kept:string>")(F.col(text), F.col("_runs"))).select(*[df[c] for c in df.columns], F.col("_out.n_words").alias("n_words"), F.col("_out.n_removed").alias("n_removed"), F.col("_out.kept").alias("kept"))
+    p, new = prefix(df), ("n_words", "n_removed", "kept")
+    span = F.struct("start", (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
+    runs = repeated_windows(df, key, text, window, gram)
+    of = runs.groupBy(F.col("key").alias(f"{p}k")).agg(F.collect_list(span).alias(f"{p}runs"))  # of one document
+    both = df.join(of, F.col(key).cast("bigint").eqNullSafe(F.col(f"{p}k")), "left")
+    both = both.withColumn(f"{p}out", arrow_udf(_kept, "struct<n_words:bigint,n_removed:bigint,kept:string>")(F.col(text), F.col(f"{p}runs")))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[F.col(f"{p}out.{c}").alias(c) for c in new])

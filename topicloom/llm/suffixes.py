@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import staged
+from topicloom.llm.common import prefix, staged
 
 THRESHOLD, REACH, GRAM = 400, 300, 32
 #: Window starts of a document that are handled at once; a digit of the last passes, in bytes.
@@ -238,10 +238,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     Every byte that a repeated string of ``threshold`` bytes covers is removed, in all its places.
     ``n_spans`` counts maximal removed runs; ``kept`` holds the other bytes (a cut may fall inside a
     character). Null and empty texts have no bytes. A repeated row is another place of its strings.
-    Rows that share a key with different texts share the places that are removed. An empty table
-    gives no rows.
+    Rows that share a key with different texts share the places that are removed. Columns of ``df``
+    that are named like the new ones are replaced. An empty table gives no rows.
     """
     runs = repeated_windows(df, key, text, threshold, **options)
-    of = runs.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") - 1 + threshold).alias("end"))).alias("_runs"))  # of one document
-    both = df.join(of, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_out", _cutter(threshold)(F.col(text), F.col("_runs")))
-    return both.select(*[df[c] for c in df.columns], *[F.col(f"_out.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
+    p, new = prefix(df), ("n_bytes", "n_removed", "n_spans", "kept")
+    span = F.struct("start", (F.col("start") + F.col("windows") - 1 + threshold).alias("end"))
+    of = runs.groupBy(F.col("key").alias(f"{p}k")).agg(F.collect_list(span).alias(f"{p}runs"))  # of one document
+    both = df.join(of, F.col(key).eqNullSafe(F.col(f"{p}k")), "left").withColumn(f"{p}out", _cutter(threshold)(F.col(text), F.col(f"{p}runs")))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[F.col(f"{p}out.{c}").alias(c) for c in new])
