@@ -95,11 +95,12 @@ class WordIds:
                 self.known, self.older = {}, self.known
             known = self.known
             missing = {w for _, words in held for w in {*words} if w not in known}
-            long = [w for w in missing if len(w) > CACHE_CHARS]
-            self._learn([w for w in missing if len(w) <= CACHE_CHARS])
-            own = dict(zip(long, self._slow(long), strict=True))
+            self._learn([*missing])
             for no, words in held:
-                out[no].append(b"".join([known[w] if w in known else own[w] for w in words] if own else map(known.__getitem__, words)))
+                out[no].append(b"".join(map(known.__getitem__, words)))
+            for w in missing:
+                if len(w) > CACHE_CHARS:  # such words hardly come again
+                    del known[w]
 
         for no, words in self._blocks(texts):
             held.append((no, words))
