@@ -42,7 +42,8 @@ class WordIds:
     encoding the whole text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.most = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,7 +92,7 @@ class WordIds:
         held, size = [], 0
 
         def flush():
-            if len(self.known) > CACHE_WORDS:
+            if len(self.known) > self.most:
                 self.known, self.older = {}, self.known
             known = self.known
             missing = {w for _, words in held for w in {*words} if w not in known}
@@ -112,23 +113,24 @@ class WordIds:
         return [b"".join(x) for x in out]
 
 
-@functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str, cache_words: int) -> WordIds:
     """One for each worker, so that later tasks know the words of earlier ones."""
-    return WordIds(path)
+    return WordIds(path, cache_words)
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenises whole texts and cuts those over ``capacity`` ids: ``(key, piece, start, length, ids_crc32[, ids])``.
 
     A document's ids end with ``end_id``, so a null or empty text is one piece of one id.
+    ``cache_words`` bounds what a worker remembers (some 200 bytes a word, twice) and changes no result.
     """
     bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType
     schema = f"{key} {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def cut(batches):
-        ids_of, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids_of, end = word_ids(tokenizer, cache_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             cols = defaultdict(list)
             raw = ids_of([t.as_py() or "" for t in batch.column(1)])
