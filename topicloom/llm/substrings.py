@@ -190,15 +190,28 @@ def _repeats(blobs: list[bytes], window: int):
         if len(m):
             h, lo, hi = _hashed(data, m, size_, window)
             keys.append(np.repeat(k, m))
-            starts.append(np.repeat(s, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+            starts.append(np.repeat(s, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))  # as long as a text may be
             hashes.append(h)
-            spans.append(np.stack([np.full(len(h), len(texts) - 1, np.int64), lo, hi], 1))
+            spans.append(np.stack([np.full(len(h), len(texts) - 1, np.int32), lo.astype(np.int32), hi.astype(np.int32)], 1))
         yield key[done], start[done], n[done]
     if not keys:
         return
-    k, s, h, span = (np.concatenate(x) for x in (keys, starts, hashes, spans))
+    h = np.concatenate(hashes)
+    hashes.clear()
+    # windows whose hash is alone are done; the rest is sorted by hash, key and place
+    order = np.argsort(h)
+    h = h[order]
+    same = np.concatenate([[False], h[1:] == h[:-1]])
+    met_again = same | np.append(same[1:], False)
+    order, h = order[met_again], h[met_again]
+    take = lambda parts: np.concatenate(parts)[order]
+    k, s, span = take(keys), take(starts), take(spans)
+    for parts in (keys, starts, spans):
+        parts.clear()
     order = np.lexsort((s, k, h))
     k, s, h, span = k[order], s[order], h[order], span[order]
+    if not len(h):
+        return
     same = np.concatenate([[False], h[1:] == h[:-1]])
     later = same.copy()
     text = lambda i: texts[span[i, 0]][span[i, 1] : span[i, 2]]
