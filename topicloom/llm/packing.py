@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches, staged
+from topicloom.llm.common import bounded_batches, remembered, staged
 
 CAPACITY = 2048
 #: Words (parts of a text between spaces) whose ids a worker remembers, in two generations of so many, and their longest.
@@ -119,6 +119,15 @@ def word_ids(path: str, cache_words: int) -> WordIds:
     return WordIds(path, cache_words)
 
 
+def _clear() -> bool:
+    some = word_ids.cache_info().currsize > 0
+    word_ids.cache_clear()
+    return some
+
+
+remembered.append(_clear)
+
+
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenises whole texts and cuts those over ``capacity`` ids: ``(key, piece, start, length, ids_crc32[, ids])``.
 

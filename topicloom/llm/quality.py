@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import bounded_batches, staged
+from topicloom.llm.common import bounded_batches, forget, staged
 
 #: Bounds of the training sample, the rows whose hashed ids are smallest: a documented parameter.
 N_POSITIVE, N_UNLABELLED = 4000, 8000
@@ -129,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = N_POSITIVE, n_un
 
     @arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
+        forget()
         return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "_kind", packed("text").alias("x")).dropDuplicates(["doc_id"]).collect()
@@ -144,6 +145,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     @arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
+        forget()
         x = np.array([features(t.as_py()) for t in texts], np.float64).reshape(-1, WIDTH)
         return pa.array(model.score(x), pa.float64())
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import bounded_batches, components, prefix, staged
+from topicloom.llm.common import bounded_batches, components, forget, prefix, staged
 
 BITS, THRESHOLD, SHINGLE = 64, 3, 3
 #: Lengths of the blocks: 12 of 5 bits and one of 4, so 2^13 anchors of covering radius 26.
@@ -60,6 +60,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", out: str = "simhash", s
 
     @arrow_udf("bigint")
     def hashed(texts: pa.Array) -> pa.Array:
+        forget()
         return pa.array(_signed(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)), pa.int64())
 
     return df.withColumn(out, hashed(F.col(text)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import SPACES, bounded_batches, prefix, staged
+from topicloom.llm.common import SPACES, bounded_batches, forget, prefix, staged
 
 WINDOW, GRAM = 20, 4
 #: Bytes of text whose packed strings are gathered before they are sent, and bytes that are cut into words at once.
@@ -76,6 +76,7 @@ def _runs(rows, window: int, gram: int):
 
 def _flushes(batches):
     """Lists of ``(key, text)`` in the order of keys, of about FLUSH bytes each; a null key counts as the largest."""
+    forget()
     rows, size = [], 0
     for batch in batches:
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
