@@ -309,5 +309,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     runs = repeated_windows(df, key, text, window, gram)
     of = runs.groupBy(F.col("key").alias(f"{p}k")).agg(F.collect_list(span).alias(f"{p}runs"))  # of one document
     both = df.join(of, F.col(key).cast("bigint").eqNullSafe(F.col(f"{p}k")), "left")
-    both = both.withColumn(f"{p}out", arrow_udf(_kept, "struct<n_words:bigint,n_removed:bigint,kept:string>")(F.col(text), F.col(f"{p}runs")))
+    # called nondeterministic, so that a filter on its results doesn't evaluate it a second time, in a second worker
+    cut = arrow_udf(_kept, "struct<n_words:bigint,n_removed:bigint,kept:string>").asNondeterministic()
+    both = both.withColumn(f"{p}out", cut(F.col(text), F.col(f"{p}runs")))
     return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[F.col(f"{p}out.{c}").alias(c) for c in new])
