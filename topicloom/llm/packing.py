@@ -216,7 +216,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Dat
     by = defaultdict(list)
     for length, *run in plan(histogram, capacity):
         by[length].append(tuple(run))
-    runs = spark.createDataFrame([*by.items()], "length bigint, _runs array<struct<lo:bigint,hi:bigint,seq:bigint,at:bigint>>")
+    run_type = pa.struct([(x, pa.int64()) for x in ("lo", "hi", "seq", "at")])
+    columns = [pa.array([*by], pa.int64()), pa.array([[dict(zip(("lo", "hi", "seq", "at"), r, strict=True)) for r in rs] for rs in by.values()], pa.list_(run_type))]
+    runs = spark.createDataFrame(pa.table(columns, ["length", "_runs"]))  # an Arrow table, which needs no Python workers
     before = Window.partitionBy("length").orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_source", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("length", "_source").orderBy("_key", "piece")
