@@ -81,8 +81,27 @@ g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) gone FROM r
 j AS (SELECT w.doc_id, ws, coalesce(gone, []) gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
 SELECT doc_id, len(ws)::BIGINT n_words, len(gone)::BIGINT n_removed,
   sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) kept_sha256 FROM j""",
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END e FROM embeddings),
+l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) n FROM l GROUP BY a), m AS (SELECT a, min(b) b FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(m.b, vec_id)) component_id, vec_id <= coalesce(m.b, vec_id) kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""",
     "op6_exact_dedup": """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') s FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY s) keep_id, count(*) OVER (PARTITION BY s) group_size,
   doc_id = min(doc_id) OVER (PARTITION BY s) kept, sha256(s) text_sha256 FROM t""",
+    "op10_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) t FROM documents),
+p AS (SELECT doc_id, i, md5(t[i:i + 399]) s FROM d, LATERAL (SELECT unnest(range(1, octet_length(t) - 398)) i)),
+q AS (SELECT s FROM p GROUP BY s HAVING count(*) > 1),
+x AS (SELECT doc_id, i, max(i + 400) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) e FROM p SEMI JOIN q USING (s)),
+g AS (SELECT doc_id, i, sum(CASE WHEN e >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) k FROM x),
+r AS (SELECT doc_id, min(i) lo, max(i) + 400 hi FROM g GROUP BY doc_id, k),
+c AS (SELECT doc_id, lo, hi, lag(hi, 1, 1) OVER (PARTITION BY doc_id ORDER BY lo) past FROM r),
+h AS (SELECT doc_id, sum(hi - lo)::BIGINT n, count(*) m, string_agg(hex(t[past:lo - 1]), '' ORDER BY lo) || hex(any_value(t)[max(hi):]) k FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT n_bytes, coalesce(n, 0) n_removed, coalesce(m, 0) n_spans, sha256(coalesce(unhex(k), t)) kept_sha256
+FROM d LEFT JOIN h USING (doc_id)""",
 }
