@@ -281,8 +281,8 @@ def merge_synonyms(spark, d):
 
 def word2vec_synonyms(spark, d):
     c = table(spark, d, "conversations").select("text")
-    vectors = synonyms.train_vectors(c, size=16, min_count=5).persist()
-    return synonyms.suggestions(synonyms.nearest(vectors.select("word").orderBy("word").limit(20), vectors))
+    vectors = synonyms.train_vectors(c, size=16, min_count=5)
+    return synonyms.suggestions(synonyms.nearest(vectors.select("word"), vectors))
 
 
 QUERIES = {
