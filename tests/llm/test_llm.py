@@ -160,7 +160,8 @@ def test_simhash(docs, none):
             if (rows[a] ^ rows[b]).bit_count() <= 3:
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
-    assert {r.doc_id: (r.simhash % 2**64, r.component_id) for r in simhash.groups(docs).collect()} == {k: (rows[k], root(k)) for k in rows}
+    for most in (simhash.ANCHOR_ROWS, 2):
+        assert {r.doc_id: (r.simhash % 2**64, r.component_id) for r in simhash.groups(docs, most=most).collect()} == {k: (rows[k], root(k)) for k in rows}
     kept = simhash.deduplicate(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({root(k) for k in rows}) and kept.columns == docs.columns
     assert simhash.groups(none).count() == 0
@@ -179,6 +180,26 @@ def test_simhash_covering_meets_all_links():
     assert all((i, int(h)) in near for i, h in enumerate(home))
 
 
+def test_simhash_links_of_split_anchors(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 2**64, 6, np.uint64).repeat(60)
+    for i in range(len(centre)):
+        for bit in rng.choice(64, rng.integers(0, 4), replace=False):
+            centre[i] ^= np.uint64(1) << np.uint64(bit)
+    x = np.unique(centre)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "simhash long")
+    near = np.bitwise_count(x[:, None] ^ x[None]) <= 3
+    while ((more := (near.astype(int) @ near) > 0) != near).any():
+        near = more
+    want = {int(v): int(x[n][0]) for v, n in zip(x, near)}
+    for most in (simhash.ANCHOR_ROWS, 40, 1):
+        forest = simhash._Forest()
+        for a, b in simhash.links(df, most=most).collect():
+            assert ((a ^ b) % 2**64).bit_count() <= 3
+            forest.join(a % 2**64, b % 2**64)
+        assert {int(v): forest.root(int(v)) for v in x} == want
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((60, 8))

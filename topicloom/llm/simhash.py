@@ -26,6 +26,8 @@ BLOCKS = (5,) * 12 + (4,)
 _STARTS = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
 #: Fingerprints whose replicas are made at once, and candidate pairs that are compared at once.
 BATCH, PAIRS = 8192, 1 << 21
+#: Replicas of one anchor that a task compares; those of a fuller anchor are split by the part of the word in which a link's ends agree.
+ANCHOR_ROWS = 1 << 20
 #: Words that are hashed at once.
 WORDS = 1 << 16
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -109,20 +111,24 @@ class _Forest:
         return True
 
 
-def compare(homes: np.ndarray, near: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+def _part(x: np.ndarray, part: int, threshold: int) -> np.ndarray:
+    """One of the threshold + 1 parts of each word; words within the threshold agree in one of them."""
+    width = -(-BITS // (threshold + 1))
+    return (x >> np.uint64(part * width)) & np.uint64((1 << width) - 1)
+
+
+def compare(homes: np.ndarray, near: np.ndarray, threshold: int = THRESHOLD, parts: range | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between an anchor's homes and replicas.
 
-    Candidates agree in one of threshold + 1 parts of the word, so they are found by sorting each part;
-    they are compared in blocks of bounded size.
+    Candidates agree in one of threshold + 1 parts of the word (``parts`` names those to look at), so
+    they are found by sorting each part; they are compared in blocks of bounded size.
     """
     forest, out = _Forest(), []
     homes, near = np.unique(homes), np.unique(near)
-    width = -(-BITS // (threshold + 1))
-    for part in range(threshold + 1):
-        cut = lambda v: (v >> np.uint64(part * width)) & np.uint64((1 << width) - 1)  # noqa: B023, E731
-        keys = cut(near)
+    for part in range(threshold + 1) if parts is None else parts:
+        keys = _part(near, part, threshold)
         order = np.argsort(keys, kind="stable")
-        keys, mine = keys[order], cut(homes)
+        keys, mine = keys[order], _part(homes, part, threshold)
         lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
         ends = np.cumsum(hi - lo)
         at = 0
@@ -139,59 +145,98 @@ def compare(homes: np.ndarray, near: np.ndarray, threshold: int = THRESHOLD) ->
     return out
 
 
-def links(prints: DataFrame, threshold: int = THRESHOLD, column: str = "simhash") -> DataFrame:
-    """Links ``(a long, b long)`` between distinct fingerprints, enough of them to connect all that are linked."""
-    spread = prints.select(F.col(column).alias("x")).where("x is not null").distinct()
+def _by_anchor(x: np.ndarray, threshold: int):
+    """``(anchor numbers, replicas of each, which of them are home)`` of some fingerprints."""
+    anchor, row, own = replicas(x, threshold)
+    order = np.argsort(anchor, kind="stable")
+    anchor, value, own = anchor[order], x[row[order]], own[order]
+    cuts = np.nonzero(np.diff(anchor, prepend=-1))[0]
+    return anchor[cuts], np.split(value, cuts[1:]), np.split(own, cuts[1:])
+
+
+def full_anchors(spread: DataFrame, threshold: int, most: int) -> dict[int, int]:
+    """Anchors with more than ``most`` replicas, and the pieces to split each into. Anchors are 2^13, whatever the input."""
+
+    def count(batches):
+        total = np.zeros(1 << len(BLOCKS), np.int64)
+        for batch in batches:
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(every), BATCH):
+                total += np.bincount(replicas(every[i : i + BATCH], threshold)[0], minlength=len(total))
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["anchor", "n"])
+
+    counts = spread.mapInArrow(count, "anchor int, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return {r.anchor: -(-r.n // most) for r in counts.where(F.col("n") > most).collect()}  # anchors at most
+
+
+def links(prints: DataFrame, threshold: int = THRESHOLD, column: str = "simhash", most: int = ANCHOR_ROWS) -> DataFrame:
+    """Links ``(a long, b long)`` between distinct fingerprints, enough of them to connect all that are linked.
+
+    An anchor with more than ``most`` replicas is split: each replica goes once for each part of its word
+    to the piece that the part's value names, so the ends of a link still meet in a part that they share.
+    """
+    spread = staged(prints.select(F.col(column).alias("x")).where("x is not null").distinct(), "simhash-distinct")
+    full = full_anchors(spread, threshold, most)
 
     def out(batches):
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for i in range(0, len(every), BATCH):
-                x = every[i : i + BATCH]
-                anchor, row, own = replicas(x, threshold)
-                order = np.argsort(anchor, kind="stable")
-                anchor, value, own = anchor[order], x[row[order]], own[order]
-                cuts = np.nonzero(np.diff(anchor, prepend=-1))[0]
-                names, near, homes = anchor[cuts], np.split(value, cuts[1:]), np.split(own, cuts[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), pa.array([v.tobytes() for v in near], pa.binary()), pa.array([v[h].tobytes() for v, h in zip(near, homes, strict=True)], pa.binary())], ["anchor", "near", "homes"]
-                )
+                rows = []
+                for name, near, own in zip(*_by_anchor(every[i : i + BATCH], threshold), strict=True):
+                    n = full.get(int(name))
+                    if n is None:
+                        rows.append((name, -1, 0, near.tobytes(), near[own].tobytes()))
+                        continue
+                    for part in range(threshold + 1):
+                        # a factor mixes the value, of which the high bits then choose the piece
+                        piece = ((_part(near, part, threshold) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n)
+                        for j in np.unique(piece):
+                            at = piece == j
+                            rows.append((name, part, j, near[at].tobytes(), near[at & own].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "part", "piece", "near", "homes"])
+
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
     def met(batches):
-        anchor, near, homes = None, [], []
+        group, near, homes = None, [], []
 
         def flush():
-            pairs = compare(np.frombuffer(b"".join(homes), np.uint64), np.frombuffer(b"".join(near), np.uint64), threshold) if homes else []
+            parts = None if group[1] < 0 else range(group[1], group[1] + 1)
+            pairs = compare(np.frombuffer(b"".join(homes), np.uint64), np.frombuffer(b"".join(near), np.uint64), threshold, parts)
             flat = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(flat[:, 0], pa.int64()), pa.array(flat[:, 1], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for name, n, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if name != anchor and near:
+            for *name, n, h in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if name != group and near:
                     yield flush()
                     near, homes = [], []
-                anchor = name
+                group = name
                 near.append(n)
                 homes.append(h)
         if near:
             yield flush()
 
-    sent = spread.mapInArrow(out, "anchor int, near binary, homes binary")
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(met, "a bigint, b bigint")
+    sent = spread.mapInArrow(out, "anchor int, part int, piece bigint, near binary, homes binary")
+    by = ["anchor", "part", "piece"]
+    return sent.repartition(*by).sortWithinPartitions(*by).mapInArrow(met, "a bigint, b bigint")
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE, most: int = ANCHOR_ROWS) -> DataFrame:
     """One row for each row: ``(key, simhash long, component_id)``, the smallest key that links reach.
 
     Rows whose fingerprints differ in at most ``threshold`` bits are linked; equal fingerprints collapse
     first, so copies cost nothing. Null texts count as empty, and texts without a word (fingerprint
-    zero) are linked like any other. Null keys take part, but only a group without other keys has a null
+    zero) are linked like any other. ``most`` bounds what a task compares and changes no result. Null keys take part, but only a group without other keys has a null
     component. An empty table gives no rows.
     """
     bounded_batches(df.sparkSession)
     rows = staged(with_fingerprints(df.select(F.col(key), F.col(text)), text, "simhash", shingle).select(key, "simhash"), "simhash")
     least = rows.groupBy("simhash").agg(F.min(key).alias("_least"))
-    found = staged(components(links(rows, threshold), "simhash"), "simhash-components")
+    found = staged(components(links(rows, threshold, most=most), "simhash"), "simhash-components")
     named = least.join(found, F.col("simhash") == F.col("node"), "left").select("simhash", "_least", F.coalesce("component", "simhash").alias("_c"))
     smallest = named.groupBy("_c").agg(F.min("_least").alias("component_id"))
     of = named.join(smallest, "_c").select("simhash", "component_id")
