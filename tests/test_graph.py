@@ -100,10 +100,16 @@ def test_json_round_trip(spark, tmp_path):
     sinks.write_report(pipeline.analyze_graph(doc), str(tmp_path / "report"))
 
 
-def test_synonyms(spark):
+def test_synonyms(spark, monkeypatch):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "word string, vector array<double>")
     got = synonyms.nearest(spark.createDataFrame([("a",), ("zz",)], "word string"), v, 1).collect()
     assert {(r.word, r.neighbor) for r in got} == {("a", "b"), ("zz", "")}
+    few = [("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [3.0, 0.0]), ("d", [0.0, 0.0]), ("e", [1.0])]
+    v = spark.createDataFrame([*few, ("f", None)], "word string, vector array<double>")
+    for name in ("QUERY_BLOCK", "WORD_BLOCK", "LEAST_BLOCK"):
+        monkeypatch.setattr(synonyms, name, 1)
+    got = sorted((r.word, r["rank"], r.neighbor, r.similarity) for r in synonyms.nearest(v.select("word"), v, 2).collect())
+    assert got == [("a", 1, "b", 1.0), ("a", 2, "c", 1.0), ("b", 1, "a", 1.0), ("b", 2, "c", 1.0), ("c", 1, "a", 1.0), ("c", 2, "b", 1.0), ("d", 1, "a", 0.0), ("d", 2, "b", 0.0), ("f", 1, "", 0.0)]
     old = spark.createDataFrame([("t", ["x"])], "term string, synonyms array<string>")
     new = spark.createDataFrame([("t", "x/ y"), ("u", "")], "term string, synonyms string")
     assert {r.term: r.synonyms for r in synonyms.merge_synonyms(old, new).collect()} == {"t": ["x", "x", "y"], "u": []}
