@@ -176,7 +176,10 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, column: str = "simhash"
     An anchor with more than ``most`` replicas is split: each replica goes once for each part of its word
     to the piece that the part's value names, so the ends of a link still meet in a part that they share.
     """
-    spread = staged(prints.select(F.col(column).alias("x")).where("x is not null").distinct(), "simhash-distinct")
+    spread = prints.select(F.col(column).alias("x")).where("x is not null").distinct()
+    # a given number of files: by bytes alone, as Spark merges partitions, so short rows would give few tasks much to do
+    parts = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = staged(spread.repartition(parts, "x"), "simhash-distinct")
     full = full_anchors(spread, threshold, most)
 
     def out(batches):
