@@ -177,9 +177,10 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, column: str = "simhash"
     to the piece that the part's value names, so the ends of a link still meet in a part that they share.
     """
     spread = prints.select(F.col(column).alias("x")).where("x is not null").distinct()
-    # a given number of files: by bytes alone, as Spark merges partitions, so short rows would give few tasks much to do
+    # a given number of files: by bytes alone, as Spark merges partitions, so short rows would give few tasks much to do;
+    # not by x itself, since Spark drops a repartition that its aggregate's already equals
     parts = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = staged(spread.repartition(parts, "x"), "simhash-distinct")
+    spread = staged(spread.repartition(parts, F.xxhash64("x")), "simhash-distinct")
     full = full_anchors(spread, threshold, most)
 
     def out(batches):
