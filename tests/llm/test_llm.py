@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, common, exact, licenses, packing, quality, shards, simhash, substrings, suffixes, vectors
+from topicloom.llm import bpe, common, exact, licenses, near, packing, quality, shards, simhash, substrings, suffixes, vectors
 
 RANKS, PATTERN, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("word_bpe_49k.json")
 
@@ -200,6 +200,55 @@ def test_simhash_links_of_split_anchors(spark):
         assert {int(v): forest.root(int(v)) for v in x} == want
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_near(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    line, rows = " ".join(word() for _ in range(30)), [None, "", "a", "A ", "a b"]
+    for n in (20, 64, 150, 400):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            rows.append(" ".join(base) + " " + line)
+            for share in (0.004, 0.01, 0.02, 0.03, 0.06):
+                rows.append(" ".join(word() if r.random() < share else w for w in base) + " " + line)
+    ids = [*range(100, 100 + len(rows))]
+    df = spark.createDataFrame([*zip(ids, rows)], "doc_id long, text string").repartition(3)
+    up = [*range(len(rows))]
+    for i in up:
+        for j in range(i):
+            if jaccard(rows[i], rows[j]) >= 0.8:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    want = sorted({ids[x] for x in up})
+    assert len(want) < len(rows) - 20
+    for heavy in (near.HEAVY, 1):
+        monkeypatch.setattr(near, "HEAVY", heavy)
+        got = near.deduplicate(df)
+        assert got.columns == df.columns and sorted(x.doc_id for x in got.collect()) == want
+    assert near.deduplicate(df.where("doc_id < 0")).count() == 0
+
+
+def test_pipeline_near_stage_joins_similar_texts(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:97], "x", "y", "z"]), " ".join([*words[:50], *(f"v{i}" for i in range(50))])]
+    assert jaccard(*texts[:2]) >= 0.8 and (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 3
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()) == [0, 2]
+
+
+def test_near_tells_rows_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (None, a), (7, b), (8, c + " more"), (8, a + " more"), (8, "another")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near.deduplicate(df).collect()) == [(7, b), (8, a + " more"), (8, "another"), (8, c + " more")]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((60, 8))
