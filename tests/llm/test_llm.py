@@ -167,6 +167,17 @@ def test_simhash(docs, none):
     assert simhash.groups(none).count() == 0
 
 
+def test_simhash_replaces_rows_only_within_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (None, a), (7, b), (8, a.upper() + " more"), (8, c + " other"), (8, "another")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [simhash.fingerprint(t) for t in (a, b, c, rows[5][1], rows[6][1], "another")]
+    near = {(i, j) for i in range(6) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(df).collect())
+    want = {7: [b], 8: [rows[5][1], rows[6][1], "another"], 0: [t for t, i, j in ((a, 0, 3), (c, 2, 4)) if (j, i) not in near]}
+    assert near <= {(3, 0), (4, 2)} and kept == sorted((k, t) for k, ts in want.items() for t in ts)
+
+
 def test_simhash_covering_meets_all_links():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**64, 300, np.uint64)

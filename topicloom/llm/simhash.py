@@ -229,6 +229,18 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, column: str = "simhash"
     return sent.repartition(*by).sortWithinPartitions(*by).mapInArrow(met, "a bigint, b bigint")
 
 
+def _labelled(df: DataFrame, key: str, text: str, threshold: int, shingle: int, most: int) -> DataFrame:
+    """``groups`` with ``_c``, a name of the group that no other has: a fingerprint."""
+    bounded_batches(df.sparkSession)
+    rows = staged(with_fingerprints(df.select(F.col(key), F.col(text)), text, "simhash", shingle).select(key, "simhash"), "simhash")
+    least = rows.groupBy("simhash").agg(F.min(key).alias("_least"))
+    found = staged(components(links(rows, threshold, most=most), "simhash"), "simhash-components")
+    named = least.join(found, F.col("simhash") == F.col("node"), "left").select("simhash", "_least", F.coalesce("component", "simhash").alias("_c"))
+    smallest = named.groupBy("_c").agg(F.min("_least").alias("component_id"))
+    of = named.join(smallest, "_c").select("simhash", "component_id", "_c")
+    return rows.join(of, "simhash").select(key, "simhash", "component_id", "_c")
+
+
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE, most: int = ANCHOR_ROWS) -> DataFrame:
     """One row for each row: ``(key, simhash long, component_id)``, the smallest key that links reach.
 
@@ -237,22 +249,18 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: in
     zero) are linked like any other. ``most`` bounds what a task compares and changes no result. Null keys take part, but only a group without other keys has a null
     component. An empty table gives no rows.
     """
-    bounded_batches(df.sparkSession)
-    rows = staged(with_fingerprints(df.select(F.col(key), F.col(text)), text, "simhash", shingle).select(key, "simhash"), "simhash")
-    least = rows.groupBy("simhash").agg(F.min(key).alias("_least"))
-    found = staged(components(links(rows, threshold, most=most), "simhash"), "simhash-components")
-    named = least.join(found, F.col("simhash") == F.col("node"), "left").select("simhash", "_least", F.coalesce("component", "simhash").alias("_c"))
-    smallest = named.groupBy("_c").agg(F.min("_least").alias("component_id"))
-    of = named.join(smallest, "_c").select("simhash", "component_id")
-    return rows.join(of, "simhash").select(key, "simhash", "component_id")
+    return _labelled(df, key, text, threshold, shingle, most).drop("_c")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """The row with the smallest key of each group, with all its columns; of rows that repeat that key, one."""
+    """One row of each group, with all its columns: that of the smallest key, one of those that repeat it or of those without keys."""
     p = prefix(df)
-    stay = groups(df, key, text, threshold, shingle).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(f"{p}k")).distinct()
+    found = _labelled(df, key, text, threshold, shingle, ANCHOR_ROWS).where(F.col(key).eqNullSafe(F.col("component_id")))
+    stay = found.select(F.col(key).alias(f"{p}k"), F.col("simhash").alias(f"{p}s"), F.col("_c").alias(f"{p}c")).distinct()
+    rows = with_fingerprints(df, text, f"{p}print", shingle)
     # merge: the same plan at every size
-    return df.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col(f"{p}k")), "left_semi").dropDuplicates([key])
+    both = rows.join(stay.hint("merge"), F.col(key).eqNullSafe(F.col(f"{p}k")) & (F.col(f"{p}print") == F.col(f"{p}s")))
+    return both.dropDuplicates([f"{p}c"]).select(*df.columns)
 
 
 def hexadecimal(column: str = "simhash") -> F.Column:
