@@ -115,6 +115,16 @@ def test_synonyms(spark, monkeypatch):
     assert {r.term: r.synonyms for r in synonyms.merge_synonyms(old, new).collect()} == {"t": ["x", "x", "y"], "u": []}
 
 
+def test_word2vec_gives_every_word_a_row(spark, monkeypatch):
+    rows = [("en", "One rare word here"), ("en", "another, quite rare one"), ("en", None), ("fr", "mot")]
+    monkeypatch.setattr(queries, "table", lambda s, d, name: {"documents": spark.createDataFrame(rows, "lang string, text string")}[name])
+    asked, train = [], synonyms.train_vectors
+    monkeypatch.setattr(synonyms, "train_vectors", lambda *a, **b: asked.append(train(*a, **b)) or asked[0])
+    got = queries.word2vec_synonyms(spark, "").collect()
+    assert sorted(r.word for r in got) == sorted({"one", "rare", "word", "here", "another", ",", "quite"})
+    assert all(len(r.synonyms.split("/")) == 3 for r in got) and {len(r.vector) for r in asked[0].collect()} == {100}
+
+
 def test_properties_on_part(spark):
     d = "/root/testdata/sf0.001"
     a = queries.assigned(spark, d).persist()

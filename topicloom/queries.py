@@ -11,6 +11,8 @@ from topicloom.sources import faq, sinks
 
 STOP = lexicon.stop_words()
 PATH, LIST = ">", "|"
+#: Passes over the corpus when word vectors are trained: gensim's own number, without the 1000 more of the reference.
+EPOCHS = 5
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -280,9 +282,9 @@ def merge_synonyms(spark, d):
 
 
 def word2vec_synonyms(spark, d):
-    c = table(spark, d, "conversations").select("text")
-    vectors = synonyms.train_vectors(c, size=16, min_count=5)
-    return synonyms.suggestions(synonyms.nearest(vectors.select("word"), vectors))
+    c = table(spark, d, "documents").where("lang = 'en'").select("text")
+    words = c.select(F.explode(synonyms.corpus_tokens("text")).alias("word")).distinct()
+    return synonyms.suggestions(synonyms.nearest(words, synonyms.train_vectors(c, epochs=EPOCHS)))
 
 
 QUERIES = {
