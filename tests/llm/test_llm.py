@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from topicloom.llm import bpe, common, exact, licenses, near, packing, quality, shards, simhash, substrings, suffixes, vectors
@@ -72,12 +73,39 @@ def test_substrings(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_a_common_passage_long_texts_and_null_keys(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    fill = lambda n: [word() for _ in range(n)]
+    passage = fill(70)
+    rows = [(i if i % 7 else None, " ".join(fill(r.randint(1, 40)) + passage + fill(r.randint(1, 40)))) for i in range(200)]
+    long = fill(2000)
+    for _ in range(170):
+        long += fill(2000) + passage[:30] + long[-90:]
+    rows += [(500, " ".join(long)), (None, None), (None, ""), (3, "other " + " ".join(passage)), rows[5]]
+    assert len(rows[200][1]) > 2 * substrings.BLOCK  # crosses borders of blocks
+    own = sorted({(2**63 if k is None else k, np.uint64(xxhash.xxh64_intdigest(t or "", 42)).view(np.int64).item(), t or "") for k, t in rows})
+    first, gone = {}, {}
+    for k, h, t in own:
+        w, cut = t.split(), set()
+        for i in range(len(w) - 19):
+            if first.setdefault(tuple(w[i : i + 20]), (k, h, i)) != (k, h, i):
+                cut |= {*range(i, i + 20)}
+        gone[t] = (len(w), len(cut), " ".join(x for i, x in enumerate(w) if i not in cut))
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows) and all((x.n_words, x.n_removed, x.kept) == gone[x.text or ""] for x in got)
+
+
+def test_runs_merge_by_document():
+    k, d, s, n = (np.array(x) for x in ([2, 1, 1, 1, 1], [0, 0, 0, 9, 0], [4, 5, 1, 2, 8], [1, 3, 4, 2, 1]))
+    assert [x.tolist() for x in substrings.merged(k, d, s, n)] == [[1, 1, 2], [0, 9, 0], [1, 2, 4], [8, 2, 1]]
+
+
 def test_hash_collisions_are_compared_as_bytes(monkeypatch):
     real = substrings._hashed
     monkeypatch.setattr(substrings, "_hashed", lambda *a: (np.zeros_like((x := real(*a))[0]), *x[1:]))
-    entries = [(1, 0, 1, b"a b"), (2, 0, 1, b"c d"), (3, 0, 1, b"a b")]
-    found = [(k.tolist(), s.tolist(), n.tolist()) for k, s, n in substrings._repeats([substrings._blob(entries)], 2)]
-    assert [x for x in found if x[0]] == [([3], [0], [1])]
+    entries = [(1, 5, 0, 1, b"a b"), (2, 6, 0, 1, b"c d"), (3, 7, 0, 1, b"a b")]
+    assert [x.tolist() for x in substrings._repeats([substrings._blob(entries)], 2)] == [[3], [7], [0], [1]]
 
 
 def test_bpe(docs, none):

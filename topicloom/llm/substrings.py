@@ -23,8 +23,8 @@ WINDOW, GRAM = 20, 4
 FLUSH, BLOCK = 4 << 20, 1 << 20
 #: A minimiser is split into its windows when it leads a share of 1 / HEAVY of all packed strings, so at most HEAVY are.
 HEAVY = 4096
-#: Buckets for each shuffle partition.
-BUCKETS = 2
+#: Buckets for each shuffle partition at least, and packed strings (some 170 bytes each) for each bucket at most, about.
+BUCKETS, BUCKET_STRINGS = 2, 1 << 17
 _TO_SPACE = bytes.maketrans(SPACES, b" " * len(SPACES))
 _LAST = np.iinfo(np.int64).max
 _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64) | 1 for i in range(64)], np.uint64)
@@ -62,26 +62,26 @@ def super_kmers(words: list[bytes], window: int, gram: int):
 
 
 def _runs(rows, window: int, gram: int):
-    """For each document of ``rows`` (key, text), in the order of keys: ``(key, first word of the block, words, super-k-mers)``."""
-    for key, text in rows:
+    """For each document of ``rows`` (key, number, text): ``(key, number, first word of the block, words, super-k-mers)``."""
+    for key, number, text in rows:
         carry, first = [], 0
         for block in word_blocks(text):
             words = carry + block
             if len(words) >= window:
-                yield key, first, words, super_kmers(words, window, gram)
+                yield key, number, first, words, super_kmers(words, window, gram)
                 carry, first = words[-window + 1 :], first + len(words) - window + 1
             else:
                 carry = words
 
 
 def _flushes(batches):
-    """Lists of ``(key, text)`` in the order of keys, of about FLUSH bytes each; a null key counts as the largest."""
+    """Lists of ``(key, number, text)`` in the order of keys, of about FLUSH bytes each; a null key counts as the largest."""
     forget()
     rows, size = [], 0
     for batch in batches:
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for k, n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             t = t.as_py() or ""
-            rows.append((_LAST if k is None else k, t))
+            rows.append((_LAST if k is None else k, n, t))
             size += len(t)
             if size >= FLUSH:
                 yield sorted(rows)
@@ -91,31 +91,52 @@ def _flushes(batches):
 
 
 def _blob(entries) -> bytes:
-    keys, starts, counts, strings = zip(*entries, strict=True)
-    # keys and starts as steps from the entry before, which are mostly small
-    head = [np.diff(np.array(keys, np.int64), prepend=0), np.diff(np.array(starts, np.int64), prepend=0), np.array(counts, np.int32), np.array([len(s) for s in strings], np.int32)]
-    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(keys)).tobytes() + b"".join(x.tobytes() for x in head) + b"".join(strings))
+    """Packed strings ``(key, number, start, windows, string)``."""
+    *numbers, strings = zip(*entries, strict=True)
+    return _numbers_blob(*numbers, [len(s) for s in strings], tail=b"".join(strings))
 
 
 def _unblob(blob: bytes):
+    *numbers, data = _numbers_of(blob, 5)
+    return *numbers, data
+
+
+def _numbers_blob(*columns, tail: bytes = b"") -> bytes:
+    # each number as a step from the one before, which is mostly small
+    head = [np.diff(np.array(c, np.int64), prepend=0).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(columns[0])).tobytes() + b"".join(head) + tail)
+
+
+def _numbers_of(blob: bytes, columns: int):
     data = zstandard.ZstdDecompressor().decompress(blob)
-    n, out, at = int(np.frombuffer(data, np.int64, 1)[0]), [], 8
-    for kind in (np.int64, np.int64, np.int32, np.int32):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return np.cumsum(out[0]), np.cumsum(out[1]), *out[2:], data[at:]
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return *[np.cumsum(np.frombuffer(data, np.int64, n, 8 + 8 * n * i)) for i in range(columns)], data[8 + 8 * n * columns :]
 
 
-def heavy_minimisers(df: DataFrame, window: int, gram: int) -> np.ndarray:
-    """Minimisers that lead a large share of the packed strings: at most 2 x HEAVY of them.
+def merged(key: np.ndarray, number: np.ndarray, start: np.ndarray, windows: np.ndarray):
+    """Runs in the order of their places; those of one document that touch or overlap become one."""
+    order = np.lexsort((start, number, key))
+    k, d, s, n = key[order], number[order], start[order], windows[order]
+    if not len(k):
+        return k, d, s, n
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+    shift = (np.cumsum(new) - 1) * (int((s + n).max()) + 2)  # documents side by side on one line
+    reach = np.maximum.accumulate(shift + s + n)
+    cut = np.concatenate([[0], np.nonzero(shift[1:] + s[1:] > reach[:-1])[0] + 1])
+    last = np.append(cut[1:], len(k)) - 1
+    return k[cut], d[cut], s[cut], reach[last] - shift[last] - s[cut]
+
+
+def heavy_minimisers(df: DataFrame, window: int, gram: int) -> tuple[np.ndarray, int]:
+    """Minimisers that lead a large share of the packed strings, at most HEAVY of them, and the number of strings.
 
     It decides how work is dealt, never a result.
     """
 
     def count(batches):
         for rows in _flushes(batches):
-            found, total = [np.zeros(0, np.uint64)], 0
-            for _, _, words, (mins, lo, hi) in _runs(rows, window, gram):
+            found = [np.zeros(0, np.uint64)]
+            for *_, (mins, _, _) in _runs(rows, window, gram):
                 found.append(mins)
             mins, n = np.unique(np.concatenate(found), return_counts=True)
             total = int(n.sum())
@@ -125,34 +146,51 @@ def heavy_minimisers(df: DataFrame, window: int, gram: int) -> np.ndarray:
     seen = staged(df.mapInArrow(count, "m bigint, n bigint, total bigint").groupBy("m").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "superkmer-heavy")
     total = seen.agg(F.sum("total")).first()[0] or 0
     rows = seen.where(F.col("n") >= max(64, total // HEAVY)).select("m").collect()  # HEAVY at most: each holds 1 / HEAVY of the total
-    return np.sort(np.array([r.m for r in rows], np.int64).view(np.uint64))
+    return np.sort(np.array([r.m for r in rows], np.int64).view(np.uint64)), total
 
 
 def packed(df: DataFrame, window: int, gram: int, buckets: int, heavy: np.ndarray) -> DataFrame:
-    """``(bucket int, blob binary)``: each flush sends a bucket one blob; equal strings of a flush go once.
+    """``(bucket int, done boolean, blob binary)``: each flush sends a bucket one blob; equal strings of a flush go once.
 
-    The copies that are not the first need no comparison any more; they travel without their string.
+    The copies that are not the first need no comparison any more; they travel as merged runs, without
+    their strings, to the bucket of their document.
     """
 
     def out(batches):
         for rows in _flushes(batches):
-            seen: dict[bytes, tuple[int, int]] = {}
+            seen: dict[bytes, tuple[int, int, int]] = {}
             sent: dict[int, list] = {}
-            for key, first, words, (mins, lo, hi) in _runs(rows, window, gram):
+            done: list[tuple[int, int, int, int]] = []
+            for key, number, first, words, (mins, lo, hi) in _runs(rows, window, gram):
                 hot = np.isin(mins, heavy) if len(heavy) else np.zeros(len(mins), bool)
                 for m, a, b, split in zip((mins % np.uint64(buckets)).tolist(), lo.tolist(), hi.tolist(), hot.tolist(), strict=True):
                     for i, j in [(x, x + 1) for x in range(a, b)] if split else ((a, b),):
                         s = b" ".join(words[i : j + window - 1])
                         place = seen.get(s)
                         if place is None:
-                            seen[s] = (key, first + i)
-                            sent.setdefault(xxhash.xxh64_intdigest(s) % buckets if split else m, []).append((key, first + i, j - i, s))
-                        elif place != (key, first + i):  # else a repeated row
-                            sent.setdefault(key % buckets, []).append((key, first + i, j - i, b""))
-            if sent:
-                yield pa.RecordBatch.from_arrays([pa.array([*sent], pa.int32()), pa.array([_blob(x) for x in sent.values()], pa.binary())], ["bucket", "blob"])
-
-    return df.mapInArrow(out, "bucket int, blob binary")
+                            seen[s] = (key, number, first + i)
+                            sent.setdefault(xxhash.xxh64_intdigest(s) % buckets if split else m, []).append((key, number, first + i, j - i, s))
+                        elif place != (key, number, first + i):  # else a repeated row
+                            done.append((key, number, first + i, j - i))
+            blobs = [(b, False, _blob(x)) for b, x in sent.items()]
+            blobs += [(b, True, x) for b, x in _by_document(np.array(done, np.int64).reshape(-1, 4).T, buckets)]
+            if blobs:
+                bucket, is_done, data = zip(*blobs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(is_done, pa.bool_()), pa.array(data, pa.binary())], ["bucket", "done", "blob"])
+
+    return df.mapInArrow(out, "bucket int, done boolean, blob binary")
+
+
+def _by_document(runs, buckets: int):
+    """``(bucket, blob)`` of merged runs (key, number, start, windows), a blob for each bucket of documents."""
+    k, d, s, n = merged(*runs)
+    to = (_mixed(k.view(np.uint64) ^ d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.concatenate([[0], np.nonzero(np.diff(to[order]))[0] + 1, [len(to)]])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b > a:
+            at = order[a:b]
+            yield int(to[at[0]]), _numbers_blob(k[at], d[at], s[at], n[at])
 
 
 def _hashed(data: bytes, counts: np.ndarray, sizes: np.ndarray, window: int):
@@ -180,23 +218,20 @@ def _hashed(data: bytes, counts: np.ndarray, sizes: np.ndarray, window: int):
 
 
 def _repeats(blobs: list[bytes], window: int):
-    """``(key, start, windows)``: runs of windows of the bucket that are not the first of their kind."""
-    keys, starts, hashes, spans, texts = [], [], [], [], []
+    """``key, number, start, windows``: runs of windows of the bucket's strings that are not the first of their kind."""
+    keys, numbers, starts, hashes, spans, texts = [], [], [], [], [], []
     for b in blobs:
-        key, start, n, size, data = _unblob(b)
-        done = size == 0
+        k, d, s, m, size, data = _unblob(b)
         texts.append(data)
-        k, s, n, size_ = key[~done], start[~done], n.astype(np.int64), size[~done]
-        m = n[~done]
-        if len(m):
-            h, lo, hi = _hashed(data, m, size_, window)
-            keys.append(np.repeat(k, m))
-            starts.append(np.repeat(s, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))  # as long as a text may be
-            hashes.append(h)
-            spans.append(np.stack([np.full(len(h), len(texts) - 1, np.int32), lo.astype(np.int32), hi.astype(np.int32)], 1))
-        yield key[done], start[done], n[done]
+        h, lo, hi = _hashed(data, m, size, window)
+        keys.append(np.repeat(k, m))
+        numbers.append(np.repeat(d, m))
+        starts.append(np.repeat(s, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))  # as long as a text may be
+        hashes.append(h)
+        spans.append(np.stack([np.full(len(h), len(texts) - 1, np.int32), lo.astype(np.int32), hi.astype(np.int32)], 1))
+    none = np.zeros(0, np.int64)
     if not keys:
-        return
+        return none, none, none, none
     h = np.concatenate(hashes)
     hashes.clear()
     # windows whose hash is alone are done; the rest is sorted by hash, key and place
@@ -206,13 +241,13 @@ def _repeats(blobs: list[bytes], window: int):
     met_again = same | np.append(same[1:], False)
     order, h = order[met_again], h[met_again]
     take = lambda parts: np.concatenate(parts)[order]
-    k, s, span = take(keys), take(starts), take(spans)
-    for parts in (keys, starts, spans):
+    k, d, s, span = take(keys), take(numbers), take(starts), take(spans)
+    for parts in (keys, numbers, starts, spans):
         parts.clear()
-    order = np.lexsort((s, k, h))
-    k, s, h, span = k[order], s[order], h[order], span[order]
     if not len(h):
-        return
+        return none, none, none, none
+    order = np.lexsort((s, d, k, h))
+    k, d, s, h, span = k[order], d[order], s[order], h[order], span[order]
     same = np.concatenate([[False], h[1:] == h[:-1]])
     later = same.copy()
     text = lambda i: texts[span[i, 0]][span[i, 1] : span[i, 2]]
@@ -228,46 +263,82 @@ def _repeats(blobs: list[bytes], window: int):
             for x in range(first, j + 1):
                 later[x] = text(x) in met
                 met.add(text(x))
-    # the same place of one key (a repeated row) is not earlier than itself
-    tie = later & np.concatenate([[False], (k[1:] == k[:-1]) & (s[1:] == s[:-1])])
+    # the same place of one document (a repeated row) is not earlier than itself
+    tie = later & np.concatenate([[False], (k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (s[1:] == s[:-1])])
     for i in np.nonzero(tie)[0].tolist():
         later[i] = later[i - 1]
-    k, s = k[later], s[later]
-    order = np.lexsort((s, k))
-    k, s = k[order], s[order]
-    if len(k):
-        cut = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]) | (s[1:] > s[:-1] + 1))[0] + 1])
-        last = np.append(cut[1:], len(k)) - 1
-        yield k[cut], s[cut], s[last] - s[cut] + 1
+    return k[later], d[later], s[later], np.ones(int(later.sum()), np.int64)
+
+
+def number_of(text) -> F.Column:
+    """Tells rows of one key with different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
-    """Runs ``(key, start, windows)`` of windows whose word sequence also starts earlier: at a smaller key, or earlier in the document."""
+    """``(key, number, runs array<struct<start,end>>)``: the words of each document that are in a window whose word sequence also starts earlier.
+
+    Earlier is: at a smaller key, among rows of one key at a smaller ``number_of`` their text, or earlier in
+    the document. Buckets grow with the input, and each is held alone. What a task finds leaves it as one
+    packed blob for each bucket of documents; there the runs of a document meet and become one row.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    heavy = heavy_minimisers(rows, window, gram)
-    sent = packed(rows, window, gram, buckets or parts * BUCKETS, heavy)
+    rows = df.select(F.col(key).cast("bigint").alias("k"), number_of(F.col(text)).alias("d"), F.col(text).alias("t"))
+    heavy, strings = heavy_minimisers(rows, window, gram)
+    buckets = buckets or max(parts * BUCKETS, strings // BUCKET_STRINGS)
+    sent = packed(rows, window, gram, buckets, heavy)
 
-    def out(batches):
-        bucket, blobs = None, []
+    def find(batches):
+        bucket, blobs, found, held = None, [], [], 0
+
+        def flush():
+            for to, blob in _by_document([np.concatenate(c) for c in zip(*found, strict=True)], buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+        for batch in batches:
+            for b, done, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if b != bucket:
+                    if blobs:
+                        found.append(_repeats(blobs, window))
+                        held, blobs = held + len(found[-1][0]), []
+                    if held > FLUSH:
+                        yield from flush()
+                        found, held = [], 0
+                    bucket = b
+                if done:
+                    found.append(_numbers_of(blob.as_py(), 4)[:4])
+                    held += len(found[-1][0])
+                else:
+                    blobs.append(blob.as_py())
+        if blobs:
+            found.append(_repeats(blobs, window))
+        if found:
+            yield from flush()
+
+    def gather(batches):
+        bucket, found = None, []
 
         def flush():
-            for k, s, n in _repeats(blobs, window):
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64(), mask=k == _LAST), pa.array(s, pa.int64()), pa.array(n, pa.int64())], ["key", "start", "windows"])
+            k, d, s, n = merged(*[np.concatenate(c) for c in zip(*found, strict=True)])
+            cuts = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]) | (d[1:] != d[:-1]))[0] + 1])
+            runs = pa.StructArray.from_arrays([pa.array(s, pa.int64()), pa.array(s + n + (window - 1), pa.int64())], ["start", "end"])
+            runs = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(k)), pa.int32()), runs)
+            return pa.RecordBatch.from_arrays([pa.array(k[cuts], pa.int64(), mask=k[cuts] == _LAST), pa.array(d[cuts], pa.int64()), runs], ["key", "number", "runs"])
 
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != bucket and blobs:
-                    yield from flush()
-                    blobs = []
+                if b != bucket and found:
+                    yield flush()
+                    found = []
                 bucket = b
-                blobs.append(blob.as_py())
-        yield from flush()
+                found.append(_numbers_of(blob.as_py(), 4)[:4])
+        if found:
+            yield flush()
 
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(out, "key bigint, start bigint, windows bigint")
+    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "bucket int, blob binary")
+    return found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key bigint, number bigint, runs array<struct<start:bigint,end:bigint>>")
 
 
 def _kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
@@ -294,22 +365,20 @@ def _kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The rows of ``df`` with ``n_words long, n_removed long, kept string`` added.
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, names: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
+    """The rows of ``df`` with ``n_words long, n_removed long, kept string`` added, under the given ``names``.
 
     Each word that a repeated window covers is removed, and the first place of each window stays.
-    Words are runs of bytes other than white space; null and empty texts have none. Rows that share
-    a key count as one document: a repeated row is treated as the row that it repeats, and rows of one
-    key with different texts share the places that are removed. A null key counts as the largest.
+    Words are runs of bytes other than white space; null and empty texts have none. A repeated row is
+    treated as the row that it repeats. Rows of one key with different texts are documents of their own;
+    the one whose text has the smaller hash counts as earlier. A null key counts as the largest.
     Keys are integers. Columns of ``df`` that are named like the new ones are replaced. An empty
     table gives no rows.
     """
-    p, new = prefix(df), ("n_words", "n_removed", "kept")
-    span = F.struct("start", (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
-    runs = repeated_windows(df, key, text, window, gram)
-    of = runs.groupBy(F.col("key").alias(f"{p}k")).agg(F.collect_list(span).alias(f"{p}runs"))  # of one document
-    both = df.join(of, F.col(key).cast("bigint").eqNullSafe(F.col(f"{p}k")), "left")
+    p = prefix(df)
+    found = repeated_windows(df, key, text, window, gram).select(F.col("key").alias(f"{p}k"), F.col("number").alias(f"{p}d"), F.col("runs").alias(f"{p}runs"))
+    both = df.join(found, F.col(key).cast("bigint").eqNullSafe(F.col(f"{p}k")) & (number_of(F.col(text)) == F.col(f"{p}d")), "left")
     # called nondeterministic, so that a filter on its results doesn't evaluate it a second time, in a second worker
     cut = arrow_udf(_kept, "struct<n_words:bigint,n_removed:bigint,kept:string>").asNondeterministic()
     both = both.withColumn(f"{p}out", cut(F.col(text), F.col(f"{p}runs")))
-    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[F.col(f"{p}out.{c}").alias(c) for c in new])
+    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"{p}out.{c}").alias(new) for c, new in zip(("n_words", "n_removed", "kept"), names, strict=True)])
