@@ -1,6 +1,8 @@
 """Operators against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -54,9 +56,21 @@ def test_suffixes(docs, none):
             gone = [any(seen[b[j : j + t]] > 1 for j in range(max(0, i - t + 1), min(i, len(b) - t) + 1)) for i in range(len(b))]
             spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
             assert (got[k].n_removed, got[k].n_spans, bytes(got[k].kept)) == (sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)), (k, group)
+            left = [bytes(c for c, _ in part) for g, part in itertools.groupby(zip(b, gone), key=lambda x: x[1]) if not g]
+            assert got[k].kept_text == "".join(x.decode(errors="ignore") for x in left)
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_suffixes_of_null_and_repeated_keys(spark):
+    r = random.Random(9)
+    fill = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c, shared = fill(900), fill(900), fill(900), fill(450)
+    long = fill(suffixes.SEGMENT - 200) + shared + fill(300)  # the passage lies across the border of segments
+    rows = [(None, a + shared), (None, b), (None, c), (7, shared + b[:300]), (7, c[:350]), (8, long)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.kept_text) for x in got) == sorted([(0, a), (0, b), (0, c), (7, b[:300]), (7, c[:350]), (8, long.replace(shared, ""))])
+
+
 def test_substrings(docs, none):
     rows = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     words, first = {k: [w for w in b.translate(substrings._TO_SPACE).split(b" ") if w] for k, b in rows.items()}, {}
@@ -326,6 +340,51 @@ def test_shards(docs, none):
     assert m.sum(0).tolist() == [4, 4, 4] and m.sum(1).tolist() == [5, 0, 7]
 
 
+def chance(good, bad, n):
+    """The hypergeometric law, by integers."""
+    return {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+
+
+def fits(seen, law, draws):
+    """Pearson's statistic, of cells of 8 expected draws or more, stays within five deviations."""
+    x, cells = 0.0, 0
+    for k, p in law.items():
+        if p * draws >= 8:
+            x, cells = x + (seen[k] - p * draws) ** 2 / (p * draws), cells + 1
+    return cells > 3 and abs(x - cells + 1) < 5 * (2 * cells) ** 0.5
+
+
+def test_hypergeometric_law():
+    rng = np.random.default_rng(11)
+    for good, bad, n in ((60, 200, 90), (200, 60, 90), (60, 200, 220), (900, 5000, 1000), (40, 4000, 2000), (12, 500, 300), (5000, 45, 60)):
+        seen = Counter(shards.hypergeometric(rng, good, bad, n, most=0) for _ in range(1500))
+        assert fits(seen, chance(good, bad, n), 1500), (good, bad, n)
+    good, bad, n = 10**15, 15 * 10**15, 10**13  # far beyond numpy: mean and variance
+    x = [shards.hypergeometric(rng, good, bad, n) - n // 16 for _ in range(800)]
+    sd = (n / 16 * 15 / 16 * (1 - n / (good + bad))) ** 0.5
+    assert abs(np.mean(x)) < 5 * sd / 800**0.5 and abs(np.std(x) / sd - 1) < 5 / 1600**0.5
+
+
+def test_communication_matrix_law():
+    counts, sizes = np.array([30, 50, 0, 40]), np.array([40, 40, 40])
+    for most in (shards.NUMPY_MOST, 0):  # numpy's draws, and those of larger numbers
+        drawn = [shards.communication_matrix(counts, sizes, s, most) for s in range(500)]
+        assert all((m.sum(0) == sizes).all() and (m.sum(1) == counts).all() and (m >= 0).all() for m in drawn)
+        for i, n in enumerate(counts):
+            for j, size in enumerate(sizes):
+                assert not n or fits(Counter(int(m[i, j]) for m in drawn), chance(int(size), int(120 - size), int(n)), 500), (most, i, j)
+
+
+def test_shuffle_is_uniform(spark):
+    n = 32_000
+    got = shards.shuffle(spark.range(0, n, 1, 5).withColumnRenamed("id", "shard_row"), shards=16).collect()
+    at = np.zeros((20, 64))  # blocks of rows against quarters of shards
+    for r in got:
+        at[r.shard_row * 20 // n, r.shard * 4 + r.slot * 4 // 2000] += 1
+    x = ((at - n / 1280) ** 2 / (n / 1280)).sum()
+    assert (at.sum(0) == 500).all() and abs(x - 19 * 63) < 5 * (2 * 19 * 63) ** 0.5
+
+
 def test_licenses(spark):
     t = licenses.TEMPLATES
     rows = [(0, None), (1, ""), (2, "x\n" + t["MIT-line"] + "\ny"), (3, t["ISC"].upper().replace(" ", "\n ")), (4, "about the license"), (5, "p\n\n" + t["GPL-3.0"] + "\n\nq"), (2, "x\n" + t["MIT-line"])]

@@ -60,7 +60,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,10 @@ x AS (SELECT doc_id, i, max(i + 400) OVER (PARTITION BY doc_id ORDER BY i ROWS B
 g AS (SELECT doc_id, i, sum(CASE WHEN e >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) k FROM x),
 r AS (SELECT doc_id, min(i) lo, max(i) + 400 hi FROM g GROUP BY doc_id, k),
 c AS (SELECT doc_id, lo, hi, lag(hi, 1, 1) OVER (PARTITION BY doc_id ORDER BY lo) past FROM r),
-h AS (SELECT doc_id, sum(hi - lo)::BIGINT n, count(*) m, string_agg(hex(t[past:lo - 1]), '' ORDER BY lo) || hex(any_value(t)[max(hi):]) k FROM c JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, octet_length(t)::BIGINT n_bytes, coalesce(n, 0) n_removed, coalesce(m, 0) n_spans, sha256(coalesce(unhex(k), t)) kept_sha256
-FROM d LEFT JOIN h USING (doc_id)""",
+y AS (SELECT doc_id, lo, hex(t[past:lo - 1]) x FROM c JOIN d USING (doc_id) UNION ALL SELECT doc_id, m, hex(t[m:]) FROM (SELECT doc_id, max(hi) m FROM r GROUP BY doc_id) JOIN d USING (doc_id)),
+z AS (SELECT doc_id, lo, x, regexp_replace(regexp_replace(x, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '') e FROM y),
+k AS (SELECT doc_id, string_agg(x, '' ORDER BY lo) k, string_agg(decode(unhex(e)), '' ORDER BY lo) kept FROM z GROUP BY doc_id),
+h AS (SELECT doc_id, sum(hi - lo)::BIGINT n, count(*) m FROM r GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT n_bytes, coalesce(n, 0) n_removed, coalesce(m, 0) n_spans, sha256(coalesce(unhex(k), t)) kept_sha256, coalesce(kept, decode(t)) AS text
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }

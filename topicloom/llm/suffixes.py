@@ -209,41 +209,47 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", thr
     return whole.unionByName(near).unionByName(far).select(F.col("k").alias("key"), F.col("p").alias("start"), F.col("n").alias("windows"))
 
 
-def _cutter(threshold: int):
-    @arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>")
-    def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        cols = [[], [], [], []]
-        for t, r in zip(texts, runs, strict=True):
-            data = (t.as_py() or "").encode()
-            out, at, gone, spans = [], 0, 0, 0
-            for lo, hi in sorted((x["start"], x["end"]) for x in r.as_py() or ()):
-                hi = min(hi, len(data))
-                if hi <= at:
-                    continue
-                if lo > at or not spans:
-                    out.append(data[at:lo])
-                    spans, at = spans + 1, lo
-                gone, at = gone + hi - at, hi
-            out.append(data[at:])
-            for c, x in zip(cols, (len(data), gone, spans, b"".join(out)), strict=True):
-                c.append(x)
-        return pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
-
-    return kept
+def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    cols = [[], [], [], [], []]
+    for t, r in zip(texts, runs, strict=True):
+        data = (t.as_py() or "").encode()
+        out, at, gone, spans = [], 0, 0, 0
+        for lo, hi in sorted((x["start"], x["end"]) for x in r.as_py() or ()):
+            hi = min(hi, len(data))
+            if hi <= at:
+                continue
+            if lo > at or not spans:
+                out.append(data[at:lo])
+                spans, at = spans + 1, lo
+            gone, at = gone + hi - at, hi
+        out.append(data[at:])
+        # of a character that is cut, the text keeps nothing
+        for c, x in zip(cols, (len(data), gone, spans, b"".join(out), "".join(x.decode(errors="ignore") for x in out)), strict=True):
+            c.append(x)
+    return pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())], ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
+
+
+def number_of(text) -> F.Column:
+    """Tells rows of one key with different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, **options) -> DataFrame:
-    """The rows of ``df`` with ``n_bytes long, n_removed long, n_spans long, kept binary`` added.
+    """The rows of ``df`` with ``n_bytes long, n_removed long, n_spans long, kept binary, kept_text string`` added.
 
     Every byte that a repeated string of ``threshold`` bytes covers is removed, in all its places.
     ``n_spans`` counts maximal removed runs; ``kept`` holds the other bytes (a cut may fall inside a
-    character). Null and empty texts have no bytes. A repeated row is another place of its strings.
-    Rows that share a key with different texts share the places that are removed. Columns of ``df``
-    that are named like the new ones are replaced. An empty table gives no rows.
+    character), and ``kept_text`` the whole characters among them. Null and empty texts have no bytes.
+    A repeated row is another place of its strings. Rows of one key (null too) with different texts are
+    documents of their own. Columns of ``df`` that are named like the new ones are replaced. An empty
+    table gives no rows.
     """
-    runs = repeated_windows(df, key, text, threshold, **options)
-    p, new = prefix(df), ("n_bytes", "n_removed", "n_spans", "kept")
+    p, new = prefix(df), ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
+    rows = df.select(F.struct(F.col(key).alias("key"), number_of(F.col(text)).alias("d")).alias("k"), F.col(text).alias("t"))
+    runs = repeated_windows(rows, "k", "t", threshold, **options)
     span = F.struct("start", (F.col("start") + F.col("windows") - 1 + threshold).alias("end"))
     of = runs.groupBy(F.col("key").alias(f"{p}k")).agg(F.collect_list(span).alias(f"{p}runs"))  # of one document
-    both = df.join(of, F.col(key).eqNullSafe(F.col(f"{p}k")), "left").withColumn(f"{p}out", _cutter(threshold)(F.col(text), F.col(f"{p}runs")))
+    same = F.col(key).eqNullSafe(F.col(f"{p}k.key")) & (number_of(F.col(text)) == F.col(f"{p}k.d"))
+    cut = arrow_udf(_cut, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary,kept_text:string>")
+    both = df.join(of, same, "left").withColumn(f"{p}out", cut(F.col(text), F.col(f"{p}runs")))
     return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[F.col(f"{p}out.{c}").alias(c) for c in new])
