@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from topicloom.functions import lexicon
 
 NON_WORD = r"[^\p{L}\p{N}_]+"
+#: Fixed values, for equal results: marks that become spaces, and those that go with the spaces after them before all else.
 ANALYZER_MARKS = "?.!:,،؟<>/;{}[]()\\|_-+=~`"
+PRE_CLEAN = r"[-,.;@#?!&$/]+ *"
 
 
 def words_array(words) -> Column:
@@ -17,13 +19,14 @@ def words_array(words) -> Column:
 
 def expand_contractions(text: Column) -> Column:
     """``isn't`` to ``is not`` and so on in lower-case text, whole words only; twice, for double contractions."""
+    plain = text
     for _ in range(2):
         for short, full in lexicon.CONTRACTIONS.items():
             text = F.regexp_replace(text, rf"\b{short}\b", full)
         for ending, full in lexicon.ENDINGS.items():
             text = F.regexp_replace(text, rf"([a-z]){ending}\b", f"$1{full}")
         text = F.regexp_replace(text, rf"\b({'|'.join(lexicon.IS_WORDS)})'s\b", "$1 is")
-    return text
+    return F.when(F.contains(plain, F.lit("'")), text).otherwise(plain)
 
 
 def normalize(text: Column, lang: str = "en") -> Column:
@@ -34,7 +37,7 @@ def normalize(text: Column, lang: str = "en") -> Column:
 
 def analyzer_normalize(text: Column, lang: str = "en") -> Column:
     """The analyzer's token list: punctuation to spaces, lower case, contractions, split."""
-    plain = F.lower(F.regexp_replace(text, r"[-,.;@#?!&$/]+ *", " "))
+    plain = F.lower(F.regexp_replace(text, PRE_CLEAN, " "))
     if lang == "en":
         plain = F.translate(expand_contractions(plain), ANALYZER_MARKS, " " * len(ANALYZER_MARKS))
     return tokens(plain)
@@ -44,10 +47,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def words(text: Column) -> Column:
+    """Words and single marks, so that a mark next to a word doesn't hide it."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])"), 1)
+
+
+def among(word: Column, table) -> Column:
+    """Whether a word is in a Python collection; more than ten words make a hash set."""
+    return word.isin(*table) if len(table) else F.lit(False)
+
+
 def without(words: Column, stop) -> Column:
     """Drops stop words and keeps repeats."""
-    table = words_array(stop)
-    return F.filter(words, lambda x: ~F.array_contains(table, x))
+    return F.filter(words, lambda x: ~among(x, [*stop]))
 
 
 def valid_words(words: Column) -> Column:
@@ -74,16 +86,25 @@ def ngrams_up_to(words: Column, most: int = 4) -> Column:
 
 
 def chunks(words: Column, boundary) -> Column:
-    """Maximal runs of words between boundary words, as arrays of words."""
-    table = words_array(boundary)
-    marked = F.array_join(F.transform(words, lambda w: F.when(F.array_contains(table, w), F.lit("|")).otherwise(w)), " ")
+    """Maximal runs of words between boundary words and marks, as arrays of words."""
+    cut = lambda w: among(w, [*boundary]) | ~w.rlike(r"[\p{L}\p{N}_]")
+    marked = F.array_join(F.transform(words, lambda w: F.when(cut(w), F.lit("|")).otherwise(w)), " ")
     return F.filter(F.transform(F.split(marked, r"\|"), lambda c: tokens(c)), lambda c: F.size(c) > 0)
 
 
+def verb_words(words: Column, verbs, adverbs=lexicon.ADVERBS, no_adverbs=lexicon.NO_ADVERBS) -> Column:
+    """``array<struct<i,term>>``: verb forms, and the adverbs that stand before one (any number of adverbs, then a verb), with their places."""
+    adverb = lambda w: (among(w, [*adverbs]) | (F.endswith(w, F.lit("ly")) & (F.length(w) > 4))) & ~among(w, [*no_adverbs])
+    kinds = F.array_join(F.transform(words, lambda w: F.when(among(w, [*verbs]), "V").when(adverb(w), "A").otherwise("x")), "")
+    # an adverb that leads to a verb becomes a
+    led = let(F.regexp_replace(kinds, "A(?=A*V)", "a"), lambda k: F.transform(words, lambda w, i: F.struct(i.alias("i"), F.when(F.substring(k, i + 1, F.lit(1)).isin("V", "a"), w).alias("term"))))
+    return F.filter(led, lambda x: x.term.isNotNull())
+
+
 def single_word_tag(question: Column, stop) -> Column:
     """The only word of a question that is no stop word, else null."""
     plain = F.lower(F.regexp_replace(F.trim(question), r"\?$", ""))
-    left = F.array_except(F.array_distinct(tokens(plain)), words_array(stop))
+    left = F.filter(F.array_distinct(tokens(plain)), lambda x: ~among(x, [*stop]))
     return F.when(F.size(left) == 1, left[0])
 
 
@@ -92,16 +113,18 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
 
 
-def parse_term(raw: Column, synonyms: Column | None = None) -> Column:
-    """``[**|!!]name[/synonym]*[:trait]`` as struct(name, usage, trait, synonyms); more than one colon is null."""
+def parse_term(raw: Column) -> Column:
+    """``[**|!!]name[/synonym]*[:trait]`` as struct(key, name, usage, trait, synonyms).
+
+    ``key`` is the name with its mark: nodes of one key are one. Only the whole term is trimmed. More than
+    one colon is null.
+    """
     halves = F.split(F.trim(raw), ":")
-    names = F.transform(F.split(halves[0], "/"), lambda x: F.trim(x))
+    names = F.split(halves[0], "/")
     usage = F.when(F.startswith(names[0], F.lit("**")), "mandatory").when(F.startswith(names[0], F.lit("!!")), "organizer").otherwise("default")
-    mark = F.when(usage == "mandatory", F.replace(names[0], F.lit("**"), F.lit(""))).when(usage == "organizer", F.replace(names[0], F.lit("!!"), F.lit(""))).otherwise(names[0])
+    name = F.when(usage == "mandatory", F.replace(names[0], F.lit("**"), F.lit(""))).when(usage == "organizer", F.replace(names[0], F.lit("!!"), F.lit(""))).otherwise(names[0])
     own = F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0)))
-    if synonyms is not None:
-        own = F.concat(own, F.coalesce(F.try_element_at(synonyms, mark), F.array().cast("array<string>")))
-    term = F.struct(mark.alias("name"), usage.alias("usage"), F.get(halves, F.lit(1)).alias("trait"), F.array_sort(F.array_distinct(own)).alias("synonyms"))
+    term = F.struct(names[0].alias("key"), name.alias("name"), usage.alias("usage"), F.get(halves, F.lit(1)).alias("trait"), F.array_sort(F.array_distinct(own)).alias("synonyms"))
     return F.when(F.size(halves) <= 2, term)
 
 

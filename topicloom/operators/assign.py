@@ -12,23 +12,38 @@ ROOT = "Auto Ontology"
 MASK = "~~~~"
 
 
+def model(counts: DataFrame, stop) -> DataFrame:
+    """The terms that assignment looks for: ``(term, k, c, f, sort_cnt)``; kind, count (negated) and first place give the order, verbs of count one are left out.
+
+    Small next to the corpus: frequent terms only. Stage it (``store.staged``) where it is used more than once,
+    so that statistics are computed once and Spark knows its size and broadcasts it only if it is small.
+    """
+    kept = grams.frequent(counts)
+    thin = grams.without_subphrases(kept.where("kind <> 'verb'"))
+    verbs = counts.where("kind = 'verb'")
+    # a verb's count, those of count one included, overrides the count by which the same word is sorted
+    own = F.when(F.col("kind") == "phrase", 0).when(F.col("kind") == "unigram", 1).otherwise(2)
+    rows = thin.unionByName(verbs).groupBy("term").agg(F.collect_list(F.struct(own.alias("k"), (-F.col("cnt")).alias("c"), F.col("first_seen").alias("f"))).alias("xs"), F.max_by("cnt", own).alias("sort_cnt"))  # three at most
+    rows = rows.select("term", "sort_cnt", F.inline("xs"))
+    fine = (F.col("k") == 2) & (-F.col("c") > grams.MIN_VERB) | (F.col("k") < 2) & ~text.among(F.col("term"), [*stop])
+    return rows.where(fine).select("term", "k", "c", "f", "sort_cnt")
+
+
 def assign(questions: DataFrame, counts: DataFrame, stop, root: str = ROOT) -> DataFrame:
     """``(q_id, terms, tags)`` for ``questions(q_id, question, normalized)``; terms are leaf first, root last.
 
-    Terms that can match a question are found by an equi-join on its n-grams, so each question folds
-    over its own few candidates: in order of kind, count and first appearance, each that still stands
-    in the text is taken and masked. A verb that is left gives a tag (the rarest wins), else the only
-    content word does. Terms inside other terms go, and the rest is sorted by ascending count.
+    ``counts`` are term statistics or the ``model`` made of them. Terms that can match a question are found
+    by an equi-join on its n-grams, so each question folds over its own few candidates: in order of kind,
+    count and first appearance, each that still stands in the text is taken and masked. A verb that is left
+    gives a tag (the rarest wins), else the only content word does. Terms inside other terms go, and the
+    rest is sorted by ascending count.
     """
-    kept = grams.frequent(counts)
-    usable = grams.without_subphrases(kept.where("kind <> 'verb'")).where(~F.col("term").isin(*stop)).unionByName(kept.where("kind = 'verb'"))
-    order = F.when(F.col("kind") == "phrase", 0).when(F.col("kind") == "unigram", 1).otherwise(2)
-    terms = usable.join(grams.sort_keys(counts.where("kind = 'verb'").unionByName(grams.without_subphrases(kept.where("kind <> 'verb'")))), "term")
-    terms = terms.select("term", order.alias("k"), (-F.col("cnt")).alias("c"), F.col("first_seen").alias("f"), "sort_cnt")
-    doc = text.tokens(F.col("normalized"))
+    terms = counts if "sort_cnt" in counts.columns else model(counts, stop)
+    place = terms.schema["f"].dataType.simpleString()
+    doc = text.words(F.col("normalized"))
     held = questions.select("q_id", F.explode(F.array_distinct(text.ngrams_up_to(doc, 3))).alias("term")).join(terms, "term")
     own = held.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("k", "c", "f", "term", "sort_cnt"))).alias("cands"))
-    base = questions.join(own, "q_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast("array<struct<k:int,c:bigint,f:bigint,term:string,sort_cnt:bigint>>")))
+    base = questions.join(own, "q_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast(f"array<struct<k:int,c:bigint,f:{place},term:string,sort_cnt:bigint>>")))
     start = F.struct(text.padded(F.array_join(doc, " ")).alias("d"), F.array().cast("array<struct<sort_cnt:bigint,i:int,term:string>>").alias("h"))
 
     def step(acc, t):

@@ -8,23 +8,48 @@ from pyspark.sql import functions as F
 from topicloom.functions import lexicon, text
 
 MIN_PHRASE, MIN_UNIGRAM, MIN_VERB = 2, 5, 1
+#: Where a term stands: question, chunk, trigrams (0) before bigrams (1), place. Orders as Spark orders structs.
+PLACE = "struct<q:bigint,c:int,k:int,i:int>"
 
 
-def mine(questions: DataFrame, stop, verbs=lexicon.VERBS, chunker=None) -> DataFrame:
+def forms_of(verbs) -> dict[str, str]:
+    """A table form -> base; words of a plain list are their own base."""
+    return dict(verbs) if isinstance(verbs, dict) else {v: v for v in verbs}
+
+
+def cut_chunks(questions: DataFrame, stop, verbs) -> DataFrame:
+    """``(q_id, c, chunk array<string>)``: runs of words between stop words, verb forms and marks."""
+    cut = text.chunks(text.words(F.col("normalized")), [*stop, *verbs])
+    return questions.select("q_id", F.posexplode(cut).alias("c", "chunk"))
+
+
+def tag_verbs(questions: DataFrame, stop, verbs) -> DataFrame:
+    """``(q_id, i, term)``: bases of the verbs and of phrases of adverbs and a verb, without stop words and single letters."""
+    forms = forms_of(verbs)
+    if not forms:
+        return questions.select("q_id", F.lit(0).alias("i"), F.lit("").alias("term")).limit(0)
+    found = questions.select("q_id", F.inline(text.verb_words(text.words(F.col("normalized")), forms)))
+    bases = found.sparkSession.createDataFrame([*forms.items()], "term string, base string")
+    based = found.join(F.broadcast(bases), "term", "left").select("q_id", "i", F.coalesce("base", "term").alias("term"))  # the caller's word table, no data
+    return based.where(~text.among(F.col("term"), [*stop]) & (F.length("term") > 1))
+
+
+def mine(questions: DataFrame, stop, verbs=None, chunker=None, tagger=None) -> DataFrame:
     """Occurrences ``(kind, term, ord)`` of phrases, unigrams and verbs in ``questions(q_id, normalized)``.
 
-    ``ord`` gives the order in which they appear: by question, chunk, trigrams before bigrams, place.
-    ``chunker`` maps the token column to an array of chunks; the default cuts at stop words and verbs.
+    ``ord`` tells where they stand (``PLACE``). ``chunker`` takes the questions to rows ``(q_id, c, chunk
+    array<string>)`` and ``tagger`` to ``(q_id, i, term)``: any DataFrame function, so also ``mapInArrow`` or
+    ``mapInPandas`` around a language model. By default chunks end at stop words, verbs and marks.
     """
-    words = text.tokens(F.col("normalized"))
-    cut = chunker(words) if chunker else text.chunks(words, [*stop, *verbs])
-    base = questions.select("q_id", words.alias("w"), F.posexplode_outer(cut).alias("c", "chunk"))
-    grams = lambda kind, n, shift: F.transform(text.ngrams(F.col("chunk"), n), lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), (F.col("q_id") * 1_000_000 + F.col("c") * 10_000 + shift + i).alias("ord")))
-    chunked = base.where("chunk is not null").select(F.explode(F.concat(grams("phrase", 3, 0), grams("phrase", 2, 5000), grams("unigram", 1, 0))).alias("x")).select("x.*")
-    table = text.words_array(verbs)
-    spoken = questions.select("q_id", F.posexplode(words).alias("i", "term")).where(F.array_contains(table, F.col("term")))
-    spoken = spoken.select(F.lit("verb").alias("kind"), "term", (F.col("q_id") * 1_000_000 + F.col("i")).alias("ord"))
-    return chunked.unionByName(spoken).where((F.col("kind") == "phrase") | (F.length("term") > 1))
+    verbs = forms_of(lexicon.verb_table() if verbs is None else verbs)
+    chunked = chunker(questions) if chunker else cut_chunks(questions, stop, verbs)
+    chunked = chunked.select("q_id", "c", F.filter("chunk", lambda w: ~text.among(w, [*stop])).alias("chunk"))
+    at = lambda c, k, i: F.struct(F.col("q_id").cast("bigint").alias("q"), c.cast("int").alias("c"), F.lit(k).alias("k"), i.cast("int").alias("i"))
+    grams = lambda kind, n, k: F.transform(text.ngrams(F.col("chunk"), n), lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), at(F.col("c"), k, i).alias("ord")))
+    rows = chunked.select(F.inline(F.concat(grams("phrase", 3, 0), grams("phrase", 2, 1), grams("unigram", 1, 0))))
+    spoken = tagger(questions) if tagger else tag_verbs(questions, stop, verbs)
+    spoken = spoken.select(F.lit("verb").alias("kind"), "term", at(F.lit(0), 0, F.col("i")).alias("ord"))
+    return rows.unionByName(spoken).where((F.col("kind") == "phrase") | (F.length("term") > 1))
 
 
 def count(occurrences: DataFrame) -> DataFrame:
@@ -38,16 +63,36 @@ def frequent(counts: DataFrame) -> DataFrame:
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """Adds ``rnk`` in each kind: by count, descending, then first seen. For reports; assignment needs no global rank."""
-    by = Window.partitionBy("kind").orderBy(F.desc("cnt"), "first_seen")
-    return counts.withColumn("rnk", F.row_number().over(by))
+    """Adds ``rnk`` in each kind: by count, descending, then first seen. For reports; assignment needs no global rank.
+
+    Places within a count are numbered by blocks of questions, so no task sorts a kind; the offsets of
+    the blocks come from their sizes alone.
+    """
+    block = F.floor(F.col("first_seen.q") / 65536)
+    sizes = counts.groupBy("kind", "cnt", block.alias("_b")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("kind").orderBy(F.desc("cnt"), "_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int")).drop("_n")
+    by = Window.partitionBy("kind", "cnt", "_b").orderBy("first_seen")
+    own = counts.withColumn("_b", block).withColumn("_own", F.row_number().over(by))
+    return own.join(starts, ["kind", "cnt", "_b"]).withColumn("rnk", F.col("_start") + F.col("_own")).select(*counts.columns, "rnk")
+
+
+def _joints(term, first_only: bool):
+    """The two characters around each space of a phrase."""
+    w = F.split(term, " ")
+    ends = F.sequence(F.lit(1), F.lit(1) if first_only else F.size(w) - 1)
+    return F.transform(ends, lambda i: F.concat(F.right(F.element_at(w, i), F.lit(1)), F.lit(" "), F.left(F.element_at(w, i + 1), F.lit(1))))
 
 
 def without_subphrases(counts: DataFrame) -> DataFrame:
-    """Drops phrases that are part of another phrase with the same count, as characters."""
+    """Drops phrases that are part of another phrase with the same count, as characters.
+
+    Where a phrase lies in another one, its spaces meet spaces of the other. So the join is on the count
+    and on the characters around the first space, which spreads the many phrases of the lowest counts.
+    """
     phrases = counts.where("kind = 'phrase'")
-    longer = phrases.select(F.col("cnt").alias("_n"), F.col("term").alias("_t"))
-    part = (F.col("cnt") == F.col("_n")) & (F.col("term") != F.col("_t")) & F.contains("_t", "term")
+    longer = phrases.select(F.col("cnt").alias("_n"), F.col("term").alias("_t"), F.explode(F.array_distinct(_joints(F.col("term"), False))).alias("_j"))
+    part = (F.col("cnt") == F.col("_n")) & (_joints(F.col("term"), True)[0] == F.col("_j")) & (F.col("term") != F.col("_t")) & F.contains("_t", "term")
     return phrases.join(longer, part, "left_anti").unionByName(counts.where("kind <> 'phrase'"))
 
 

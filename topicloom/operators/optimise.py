@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.store import staged
+
 
 def path_groups(assigned: DataFrame) -> DataFrame:
     """``(path, n)``: primaries on each root-first path. Lists of ids are left out: they grow with the data."""
@@ -26,14 +28,20 @@ def empty_nodes_to_tags(assigned: DataFrame) -> DataFrame:
 
 
 def collapse_thin_nodes(assigned: DataFrame, least: int = 2) -> DataFrame:
-    """Questions of a first-level node with fewer than ``least`` of them move to the root, with the node as a tag."""
-    n = assigned.groupBy("terms").agg(F.count("*").alias("_n"))  # counts first: a window would gather a path in one task
-    thin = (F.size("terms") == 2) & (F.col("_n") < least)
-    both = assigned.join(n, "terms")
+    """Questions of a first-level node with fewer than ``least`` of them move to the root, with the node as a tag.
+
+    Only the thin paths are joined, and only with first-level rows, so neither the root nor a well-filled
+    path gathers anywhere.
+    """
+    first = F.size("terms") == 2
+    thin = assigned.where(first).groupBy("terms").agg(F.count("*").alias("_n")).where(F.col("_n") < least).select(F.col("terms").alias("_t"))
+    moved = assigned.where(first).join(thin, F.col("terms") == F.col("_t"), "left")
     keep = [c for c in assigned.columns if c not in ("terms", "tags")]
-    return both.select(*keep, F.when(thin, F.slice("terms", 2, 1)).otherwise(F.col("terms")).alias("terms"), F.when(thin, F.concat("tags", F.slice("terms", 1, 1))).otherwise(F.col("tags")).alias("tags"))
+    gone = F.col("_t").isNotNull()
+    moved = moved.select(*keep, F.when(gone, F.slice("terms", 2, 1)).otherwise(F.col("terms")).alias("terms"), F.when(gone, F.concat("tags", F.slice("terms", 1, 1))).otherwise(F.col("tags")).alias("tags"))
+    return moved.unionByName(assigned.where(~first | F.col("terms").isNull()).select(*keep, "terms", "tags"))
 
 
 def optimise(assigned: DataFrame) -> DataFrame:
-    """Both steps. Each reads its input several times, so inputs are kept; lost blocks are computed again."""
-    return collapse_thin_nodes(empty_nodes_to_tags(assigned.persist()).persist())
+    """Both steps. Each reads its input several times, so inputs are written to the shared folder first."""
+    return collapse_thin_nodes(staged(empty_nodes_to_tags(staged(assigned, "optimise-in")), "optimise-nodes"))

@@ -1,13 +1,16 @@
-"""The same queries as DuckDB SQL, written independently of the DataFrame code."""
+"""The same queries as DuckDB SQL. Word tables and templates are shared with the code; formulas are not."""
 
 from __future__ import annotations
 
 from topicloom import queries as q
 from topicloom.functions import lexicon
+from topicloom.functions.text import ANALYZER_MARKS as marks, PRE_CLEAN
 
 lit = lambda s: "'" + s.replace("'", "''") + "'"
 listed = lambda words: ", ".join(lit(w) for w in words)
-STOP, BOUND, VERBS = f"[{listed(q.STOP)}]", f"[{listed([*q.STOP, *lexicon.VERBS])}]", f"[{listed(lexicon.VERBS)}]"
+FORMS = lexicon.verb_table()
+STOP, BOUND, VERBS = f"[{listed(q.STOP)}]", f"[{listed([*q.STOP, *FORMS])}]", f"[{listed(FORMS)}]"
+BASES = "vf AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(f)}, {lit(b)})" for f, b in FORMS.items()) + ") x(form, base))"
 
 
 def contracted(x: str) -> str:
@@ -23,21 +26,29 @@ def contracted(x: str) -> str:
 norm = lambda x: f"regexp_replace({contracted(f'lower({x})')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')"
 toks = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda x: x <> '')"
 stopped = lambda x: f"list_filter({x}, lambda x: NOT list_contains({STOP}, x))"
-marks = "?.!:,،؟<>/;{}[]()\\|_-+=~`"
-analyzed = lambda x: toks(f"translate({contracted(f'lower(regexp_replace({x}, {lit("[-,.;@#?!&$/]+ *")}, {lit(" ")}, {lit("g")}))')}, {lit(marks)}, {lit(' ' * len(marks))})")
+analyzed = lambda x: toks(f"translate({contracted(f'lower(regexp_replace({x}, {lit(PRE_CLEAN)}, {lit(" ")}, {lit("g")}))')}, {lit(marks)}, {lit(' ' * len(marks))})")
 pad = lambda x: f"concat(' ', replace({x}, ' ', '  '), ' ')"
 
 FAQ = """faq AS (SELECT p_partkey q_id, p_brand answer, CASE WHEN p_partkey % 4 = 0 THEN 'What''s the ' || p_type || ' price of the ' || p_name || '?'
  WHEN p_partkey % 4 = 2 AND p_type <> 'PROMO' THEN 'What is the ' || p_type || ' price?' WHEN p_partkey % 4 = 3 THEN 'Why isn''t ' || p_brand || ' available?'
  ELSE 'How do I order a ' || p_name || '?' END question FROM part)"""
-at = "q_id * 1000000 + c * 10000"
-CNT = f"""{FAQ}, norm AS (SELECT *, {norm('question')} normalized FROM faq), tok AS (SELECT *, {toks('normalized')} w FROM norm),
+
+
+def spoken(source: str) -> str:
+    """``vb(q_id, i, term)``: bases of verbs, and of adverbs that lead to one, in ``source(q_id, w)``."""
+    return f"""{BASES}, vk AS (SELECT q_id, w, array_to_string(list_transform(w, lambda x: CASE WHEN list_contains({VERBS}, x) THEN 'V'
+ WHEN (list_contains([{listed(lexicon.ADVERBS)}], x) OR (length(x) > 4 AND ends_with(x, 'ly'))) AND NOT list_contains([{listed(lexicon.NO_ADVERBS)}], x) THEN 'A' ELSE 'x' END), '') kinds FROM {source}),
+vi AS (SELECT q_id, (i - 1)::INT i, w[i] form FROM vk, LATERAL (SELECT unnest(range(1, len(w) + 1)) i) WHERE regexp_matches(substr(kinds, i), '^A*V')),
+vb AS (SELECT q_id, i, coalesce(base, form) term FROM vi LEFT JOIN vf USING (form) WHERE length(coalesce(base, form)) > 1 AND NOT list_contains({STOP}, coalesce(base, form)))"""
+
+
+CNT = f"""{FAQ}, norm AS (SELECT *, {norm('question')} normalized FROM faq), tok AS (SELECT *, {toks('normalized')} w FROM norm), {spoken('tok')},
 ch AS (SELECT q_id, list_filter(list_transform(string_split(array_to_string(list_transform(w, lambda x: CASE WHEN list_contains({BOUND}, x) THEN '|' ELSE x END), ' '), '|'), lambda x: trim(x)), lambda x: x <> '') cs FROM tok),
 cx AS (SELECT q_id, i - 1 c, string_split(cs[i], ' ') k FROM ch, LATERAL (SELECT unnest(range(1, len(cs) + 1)) i)),
-occ AS (SELECT 'phrase' kind, array_to_string(k[i:i + 2], ' ') term, {at} + i - 1 ord FROM cx, LATERAL (SELECT unnest(range(1, len(k) - 1)) i)
- UNION ALL SELECT 'phrase', array_to_string(k[i:i + 1], ' '), {at} + 5000 + i - 1 FROM cx, LATERAL (SELECT unnest(range(1, len(k))) i)
- UNION ALL SELECT 'unigram', k[i], {at} + i - 1 FROM cx, LATERAL (SELECT unnest(range(1, len(k) + 1)) i) WHERE length(k[i]) > 1
- UNION ALL SELECT 'verb', w[i], q_id * 1000000 + i - 1 FROM tok, LATERAL (SELECT unnest(range(1, len(w) + 1)) i) WHERE list_contains({VERBS}, w[i])),
+occ AS (SELECT 'phrase' kind, array_to_string(k[i:i + 2], ' ') term, [q_id, c, 0, i - 1] ord FROM cx, LATERAL (SELECT unnest(range(1, len(k) - 1)) i)
+ UNION ALL SELECT 'phrase', array_to_string(k[i:i + 1], ' '), [q_id, c, 1, i - 1] FROM cx, LATERAL (SELECT unnest(range(1, len(k))) i)
+ UNION ALL SELECT 'unigram', k[i], [q_id, c, 0, i - 1] FROM cx, LATERAL (SELECT unnest(range(1, len(k) + 1)) i) WHERE length(k[i]) > 1
+ UNION ALL SELECT 'verb', term, [q_id, 0, 0, i] FROM vb),
 cnt AS (SELECT kind, term, count(*) cnt, min(ord) first_seen FROM occ GROUP BY kind, term),
 freq AS (SELECT * FROM cnt WHERE cnt > CASE kind WHEN 'phrase' THEN 2 WHEN 'unigram' THEN 5 ELSE 1 END),
 thin AS (SELECT * FROM freq a WHERE kind <> 'phrase' OR NOT EXISTS (SELECT 1 FROM freq b WHERE b.kind = 'phrase' AND b.cnt = a.cnt AND b.term <> a.term AND contains(b.term, a.term)))"""
@@ -74,24 +85,42 @@ out = lambda s: f"SELECT q_id, array_to_string(terms, '>') terms, array_to_strin
 OPT = f"{ASG}, {pruned('asg', 'o2')}, {thinned('o2', 'opt')}"
 HAND = "hand AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, [{listed(t)}], []::VARCHAR[])" for i, t in q.HAND_PATHS) + ") x(q_id, terms, tags))"
 
+PAIR = f"{ASG}, prime AS (SELECT * FROM asg WHERE q_id % 2 = 0), {pruned('prime', 'o2')}, {thinned('o2', 'opt')}"
+
+
+def LEMMAS(source: str) -> str:
+    """``lem(word, lemma)`` of the words of ``source(word)``."""
+    ruled = " UNION ALL ".join(f"SELECT word, {i} i, left(word, length(word) - {len(end)}) || {lit(new)} lemma FROM {source} WHERE ends_with(word, {lit(end)}) AND length(word) > {max(3, len(end))}" for i, (end, new) in enumerate(lexicon.NOUN_ENDINGS))
+    odd = ", ".join(f"({lit(a)}, {lit(b)})" for a, b in lexicon.NOUN_FORMS.items())
+    fixed = f"[{listed([*q.STOP, *lexicon.NO_PLURALS])}]"
+    return f""", cand AS ({ruled}), odd AS (SELECT * FROM (VALUES {odd}) x(word, lemma)),
+lem AS (SELECT word, arg_min(lemma, i) lemma FROM cand WHERE lemma IN (SELECT word FROM {source}) AND word NOT IN (SELECT word FROM odd) AND NOT ends_with(word, 'ss') AND NOT list_contains({fixed}, word) GROUP BY word
+ UNION ALL SELECT word, lemma FROM odd JOIN {source} USING (word) WHERE lemma <> word AND NOT list_contains({fixed}, word))"""
+
+
 CONV = """turns AS (SELECT *, lead(role) OVER w nx, lead(text) OVER w reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 f1 AS (SELECT *, min(CASE WHEN nx = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) f FROM turns WHERE role = 'user')"""
 
-GEO = """n AS (SELECT n_nationkey::BIGINT k, lower(n_name) low, r_name r, CASE n_nationkey % 3 WHEN 0 THEN '**' || n_name || '/land:geo' WHEN 1 THEN '!!' || n_name ELSE n_name END raw FROM nation JOIN region ON n_regionkey = r_regionkey),
+key = lambda t: f"regexp_replace(trim({t}), '[/:].*$', '')"
+bare = lambda t: f"regexp_replace({key(t)}, '^(\\*\\*|!!)', '')"
+GEO = f"""n AS (SELECT n_nationkey::BIGINT k, n_name nm, lower(n_name) low, r_name r FROM nation JOIN region ON n_regionkey = r_regionkey),
 seg AS (SELECT DISTINCT c_nationkey::BIGINT k, c_mktsegment s FROM customer),
-geo AS (SELECT k * 1000 + ascii(s) ord, ['World', r, raw, s] p, CASE WHEN k % 4 = 0 THEN [lower(r)] ELSE [] END tags, 'Which ' || lower(s) || ' offers are in ' || low || '?' question FROM n JOIN seg USING (k)
- UNION ALL SELECT k * 1000, ['World', r, raw], [], 'Where''s ' || low || '?' FROM n WHERE k % 5 = 0 UNION ALL SELECT -1, ['World'], [], 'Where are you?'),
-pre AS (SELECT p[1:i] path, min(ord) first_seen, arg_min(i = len(p), ord) has_faq FROM geo, LATERAL (SELECT unnest(range(1, len(p) + 1)) i) GROUP BY 1),
-nq AS (SELECT p path, ord faq_ord, 0 q_idx, question, tags FROM geo UNION ALL SELECT p, ord, 1, 'Tell me more about it', [] FROM geo)"""
+geo AS (SELECT k * 1000 + ascii(s) ord, [' World ', r, CASE k % 3 WHEN 0 THEN '**' || nm || CASE WHEN ascii(s) % 2 = 0 THEN '/land:geo' ELSE ' / state /land' END WHEN 1 THEN '!!' || nm ELSE nm END, s] p, CASE WHEN k % 4 = 0 THEN [lower(r)] ELSE [] END tags, 'Which ' || lower(s) || ' offers are in ' || low || '?' question FROM n JOIN seg USING (k)
+ UNION ALL SELECT k * 1000, [' World ', r, CASE k % 3 WHEN 0 THEN '**' || nm || '/country' WHEN 1 THEN '!!' || nm ELSE nm END], [], 'Where''s ' || low || '?' FROM n WHERE k % 5 = 0 UNION ALL SELECT -1, [' World '], [], 'Where are you?'),
+line AS (SELECT ord, p, true f FROM geo UNION ALL SELECT 1000000 + k, [' World ', CASE WHEN k % 3 = 0 THEN r ELSE 'Nowhere' END, nm || CASE WHEN k % 4 = 0 THEN '/left' ELSE '' END], false FROM n WHERE k % 2 = 0),
+pre AS (SELECT list_transform(p[1:i], lambda t: {key('t')}) path, min(ord) first_seen, arg_min(f, ord) OR len(any_value(p[1:i])) = 1 has_faq, arg_min(p[i], ord) raw FROM line, LATERAL (SELECT unnest(range(1, len(p) + 1)) i) GROUP BY 1),
+nd AS (SELECT path, first_seen, has_faq, {bare('raw')} AS name, CASE WHEN starts_with(trim(raw), '**') THEN 'mandatory' WHEN starts_with(trim(raw), '!!') THEN 'organizer' ELSE 'default' END usage,
+ list_sort(list_distinct(list_concat(string_split(string_split(trim(raw), ':')[1], '/')[2:], CASE WHEN r_name IS NULL THEN [] ELSE [lower(r_name) || ' area', 'region'] END))) syn FROM pre LEFT JOIN region ON r_name = {bare('raw')}),
+nq AS (SELECT list_transform(p, lambda t: {key('t')}) path, ord faq_ord, 0 q_idx, question, tags FROM geo UNION ALL SELECT list_transform(p, lambda t: {key('t')}), ord, 1, 'Tell me more about it', [] FROM geo)"""
 node = lambda p: f"sha256(array_to_string({p}, chr(1)))"
-bare = lambda t: f"replace(replace(regexp_replace({t}, '[/:].*$', ''), '**', ''), '!!', '')"
 plain = lambda x: f"array_to_string({analyzed(x)}, ' ')"
-UNR = f"""{GEO}, x AS (SELECT *, list_transform(list_filter(path[2:], lambda t: NOT starts_with(t, '!!')), lambda t: {plain(bare('t'))}) names,
- CASE WHEN len(list_filter(path, lambda t: contains(t, '/land'))) > 0 THEN ['land'] ELSE [] END extra, {analyzed('question')} w FROM nq),
-y AS (SELECT *, list_distinct(list_concat(names, tags)) P, list_filter(list_distinct(list_concat(names, extra, tags)), lambda t: t <> '') C,
+UNR = f"""{GEO}, ups AS (SELECT a.path, list(b.name ORDER BY len(b.path)) names, string_agg(b.first_seen, ',' ORDER BY len(b.path)) walk, coalesce(list({plain('b.name')}) FILTER (WHERE b.usage <> 'organizer' AND len(b.path) > 1), []) own,
+ coalesce(flatten(list(list_transform(b.syn, lambda t: {plain('t')})) FILTER (WHERE b.usage <> 'organizer')), []) extra FROM nd a JOIN nd b ON b.path = a.path[1:len(b.path)] AND len(b.path) <= len(a.path) GROUP BY a.path),
+x AS (SELECT *, {analyzed('question')} w FROM nq JOIN ups USING (path)),
+y AS (SELECT *, list_distinct(list_concat(own, tags)) P, list_filter(list_distinct(list_concat(own, extra, tags)), lambda t: t <> '') C,
  flatten(list_transform([1, 2, 3, 4], lambda m: list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))) g FROM x),
-bad AS (SELECT 'UnreachableQuestions' error_type, path, question, tags FROM y WHERE len(C) > 0 AND len(P) > 0 AND NOT ceil(len(list_intersect(C, g)) / len(P) * 100) >= 50),
-top AS (SELECT 'QuestionsAtRoot' error_type, path, question, tags FROM nq WHERE len(path) = 1 AND len(tags) = 0), iss AS (SELECT * FROM bad UNION ALL SELECT * FROM top)"""
+bad AS (SELECT 'UnreachableQuestions' error_type, names path, question, tags, walk, faq_ord, q_idx FROM y WHERE len(C) > 0 AND len(P) > 0 AND NOT ceil(len(list_intersect(C, g)) / len(P) * 100) >= 50),
+top AS (SELECT 'QuestionsAtRoot' error_type, []::VARCHAR[] path, question, tags, '' walk, faq_ord, q_idx FROM nq WHERE len(path) = 1 AND len(tags) = 0), iss AS (SELECT * FROM bad UNION ALL SELECT * FROM top)"""
 shown = lambda s: f"SELECT error_type, array_to_string(path, '>') path, question, array_to_string(tags, '|') tags FROM {s}"
 
 
@@ -113,9 +142,9 @@ ORACLES = {
     "ngrams_1_4": f"WITH w AS (SELECT conv_id, turn, {toks('lower(text)')} w FROM conversations), g AS (SELECT conv_id, turn, flatten(list_transform([1, 2, 3, 4], lambda m: list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))) g FROM w) SELECT conv_id, turn, len(g) n, md5(array_to_string(list_sort(g), '|')) grams_md5 FROM g",
     "question_bigrams": grams_of(2),
     "question_trigrams": grams_of(3),
-    "unigram_counts": f"WITH {CNT} SELECT term, cnt, first_seen FROM cnt WHERE kind = 'unigram'",
-    "phrase_counts": f"WITH {CNT} SELECT term, cnt, first_seen FROM cnt WHERE kind = 'phrase'",
-    "ranked_terms": f"WITH {CNT} SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cnt DESC, first_seen) rnk FROM freq",
+    "unigram_counts": f"WITH {CNT} SELECT term, cnt, array_to_string(first_seen, ':') first_seen FROM cnt WHERE kind = 'unigram'",
+    "phrase_counts": f"WITH {CNT} SELECT term, cnt, array_to_string(first_seen, ':') first_seen FROM cnt WHERE kind = 'phrase'",
+    "ranked_terms": f"WITH {CNT} SELECT kind, term, cnt, array_to_string(first_seen, ':') first_seen, row_number() OVER (PARTITION BY kind ORDER BY cnt DESC, first_seen) rnk FROM freq",
     "subphrase_elimination": f"WITH {CNT} SELECT term, cnt FROM thin WHERE kind = 'phrase'",
     "merged_sort_keys": f"WITH {CNT} SELECT term, arg_max(cnt, {rank}) sort_cnt FROM cnt GROUP BY term",
     "term_assignment": f"WITH {ASG} {out('asg')}",
@@ -125,19 +154,28 @@ ORACLES = {
     "collapse_thin_nodes": f"WITH {ASG}, {thinned('asg', 'o4')} {out('o4')}",
     "optimised_hand_paths": f"WITH {HAND}, {pruned('hand', 'o2')}, {thinned('o2', 'opt')} {out('opt')}",
     "optimised_graph": f"WITH {OPT} {out('opt')}",
-    "export_faq_rows": f"WITH {OPT} SELECT q_id, question, array_to_string(terms, '>') terms, array_to_string(tags, '|') tags, 'message' response_type, answer, 0 n_alternates FROM opt JOIN faq USING (q_id)",
-    "alternate_tags": f"WITH {OPT} SELECT a.q_id, array_to_string(list_concat(a.tags, list_sort(list_distinct(list_filter(a.terms, lambda t: NOT list_contains(p.terms, t))))), '|') tags FROM opt a JOIN opt p ON a.q_id = p.q_id + 1",
-    "parse_term_syntax": """SELECT p_partkey, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'organizer' ELSE 'default' END usage, CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_brand END trait,
- CASE p_partkey % 3 WHEN 0 THEN array_to_string(list_sort([p_type, 'item']), '|') WHEN 1 THEN '' ELSE p_brand END synonyms FROM part""",
-    "tree_nodes": f"WITH {GEO} SELECT {node('path')} node_id, CASE WHEN len(path) > 1 THEN {node('path[1:len(path) - 1]')} END parent_id, array_to_string(path, '>') path, len(path) AS depth, {bare('path[-1]')} AS name, CASE WHEN starts_with(path[-1], '**') THEN 'mandatory' WHEN starts_with(path[-1], '!!') THEN 'organizer' ELSE 'default' END usage, CASE WHEN contains(path[-1], '/land') THEN 'land' ELSE '' END synonyms, has_faq, first_seen FROM pre",
+    "export_faq_rows": f"WITH {PAIR} SELECT q_id, question, array_to_string(terms, '>') terms, array_to_string(tags, '|') tags, 'message' response_type, answer, (q_id + 1 IN (SELECT q_id FROM faq))::BIGINT n_alternates FROM opt JOIN faq USING (q_id)",
+    "alternate_tags": f"WITH {PAIR} SELECT p.q_id, question, array_to_string(list_concat(a.tags, list_sort(list_distinct(list_filter(a.terms, lambda t: NOT list_contains(p.terms, t))))), '|') tags, array_to_string(p.terms, '>') terms FROM asg a JOIN opt p ON a.q_id = p.q_id + 1 JOIN faq ON faq.q_id = a.q_id",
+    "noun_lemmas": f"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]')) word FROM documents WHERE lang = 'en') {LEMMAS('v')} SELECT * FROM lem""",
+    "lemmatized_questions": f"""WITH a AS (SELECT p_partkey q_id, {norm("CASE WHEN p_partkey % 2 = 0 THEN 'which ' || replace(p_name, ' ', 's ') || ' and ' || lower(p_type) || 's have addresses, boxes, keys or children? A box, a key' ELSE p_name || ' ' || p_type END")} s FROM part),
+t AS (SELECT q_id, {toks('s')} w FROM a), v AS (SELECT DISTINCT unnest(w) word FROM t) {LEMMAS('v')}, e AS (SELECT q_id, i, w[i] word FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) i))
+SELECT q_id, string_agg(coalesce(lemma, word), ' ' ORDER BY i) lemmas FROM e LEFT JOIN lem USING (word) GROUP BY q_id""",
+    "verb_phrases": f"""WITH a AS (SELECT p_partkey q_id, p_name n, p_partkey % 6 k FROM part), t AS (SELECT q_id, {toks(norm("CASE k " + " ".join(f"WHEN {i} THEN concat({x})" for i, x in enumerate(q.VERB_TEMPLATES)) + " END"))} w FROM a), {spoken('t')} SELECT * FROM vb""",
+    "json_export_ids": f"""WITH n AS (SELECT n_nationkey k, n_name nm, r_name r FROM nation JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT k, 0 i, 'Where is ' || nm || '?' question, CASE WHEN k % 2 = 0 THEN 'dialog' END response_type FROM n UNION ALL SELECT k, 1, CASE k % 3 WHEN 0 THEN 'Tell me about ' || nm ELSE r END, NULL FROM n WHERE k % 3 < 2 UNION ALL SELECT k, 2, 'What''s ' || r, NULL FROM n WHERE k % 3 = 0),
+b AS (SELECT *, 10000 + row_number() OVER (ORDER BY k, i) q_id FROM a) SELECT q_id, min(q_id) OVER (PARTITION BY k) primary_id, i = 0 is_primary, question, {norm('question')} normalized, response_type FROM b""",
+    "parse_term_syntax": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '**' || p_name WHEN 1 THEN '!!' || p_name ELSE p_name || ' ' END AS key, CASE p_partkey % 3 WHEN 2 THEN p_name || ' ' ELSE p_name END AS name, CASE p_partkey % 3 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'organizer' ELSE 'default' END usage, CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_brand END trait,
+ CASE p_partkey % 3 WHEN 0 THEN array_to_string(list_sort([p_type, 'item']), '|') WHEN 1 THEN '' ELSE ' ' || p_brand END synonyms FROM part""",
+    "tree_nodes": f"WITH {GEO} SELECT {node('path')} node_id, CASE WHEN len(path) > 1 THEN {node('path[1:len(path) - 1]')} END parent_id, array_to_string(path, '>') path, len(path) AS depth, name, usage, array_to_string(syn, '|') synonyms, has_faq, first_seen FROM nd",
     "tree_preorder": f"WITH {GEO} SELECT array_to_string(a.path, '>') path, string_agg(b.first_seen, ',' ORDER BY len(b.path)) preorder FROM pre a JOIN pre b ON b.path = a.path[1:len(b.path)] AND len(b.path) <= len(a.path) GROUP BY a.path",
     "node_questions": f"WITH {GEO} SELECT {node('path')} node_id, faq_ord, q_idx, question, array_to_string(tags, '|') tags FROM nq",
     "unreachable_questions": f"WITH {UNR} {shown('bad')}",
     "questions_at_root": f"WITH {UNR} {shown('top')}",
-    "issue_report": f"WITH {UNR} SELECT 'en' AS language, error_type, question, array_to_string(path, ',') path, array_to_string(tags, ',') tags FROM iss",
+    "issue_report": f"WITH {UNR} SELECT 'en' AS language, error_type, question, array_to_string(path, ',') path, array_to_string(tags, ',') tags, walk, faq_ord, q_idx FROM iss",
+    "limited_report": f"WITH {UNR}, o AS (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY list_transform(string_split(walk, ','), lambda x: TRY_CAST(x AS BIGINT)), faq_ord, q_idx) z FROM iss) SELECT 'en' AS language, error_type, question, array_to_string(path, ',') path, array_to_string(tags, ',') tags FROM o WHERE z <= 10",
     "issue_summary": f"WITH {UNR} SELECT max((error_type = 'UnreachableQuestions')::INT) errors, 0 warnings, max((error_type = 'QuestionsAtRoot')::INT) suggestions, max((error_type = 'UnreachableQuestions')::INT) + max((error_type = 'QuestionsAtRoot')::INT) total FROM iss",
     "answer_corpus_dedup": "SELECT min(doc_id) doc_id, md5(text) text_md5 FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '{{') GROUP BY text",
-    "retrieve_words": f"WITH {ASG}, f AS (SELECT answer, arg_min(list_concat(terms, tags), q_id) raw FROM asg JOIN faq USING (q_id) GROUP BY answer) SELECT DISTINCT word FROM (SELECT unnest(raw) word FROM f) WHERE word <> ''",
+    "retrieve_words": f"WITH {ASG}, f AS (SELECT answer, arg_min(list_concat(terms, tags), q_id) raw FROM asg JOIN faq USING (q_id) GROUP BY answer) SELECT DISTINCT word FROM (SELECT unnest(raw) word FROM f) WHERE word <> '' UNION SELECT unnest(['pay', 'settle', 'misc', '{{x', 'fee', 'cost'])",
     "corpus_tokens": "WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(trim(text)), '[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]') t FROM conversations) SELECT conv_id, turn, len(t) n_tokens, md5(array_to_string(t, ' ')) tokens_md5 FROM t",
     "nearest_vectors_top3": """WITH v AS (SELECT vec_id::VARCHAR AS word, embedding::DOUBLE[] e FROM embeddings), p AS (SELECT a.word, b.word neighbor, round(list_cosine_similarity(a.e, b.e), 6) similarity FROM v a JOIN v b ON a.word <> b.word WHERE a.word::BIGINT % 20 = 0)
  SELECT word, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, neighbor) AS rank, neighbor, similarity FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY similarity DESC, neighbor) <= 3 UNION ALL SELECT 'unknown', 1, '', 0.0""",

@@ -3,49 +3,72 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom import store
 from topicloom.functions import lexicon, text
-from topicloom.operators import analyze, assign, grams, optimise, synonyms
+from topicloom.operators import analyze, assign, grams, lemmas, optimise, synonyms
 from topicloom.sources import faq, sinks
 
 STRATEGIES = {"gram_based": assign.assign}
+log = logging.getLogger("topicloom")
 
 
-def term_statistics(questions: DataFrame, stop, verbs=lexicon.VERBS, chunker=None) -> DataFrame:
-    return grams.count(grams.mine(questions, stop, verbs, chunker))
+def term_statistics(questions: DataFrame, stop, verbs=None, chunker=None, tagger=None) -> DataFrame:
+    return grams.count(grams.mine(questions, stop, verbs, chunker, tagger))
 
 
-def build_graph(questions: DataFrame, stop=None, strategy: str = "gram_based", counts: DataFrame | None = None) -> DataFrame:
-    """``(q_id, terms, tags)``: every question is assigned, primaries are optimised."""
+def lemmatized(questions: DataFrame, stop, table: DataFrame | None = None) -> DataFrame:
+    """``questions`` with nouns by their lemmas; the table ``(word, lemma)`` is made from their own words if none is given."""
+    table = store.staged(lemmas.noun_lemmas(lemmas.vocabulary(questions), stop), "lemmas") if table is None else table
+    return lemmas.lemmatize(questions, table)
+
+
+def build_graph(questions: DataFrame, stop=None, strategy: str = "gram_based", counts: DataFrame | None = None, verbs=None, chunker=None, tagger=None, noun_lemmas: DataFrame | bool = False) -> DataFrame:
+    """``(q_id, terms, tags)``: every question is assigned, primaries are optimised.
+
+    ``verbs``, ``chunker`` and ``tagger`` are those of ``grams.mine``; ``noun_lemmas`` is a table ``(word, lemma)``,
+    or True for one of the questions' own words. Statistics are computed once, and the terms made of them written.
+    """
     stop = lexicon.stop_words() if stop is None else stop
     if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    found = STRATEGIES[strategy](questions, term_statistics(questions, stop) if counts is None else counts, stop)
+        raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
+    if noun_lemmas is not False:
+        questions = store.staged(lemmatized(questions, stop, None if noun_lemmas is True else noun_lemmas), "lemmatized")
+    counts = term_statistics(questions, stop, verbs, chunker, tagger) if counts is None else counts
+    terms = store.staged(assign.model(counts, stop), "terms") if "sort_cnt" not in counts.columns else counts
+    found = STRATEGIES[strategy](questions, terms, stop)
     if "is_primary" not in questions.columns:
         return optimise.optimise(found)
-    prime = found.join(questions.where("is_primary").select("q_id"), "q_id", "left_semi")
-    rest = found.join(questions.where("not is_primary").select("q_id"), "q_id", "left_semi")
-    return optimise.optimise(prime).unionByName(rest)
+    found = store.staged(found.join(questions.select("q_id", "is_primary"), "q_id"), "assigned")
+    return optimise.optimise(found.where("is_primary").drop("is_primary")).unionByName(found.where("not is_primary").drop("is_primary"))
+
+
+def _names(column) -> F.Column:
+    name = lambda t: F.when(F.startswith(t, F.lit("{")), F.coalesce(F.get_json_object(t, "$.name"), t)).otherwise(t)
+    return F.transform(F.coalesce(column, F.array().cast("array<string>")), name)
 
 
 def graph_faqs(doc: DataFrame) -> DataFrame:
     """``(ord, terms, tags, question, alternates)`` of a graph document, as the analyzer reads it."""
-    name = lambda t: F.when(F.startswith(t, F.lit("{")), F.coalesce(F.get_json_object(t, "$.name"), t)).otherwise(t)
-    names = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), name)
     rows = doc.select(F.posexplode("faqs").alias("ord", "x"))
-    alts = F.transform(F.coalesce("x.alternateQuestions", F.array().cast("array<struct<question:string,tags:array<string>,terms:array<string>>>")), lambda a: F.struct(a.question.alias("question"), names(a.tags).alias("tags")))
-    return rows.select(F.col("ord").cast("long").alias("ord"), names(F.col("x.terms")).alias("terms"), names(F.col("x.tags")).alias("tags"), F.col("x.question").alias("question"), alts.alias("alternates"))
+    alts = F.transform(F.coalesce("x.alternateQuestions", F.array().cast("array<struct<question:string,tags:array<string>,terms:array<string>>>")), lambda a: F.struct(a.question.alias("question"), _names(a.tags).alias("tags")))
+    return rows.select(F.col("ord").cast("long").alias("ord"), _names(F.col("x.terms")).alias("terms"), _names(F.col("x.tags")).alias("tags"), F.col("x.question").alias("question"), alts.alias("alternates"))
+
+
+def graph_unmapped(doc: DataFrame) -> DataFrame:
+    """``(ord, terms)`` of the document's paths without questions; they come after its FAQs."""
+    rows = doc.select(F.size(F.coalesce("faqs", F.array())).alias("n"), F.posexplode("unmappedpath").alias("i", "x"))
+    return rows.select((F.col("n") + F.col("i")).cast("long").alias("ord"), _names(F.col("x.terms")).alias("terms"))
 
 
-def analyze_graph(doc: DataFrame, stop=()) -> DataFrame:
-    """Issues of a graph document (see ``read_json``)."""
-    row = doc.select("synonyms").first()
-    table = (row.synonyms or {}) if row else {}
-    syn = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), text.words_array(v))]) if table else None
-    return analyze.issues(graph_faqs(doc), stop, syn)
+def analyze_graph(doc: DataFrame, stop=None, lang: str = "en", limits: dict[str, int] | None = None) -> DataFrame:
+    """Issues of a graph document (see ``read_json``), with the columns that order the report; its own stop words hold unless some are given."""
+    stop = faq.analyzer_stop_words(doc, lang) if stop is None else stop
+    return analyze.issues(graph_faqs(doc), stop, faq.graph_synonyms(doc), graph_unmapped(doc), limits)
 
 
 def suggest_synonyms(words: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
@@ -59,36 +82,63 @@ def main(argv=None) -> None:
     g.add_argument("path")
     g.add_argument("output")
     g.add_argument("--type", default="json_export", choices=[*faq.SOURCES])
+    g.add_argument("--sink", default="json", choices=[*sinks.SINKS])
+    g.add_argument("--strategy", default="gram_based", choices=[*STRATEGIES])
     g.add_argument("--language", default="en")
-    g.add_argument("--synonyms")
+    g.add_argument("--synonyms", help="a generated synonym CSV to merge")
+    g.add_argument("--chunker", help="module:function, see grams.mine")
+    g.add_argument("--tagger", help="module:function, see grams.mine")
+    g.add_argument("--verbs", help="a CSV of verb forms and their bases")
+    g.add_argument("--no-lemmas", action="store_true")
+    g.add_argument("--analyze", help="where to append the report on the new graph")
     a = sub.add_parser("analyze")
     a.add_argument("path")
     a.add_argument("report")
     a.add_argument("--language", default="en")
+    a.add_argument("--limit", action="append", default=[], help="KIND=ROWS")
     s = sub.add_parser("synonyms")
     s.add_argument("path")
     s.add_argument("output")
-    s.add_argument("--corpus")
+    s.add_argument("--corpus", help="text files")
+    s.add_argument("--documents", help="binary files or ZIP files, with --extract")
+    s.add_argument("--extract", help="module:function, bytes to text, of --documents")
     s.add_argument("--vectors")
+    s.add_argument("--epochs", type=int, default=1)
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("topicloom").getOrCreate()
+    log.info("%s of %s", args.program, args.path)
     if args.program == "graph":
         doc = faq.read_json(spark, args.path) if args.type == "json_export" else None
         rows = None if doc is not None else faq.csv_rows(spark, args.path)
         asked = faq.read(spark, args.type, args.path, args.language)
         stop = faq.json_stop_words(doc, args.language) if doc is not None else faq.csv_stop_words(rows, args.language) if args.type == "csv_export" else lexicon.stop_words(args.language)
         table = faq.graph_synonyms(doc) if doc is not None else None
-        if table is not None and args.synonyms:
-            table = synonyms.merge_synonyms(table, faq.synonym_file(faq.csv_rows(spark, args.synonyms)))
-        sinks.write_graph(sinks.export_faqs(asked, build_graph(asked, stop)), table, args.output, single=True)
+        if args.synonyms:
+            new = faq.synonym_file(faq.csv_rows(spark, args.synonyms))
+            table = synonyms.merge_synonyms(table if table is not None else new.select("term", F.array().cast("array<string>").alias("synonyms")).distinct(), new)
+        verbs = {r.cells[0]: r.cells[1] for r in faq.csv_rows(spark, args.verbs).where(F.size("cells") > 1).collect()} if args.verbs else None  # the caller's word table
+        named = {n: faq.named_function(f) for n, f in (("chunker", args.chunker), ("tagger", args.tagger)) if f}
+        found = build_graph(asked, stop, args.strategy, verbs=verbs, noun_lemmas=args.language == "en" and not args.no_lemmas, **named)
+        faqs = store.staged(sinks.export_faqs(asked, found), "export")
+        sinks.write(args.sink, faqs, table, args.output)
+        if args.analyze:
+            own = faqs.select(F.col("q_id").alias("ord"), "terms", "tags", "question", F.transform("alternateQuestions", lambda x: F.struct(x.question.alias("question"), x.tags.alias("tags"))).alias("alternates"))
+            sinks.write_report(analyze.issues(own, (), table), args.analyze, args.language)
     elif args.program == "analyze":
-        sinks.write_report(analyze_graph(faq.read_json(spark, args.path)), args.report, args.language)
+        limits = {k: int(v) for k, _, v in (x.partition("=") for x in args.limit)}
+        sinks.write_report(analyze_graph(faq.read_json(spark, args.path), lang=args.language, limits=limits), args.report, args.language)
     else:
         doc = faq.read_json(spark, args.path)
         faqs = doc.select(F.posexplode("faqs").alias("ord", "x")).select("ord", F.col("x.answer")[0]["text"].alias("answer"), *[F.coalesce(f"x.{c}", F.array().cast("array<string>")).alias(c) for c in ("terms", "tags")])
-        corpus = faq.read_corpus(spark, args.corpus) if args.corpus else synonyms.answer_corpus(faqs).select(F.col("answer").alias("text"))
-        vectors = faq.read_vectors(spark, args.vectors) if args.vectors else synonyms.train_vectors(corpus)
+        if args.documents and not args.extract:
+            p.error("--documents needs --extract")
+        if args.documents:
+            corpus = faq.read_corpus(spark, args.documents, faq.named_function(args.extract))
+        else:
+            corpus = faq.read_corpus(spark, args.corpus) if args.corpus else synonyms.answer_corpus(faqs).select(F.col("answer").alias("text"))
+        vectors = faq.read_vectors(spark, args.vectors) if args.vectors else synonyms.train_vectors(corpus, epochs=args.epochs)
         sinks.write_synonyms(suggest_synonyms(synonyms.retrieve_words(faqs), vectors), args.output)
+    store.clear(spark)
 
 
 if __name__ == "__main__":

@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import lexicon, text
-from topicloom.operators import analyze, assign, grams, optimise, synonyms, tree
+from topicloom.operators import analyze, assign, grams, lemmas, optimise, synonyms, tree
+from topicloom.plans import pipeline
 from topicloom.sources import faq, sinks
+from topicloom.store import staged
 
 STOP = lexicon.stop_words()
 PATH, LIST = ">", "|"
 #: Passes over the corpus when word vectors are trained: gensim's own number, without the 1000 more of the reference.
 EPOCHS = 5
+#: Sentences with inflected verbs and adverbs, around the name ``n``.
+VERB_TEMPLATES = (
+    "'Customers usually buy and later returned the ', n, '.'", "'Paying for ', n, ' was never easily cancelled'", "'He only just shipped ', n", "'Supply of ', n, ' daily, quickly'",
+    "'They have already been sending, stopped, and carried ', n", "n, ' isn''t paid'",
+)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,19 +50,32 @@ def conversation_faqs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geo_faqs(spark: SparkSession, d: str) -> DataFrame:
-    """``(ord, terms, tags, question, alternates)``: a tree of regions, nations and market segments with term syntax."""
+    """``(ord, terms, tags, question, alternates)``: a tree of regions, nations and market segments with term syntax; some nodes are spelt in two ways."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    raw = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("**"), "n_name", F.lit("/land:geo"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("!!"), "n_name")).otherwise(F.col("n_name"))
-    n = n.select(F.col("n_nationkey").cast("long").alias("k"), raw.alias("raw"), F.lower("n_name").alias("low"), F.col("r_name").alias("r"))
+    n = n.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"), F.lower("n_name").alias("low"), F.col("r_name").alias("r"))
     seg = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("k"), F.col("c_mktsegment").alias("s")).distinct()
-    leaf = n.join(seg, "k").select((F.col("k") * 1000 + F.ascii("s")).alias("ord"), F.array("s", "raw", "r", F.lit("World")).alias("terms"), F.when(F.col("k") % 4 == 0, F.array(F.lower("r"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.concat(F.lit("Which "), F.lower("s"), F.lit(" offers are in "), "low", F.lit("?")).alias("question"))
     none = F.array().cast("array<string>")
-    inner = n.where("k % 5 = 0").select((F.col("k") * 1000).alias("ord"), F.array("raw", "r", F.lit("World")).alias("terms"), none.alias("tags"), F.concat(F.lit("Where's "), "low", F.lit("?")).alias("question"))
-    top = spark.range(1).select(F.lit(-1).cast("long").alias("ord"), F.array(F.lit("World")).alias("terms"), none.alias("tags"), F.lit("Where are you?").alias("question"))
+    marked = lambda more: F.when(F.col("k") % 3 == 0, F.concat(F.lit("**"), "name", more)).when(F.col("k") % 3 == 1, F.concat(F.lit("!!"), "name")).otherwise(F.col("name"))
+    raw = marked(F.when(F.ascii("s") % 2 == 0, "/land:geo").otherwise(" / state /land"))
+    leaf = n.join(seg, "k").select((F.col("k") * 1000 + F.ascii("s")).alias("ord"), F.array("s", raw, "r", F.lit(" World ")).alias("terms"), F.when(F.col("k") % 4 == 0, F.array(F.concat(F.lower("r"), F.lit("/zone")))).otherwise(none).alias("tags"), F.concat(F.lit("Which "), F.lower("s"), F.lit(" offers are in "), "low", F.lit("?")).alias("question"))
+    inner = n.where("k % 5 = 0").select((F.col("k") * 1000).alias("ord"), F.array(marked(F.lit("/country")), F.col("r"), F.lit(" World ")).alias("terms"), none.alias("tags"), F.concat(F.lit("Where's "), "low", F.lit("?")).alias("question"))
+    top = spark.range(1).select(F.lit(-1).cast("long").alias("ord"), F.array(F.lit(" World ")).alias("terms"), none.alias("tags"), F.lit("Where are you?").alias("question"))
     alts = F.array(F.struct(F.lit("Tell me more about it").alias("question"), none.alias("tags")), F.struct(F.lit("||hidden").alias("question"), none.alias("tags")))
     return leaf.unionByName(inner).unionByName(top).withColumn("alternates", alts)
 
 
+def geo_unmapped(spark: SparkSession, d: str) -> DataFrame:
+    """``(ord, terms)``: paths without questions; some lead to nodes that are there."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey").cast("long")
+    return n.where("n_nationkey % 2 = 0").select((k + 1_000_000).alias("ord"), F.array(F.concat("n_name", F.when(k % 4 == 0, "/left").otherwise("")), F.when(k % 3 == 0, F.col("r_name")).otherwise("Nowhere"), F.lit(" World ")).alias("terms"))
+
+
+def geo_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """``(term, synonyms)`` of the regions, and of the root."""
+    return table(spark, d, "region").select(F.col("r_name").alias("term"), F.array(F.concat(F.lower("r_name"), F.lit(" area")), F.lit("region")).alias("synonyms"))
+
+
 CSV_CELLS = [
     (0, ["faq", "", "primary", "How do I pay?", "By card."]), (1, ["faq", "", "alternate", "Can I pay by card?"]), (2, ["faq", "", "alternate", "Paying?"]),
     (3, ["faq", "", "primary", "Where is my order?", "On its way."]), (4, ["header"]), (5, ["kgParams", "", "", "", "the", "a"]),
@@ -75,8 +95,32 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     return grams.count(grams.mine(part_faqs(spark, d), STOP))
 
 
+def shown_place(df: DataFrame) -> DataFrame:
+    return df.withColumn("first_seen", F.concat_ws(":", *[F.col(f"first_seen.{x}").cast("string") for x in "qcki"]))
+
+
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    return assign.assign(part_faqs(spark, d), counts(spark, d), STOP)
+    return assign.assign(part_faqs(spark, d), staged(assign.model(counts(spark, d), STOP), "terms"), STOP)
+
+
+def paired_faqs(spark: SparkSession, d: str) -> DataFrame:
+    """The templated FAQs in pairs: a question of odd number is an alternate of the one before it."""
+    odd = F.col("q_id") % 2
+    return part_faqs(spark, d).withColumn("primary_id", F.col("q_id") - odd).withColumn("is_primary", odd == 0)
+
+
+def exported(spark: SparkSession, d: str) -> DataFrame:
+    asked = paired_faqs(spark, d)
+    return sinks.export_faqs(asked, pipeline.build_graph(asked, STOP))
+
+
+def graph_document(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON export of the nations as one document, as ``read_json`` gives it."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    alts = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.concat(F.lit("Tell me about "), "n_name"), F.concat(F.lit("What's "), "r_name"))).when(F.col("n_nationkey") % 3 == 1, F.array(F.col("r_name")))
+    q = n.select("n_nationkey", F.to_json(F.struct(F.concat(F.lit("Where is "), "n_name", F.lit("?")).alias("question"), F.transform(alts, lambda a: F.struct(a.alias("question"))).alias("alternateQuestions"), F.when(F.col("n_nationkey") % 2 == 0, "dialog").alias("responseType"))).alias("j"))
+    body = q.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "j"))), lambda x: x.j), ",").alias("j"))  # 25 rows
+    return body.select(F.from_json(F.concat(F.lit('{"faqs":['), "j", F.lit("]}")), faq.JSON_SCHEMA).alias("x")).select("x.*")
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -112,9 +156,13 @@ def analyzer_tokens(spark, d):
 
 
 def faq_ids_altmap(spark, d):
-    q = conversation_faqs(spark, d)
-    q = q.withColumn("q_id", (F.row_number().over(Window.orderBy("conv_id", "turn")) + faq.FIRST_ID - 1).cast("long"))
-    return q.select("q_id", F.min("q_id").over(Window.partitionBy("conv_id")).alias("primary_id"), F.md5("text").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+    q = faq.numbered(conversation_faqs(spark, d), "conv_id", "turn")
+    first = q.groupBy("conv_id").agg(F.min("q_id").alias("primary_id"))
+    return q.join(first, "conv_id").select("q_id", "primary_id", F.md5("text").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
+def json_export_ids(spark, d):
+    return faq.from_json(graph_document(spark, d)).select("q_id", "primary_id", "is_primary", "question", "normalized", "response_type")
 
 
 def csv_export_ffill(spark, d):
@@ -137,21 +185,40 @@ def _grams(n):
     return q
 
 
+def noun_lemmas(spark, d):
+    words = text.words(F.lower("text"))
+    return lemmas.noun_lemmas(table(spark, d, "documents").where("lang = 'en'").select(F.explode(words).alias("word")), STOP)
+
+
+def lemmatized_questions(spark, d):
+    """Questions on several things each; the singulars occur in other questions."""
+    many = F.concat(F.lit("which "), F.regexp_replace("p_name", " ", "s "), F.lit(" and "), F.lower("p_type"), F.lit("s have addresses, boxes, keys or children? A box, a key")).alias("n")
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("q_id"), F.when(F.col("p_partkey") % 2 == 0, many).otherwise(F.concat("p_name", F.lit(" "), "p_type")).alias("n"))
+    asked = asked.select("q_id", text.normalize(F.col("n")).alias("normalized"))
+    return lemmas.lemmatize(asked, lemmas.noun_lemmas(lemmas.vocabulary(asked), STOP)).select("q_id", F.array_join(text.words(F.col("normalized")), " ").alias("lemmas"))
+
+
+def verb_phrases(spark, d):
+    says = [f"when k % 6 = {i} then concat({x})" for i, x in enumerate(VERB_TEMPLATES)]
+    asked = table(spark, d, "part").selectExpr("p_partkey q_id", "p_partkey k", "p_name n").selectExpr("q_id", f"case {' '.join(says)} end q")
+    return grams.tag_verbs(asked.select("q_id", text.normalize(F.col("q")).alias("normalized")), STOP, lexicon.verb_table()).select("q_id", "i", "term")
+
+
 def ngrams_1_4(spark, d):
     g = text.ngrams_up_to(text.tokens(F.lower("text")))
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(g).alias("n"), F.md5(F.array_join(F.array_sort(g), LIST)).alias("grams_md5"))
 
 
 def unigram_counts(spark, d):
-    return counts(spark, d).where("kind = 'unigram'").select("term", "cnt", "first_seen")
+    return shown_place(counts(spark, d).where("kind = 'unigram'").select("term", "cnt", "first_seen"))
 
 
 def phrase_counts(spark, d):
-    return counts(spark, d).where("kind = 'phrase'").select("term", "cnt", "first_seen")
+    return shown_place(counts(spark, d).where("kind = 'phrase'").select("term", "cnt", "first_seen"))
 
 
 def ranked_terms(spark, d):
-    return grams.ranked(grams.frequent(counts(spark, d)))
+    return shown_place(grams.ranked(grams.frequent(counts(spark, d))))
 
 
 def subphrase_elimination(spark, d):
@@ -194,33 +261,36 @@ def optimised_graph(spark, d):
 
 
 def export_faq_rows(spark, d):
-    out = sinks.export_faqs(part_faqs(spark, d), optimise.optimise(assigned(spark, d)))
+    out = exported(spark, d)
     return out.select("q_id", "question", F.array_join("terms", PATH).alias("terms"), F.array_join("tags", LIST).alias("tags"), F.col("responseType").alias("response_type"), F.col("answer")[0]["text"].alias("answer"), F.size("alternateQuestions").cast("long").alias("n_alternates"))
 
 
 def alternate_tags(spark, d):
-    """Each question on a brand as an alternate of the question before it: its tags and the terms its primary lacks."""
-    a = optimise.optimise(assigned(spark, d))
-    p = a.select((F.col("q_id") + 1).alias("q_id"), F.col("terms").alias("pt"))
-    return a.join(p, "q_id").select("q_id", F.array_join(F.concat("tags", F.array_sort(F.array_distinct(F.array_except("terms", "pt")))), LIST).alias("tags"))
+    """The alternates as exported: their tags and the terms that their primary lacks, and the primary's terms."""
+    out = exported(spark, d).select("q_id", F.inline("alternateQuestions"))
+    return out.select("q_id", "question", F.array_join("tags", LIST).alias("tags"), F.array_join("terms", PATH).alias("terms"))
 
 
 # --- tree and analyzer ----------------------------------------------------------------------------
 
 
 def parse_term_syntax(spark, d):
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("**"), "p_name", F.lit("/"), "p_type", F.lit("/item: "), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" !!"), "p_name")).otherwise(F.concat("p_name", F.lit("/"), "p_brand"))
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("**"), "p_name", F.lit("/"), "p_type", F.lit("/item: "), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" !!"), "p_name")).otherwise(F.concat("p_name", F.lit(" / "), "p_brand"))
     t = table(spark, d, "part").select("p_partkey", text.parse_term(raw).alias("t"))
-    return t.select("p_partkey", "t.name", "t.usage", "t.trait", F.array_join("t.synonyms", LIST).alias("synonyms"))
+    return t.select("p_partkey", "t.key", "t.name", "t.usage", "t.trait", F.array_join("t.synonyms", LIST).alias("synonyms"))
+
+
+def _nodes(spark, d):
+    return tree.nodes(geo_faqs(spark, d), geo_synonyms(spark, d), geo_unmapped(spark, d))
 
 
 def tree_nodes(spark, d):
-    n = tree.nodes(geo_faqs(spark, d))
+    n = _nodes(spark, d)
     return n.select("node_id", "parent_id", F.array_join("path", PATH).alias("path"), "depth", "name", "usage", F.array_join("synonyms", LIST).alias("synonyms"), "has_faq", "first_seen")
 
 
 def tree_preorder(spark, d):
-    n = tree.preorder(tree.nodes(geo_faqs(spark, d)))
+    n = tree.preorder(_nodes(spark, d))
     return n.select(F.array_join("path", PATH).alias("path"), F.array_join(F.col("preorder").cast("array<string>"), ",").alias("preorder"))
 
 
@@ -234,20 +304,31 @@ def _issues(found):
 
 
 def unreachable_questions(spark, d):
-    return _issues(analyze.unreachable(geo_faqs(spark, d)))
+    return _issues(analyze.unreachable(geo_faqs(spark, d), (), geo_synonyms(spark, d), unmapped=geo_unmapped(spark, d)))
 
 
 def questions_at_root(spark, d):
     return _issues(analyze.at_root(geo_faqs(spark, d)))
 
 
+def _all_issues(spark, d, **limits):
+    return analyze.issues(geo_faqs(spark, d), (), geo_synonyms(spark, d), geo_unmapped(spark, d), **limits)
+
+
 def issue_report(spark, d):
-    r = sinks.report_rows(analyze.issues(geo_faqs(spark, d)))
-    return r.drop("timestamp")
+    """The report's rows with what orders them: kind, walk, FAQ, question."""
+    found = _all_issues(spark, d)
+    rows = found.select("error_type", "question", F.array_join("path", ",").alias("path"), F.array_join("tags", ",").alias("tags"), F.lit("en").alias("language"), F.array_join(F.col("_walk").cast("array<string>"), ",").alias("walk"), F.col("_faq").alias("faq_ord"), F.col("_q").alias("q_idx"))
+    return rows
+
+
+def limited_report(spark, d):
+    """At most ten issues of each kind, the first of the report."""
+    return sinks.report_rows(_all_issues(spark, d, limits={k: 10 for k in analyze.KINDS})).drop("timestamp")
 
 
 def issue_summary(spark, d):
-    return analyze.summary(analyze.issues(geo_faqs(spark, d)))
+    return analyze.summary(_all_issues(spark, d))
 
 
 # --- synonyms -------------------------------------------------------------------------------------
@@ -259,7 +340,8 @@ def answer_corpus_dedup(spark, d):
 
 
 def retrieve_words(spark, d):
-    a = assigned(spark, d).withColumnRenamed("q_id", "ord").join(part_faqs(spark, d).select(F.col("q_id").alias("ord"), F.col("answer")[0]["text"].alias("answer")), "ord")
+    a = assigned(spark, d).withColumn("tags", F.concat("tags", F.array(F.lit("**pay/settle:due"), F.lit("!!misc*/{x"), F.lit('{"name":"fee/cost"}'))))
+    a = a.withColumnRenamed("q_id", "ord").join(part_faqs(spark, d).select(F.col("q_id").alias("ord"), F.col("answer")[0]["text"].alias("answer")), "ord")
     return synonyms.retrieve_words(a)
 
 
@@ -290,7 +372,7 @@ def word2vec_synonyms(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        optimised_graph, normalize_text, normalize_documents, expand_contractions, single_word_tag, tokenize_stopfilter, analyzer_tokens, faq_ids_altmap, csv_export_ffill, faq_table_source, ngrams_1_4, unigram_counts,
+        optimised_graph, normalize_text, normalize_documents, noun_lemmas, lemmatized_questions, verb_phrases, json_export_ids, limited_report, expand_contractions, single_word_tag, tokenize_stopfilter, analyzer_tokens, faq_ids_altmap, csv_export_ffill, faq_table_source, ngrams_1_4, unigram_counts,
         phrase_counts, ranked_terms, subphrase_elimination, merged_sort_keys, term_assignment, verb_tag, path_groups, empty_node_to_tags, collapse_thin_nodes, optimised_hand_paths, export_faq_rows, alternate_tags,
         parse_term_syntax, tree_nodes, tree_preorder, node_questions, unreachable_questions, questions_at_root, issue_report, issue_summary, answer_corpus_dedup, retrieve_words, corpus_tokens, nearest_vectors_top3,
         merge_synonyms, word2vec_synonyms,

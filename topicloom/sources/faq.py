@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from topicloom.functions import lexicon, text
+from topicloom.store import staged
 
 ANSWER = "struct<text:string,type:string,channel:string>"
 JSON_SCHEMA = (
@@ -42,22 +43,37 @@ def _answer(column) -> F.Column:
     return F.array(F.struct(column.alias("text"), F.lit("basic").alias("type"), F.lit("default").alias("channel")))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``q_id``: 10001 and on, by the columns of ``order``; their values are distinct.
+
+    Rows are sorted over all tasks and numbered within each; what stands before a task's rows comes from
+    the tasks' counts. The sorted rows are written first, so that the numbers are the same each time.
+    """
+    sorted_ = staged(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row a task
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = sorted_.join(before.select("_part", "_first", "_before"), "_part")
+    return own.withColumn("q_id", (F.col("_before") + F.col("_at") - F.col("_first") + FIRST_ID).cast("long")).drop("_part", "_at", "_first", "_before")
+
+
 def _questions(rows: DataFrame, lang: str) -> DataFrame:
     """Ids from 10001 by ``ord``; ``primary_ord`` names the primary of a row."""
-    named = rows.withColumn("q_id", (F.row_number().over(Window.orderBy("ord")) + FIRST_ID - 1).cast("long"))  # one file's rows
+    named = numbered(rows, "ord")
     first = named.select(F.col("ord").alias("primary_ord"), F.col("q_id").alias("primary_id"))
     out = named.join(first, "primary_ord")
     return out.select("q_id", "ord", "primary_id", (F.col("q_id") == F.col("primary_id")).alias("is_primary"), "question", text.normalize(F.col("question"), lang).alias("normalized"), "answer", "sub_answers", "response_type")
 
 
 def from_json(doc: DataFrame, lang: str = "en") -> DataFrame:
-    """Questions of a JSON export; a primary is followed by its alternates."""
+    """Questions of a JSON export; a primary is followed by its alternates. ``ord`` is struct(FAQ, place in it)."""
     faqs = doc.select(F.posexplode("faqs").alias("f", "x"))
     rows = faqs.select("f", "x", F.posexplode(F.concat(F.array("x.question"), F.coalesce(F.col("x.alternateQuestions.question"), F.array().cast("array<string>")))).alias("a", "question"))
-    none = F.lit(None)
-    return _questions(
-        rows.select((F.col("f") * F.lit(1_000_000).cast("long") + F.col("a")).alias("ord"), (F.col("f") * F.lit(1_000_000).cast("long")).alias("primary_ord"), "question", F.when(F.col("a") == 0, F.col("x.answer")).otherwise(none).alias("answer"), F.when(F.col("a") == 0, F.col("x.alternateAnswers")).otherwise(none).alias("sub_answers"), F.when(F.col("a") == 0, F.col("x.responseType")).otherwise(none).alias("response_type")), lang
+    of_first = lambda c: F.when(F.col("a") == 0, F.col(c))
+    own = rows.select(
+        F.struct("f", "a").alias("ord"), F.struct("f", F.lit(0).alias("a")).alias("primary_ord"), "question", of_first("x.answer").alias("answer"),
+        of_first("x.alternateAnswers").alias("sub_answers"), of_first("x.responseType").alias("response_type"),
     )
+    return _questions(own, lang)
 
 
 def _typed(rows: DataFrame, lang: str) -> DataFrame:
@@ -102,6 +118,13 @@ def json_stop_words(doc: DataFrame, lang: str = "en") -> list[str]:
     return lexicon.stop_words(lang, [*(found.w or [])] if found else None)
 
 
+def analyzer_stop_words(doc: DataFrame, lang: str = "en") -> list[str]:
+    """The stop words of a graph document alone: none if it lists none, none for ``kk``; ``en_kore`` adds question words."""
+    found = doc.select(F.col("kgParams.stopWords").alias("w")).first()
+    own = {*(found.w or [])} if found and lang != "kk" else set()
+    return sorted(own | ({*lexicon.QUESTION_WORDS} if lang == "en_kore" else set()))
+
+
 def graph_synonyms(doc: DataFrame) -> DataFrame:
     """``(term, synonyms)`` of a JSON export."""
     return doc.select(F.explode("synonyms").alias("term", "synonyms"))
@@ -128,7 +151,7 @@ def read(spark: SparkSession, kind: str, path: str, lang: str = "en") -> DataFra
 
 
 def read_corpus(spark: SparkSession, path: str, extract=None) -> DataFrame:
-    """``(text)`` lines of text files; with ``extract`` (bytes to str) of binary files such as PDF, or of the members of ZIP files."""
+    """``(text)`` lines of text files; with ``extract`` (bytes to str) of binary files such as PDF, or of the members of ZIP files, folders within them too."""
     if extract is None:
         return spark.read.text(path).withColumnRenamed("value", "text")
 
@@ -139,19 +162,93 @@ def read_corpus(spark: SparkSession, path: str, extract=None) -> DataFrame:
 
         for pdf in batches:
             for name, body in zip(pdf["path"], pdf["content"], strict=True):
-                bodies = [body]
-                if name.endswith(".zip"):
+                members = [body]
+                if name.lower().endswith(".zip"):
                     z = zipfile.ZipFile(io.BytesIO(body))
-                    bodies = [z.read(n) for n in sorted(z.namelist()) if "/" not in n]
-                for b in bodies:
+                    members = (z.read(n) for n in sorted(z.namelist()) if not n.endswith("/"))
+                for b in members:
                     yield pd.DataFrame({"text": [x for x in extract(bytes(b)).splitlines() if x.strip()]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "text string")
 
 
+def named_function(name: str):
+    """The function that ``module:function`` names."""
+    import importlib
+
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """``(word, vector)`` from Parquet, or from word2vec text files (a header line is skipped)."""
-    if path.rstrip("/").endswith(".parquet"):
+    """``(word, vector array<float>)`` from Parquet, word2vec binary files (``.bin``), or word2vec text files (a header line is skipped)."""
+    path = path.rstrip("/")
+    if path.endswith(".parquet"):
         return spark.read.parquet(path).select("word", "vector")
+    if path.endswith(".bin"):
+        return binary_vectors(spark, path)
     cells = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("c")).where(F.size("c") > 2)
     return cells.select(F.col("c")[0].alias("word"), F.slice("c", F.lit(2), F.size("c") - 1).cast("array<float>").alias("vector"))
+
+
+#: Bytes of a binary vector file that a task reads.
+VECTOR_BLOCK = 64 << 20
+#: Longest word of a binary vector file, in bytes.
+LONGEST_WORD = 4096
+
+
+def binary_vectors(spark: SparkSession, path: str, block: int | None = None, whole: int = 1 << 30) -> DataFrame:
+    """A word2vec binary file: a line ``words size``, then for each word its name, a space and ``size`` little-endian floats.
+
+    Words have no fixed length, so a file is walked by one reader, on an executor; vectors leave it in
+    batches of about a block. Spark hands over files of up to ``whole`` bytes; larger ones are opened by pyarrow.
+    """
+    block = block or VECTOR_BLOCK
+    files = spark.read.format("binaryFile").load(path)
+    kind = "word string, vector array<float>"
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for body in batch.column(0):
+                body = body.as_py()
+                if isinstance(body, bytes):  # content
+                    yield from _vector_batches(io.BytesIO(body), block)
+                else:  # a path: the file is larger than a value of Spark may be
+                    store, at = fs.FileSystem.from_uri(body if "://" in body else body.replace("file:", "file://", 1))
+                    with store.open_input_stream(at) as f:
+                        yield from _vector_batches(f, block)
+
+    small, large = files.where(F.col("length") <= whole).select("content"), files.where(F.col("length") > whole).select("path")
+    return small.mapInArrow(read, kind).unionByName(large.mapInArrow(read, kind))
+
+
+def _vector_batches(f, block: int):
+    import numpy as np
+    import pyarrow as pa
+
+    def batch():
+        numbers = pa.array(np.frombuffer(b"".join(vectors), "<f4"))
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * size), numbers)], ["word", "vector"])
+
+    data = f.read(block)
+    while b"\n" not in data and (more := f.read(block)):
+        data += more
+    head, _, data = data.partition(b"\n")
+    rows, size = map(int, head.split())
+    words, vectors = [], []
+    while rows:
+        at = 0
+        while rows and (space := data.find(b" ", at, at + LONGEST_WORD)) >= 0 and len(data) >= space + 1 + 4 * size:
+            words.append(data[at:space].lstrip(b"\n").decode(errors="replace"))
+            vectors.append(data[space + 1 : space + 1 + 4 * size])
+            at, rows = space + 1 + 4 * size, rows - 1
+        if words:
+            yield batch()
+            words, vectors = [], []
+        if rows:
+            more = f.read(block)
+            if not more:
+                raise ValueError("the file ends before its last vector")
+            data = data[at:] + more

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.operators.analyze import ORDER
+
 
 def export_faqs(questions: DataFrame, assigned: DataFrame) -> DataFrame:
     """One row for each primary, as exported: ``question, alternateQuestions, terms, tags, refId, responseType, answer, alternateAnswers, dialogRefId``.
@@ -28,29 +30,62 @@ def export_faqs(questions: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def write_graph(faqs: DataFrame, synonyms: DataFrame | None, path: str, single: bool = False) -> None:
-    """JSON lines of FAQs and of synonyms in two folders; ``single`` gives one document ``{faqs, synonyms}`` for small graphs."""
+    """JSON lines of FAQs and of synonyms in two folders; ``single`` gives one document ``{faqs, synonyms}``.
+
+    The document is one file of many lines: a line a FAQ, by id, between the lines that open and close it. One
+    task sorts (on disk, where they are many) and writes the lines, none of which holds the graph; what is
+    large goes out as JSON lines.
+    """
     rows = faqs.drop("q_id")
     if not single:
         rows.write.mode("overwrite").json(f"{path}/faqs")
         if synonyms is not None:
             synonyms.write.mode("overwrite").json(f"{path}/synonyms")
         return
-    all_faqs = faqs.agg(F.transform(F.array_sort(F.collect_list(F.struct("q_id", F.struct(*rows.columns).alias("f")))), lambda x: x.f).alias("faqs"))
-    if synonyms is None:
-        doc = all_faqs.withColumn("synonyms", F.create_map().cast("map<string,array<string>>"))
-    else:
-        doc = all_faqs.crossJoin(synonyms.agg(F.map_from_entries(F.collect_list(F.struct("term", "synonyms"))).alias("synonyms")))  # one row each
-    doc.select(F.to_json(F.struct("faqs", "synonyms"))).coalesce(1).write.mode("overwrite").text(path)
+    line = F.to_json(F.struct(*rows.columns))
+    parts = faqs.select(F.lit(1).alias("s"), F.col("q_id").alias("o"), F.lit("").alias("t"), line.alias("v"))
+    if synonyms is not None:
+        entry = F.regexp_replace(F.to_json(F.map_from_entries(F.array(F.struct("term", "synonyms")))), r"^\{|\}$", "")
+        of_term = synonyms.where("term is not null").groupBy("term").agg(F.flatten(F.collect_list("synonyms")).alias("synonyms"))  # of one term
+        parts = parts.unionByName(of_term.select(F.lit(3).alias("s"), F.lit(0).cast("bigint").alias("o"), F.col("term").alias("t"), entry.alias("v")))
+    # a comma stands before each line but the first of its list
+    firsts = {r["s"]: (r["x"]["o"], r["x"]["t"]) for r in parts.groupBy("s").agg(F.min(F.struct("o", "t")).alias("x")).collect()}  # two rows at most
+    first = F.lit(False)
+    for s, (o, t) in firsts.items():
+        first = first | ((F.col("s") == s) & (F.col("o") == o) & (F.col("t") == t))
+    parts = parts.withColumn("v", F.when(first, F.col("v")).otherwise(F.concat(F.lit(","), "v")))
+    frame = faqs.sparkSession.createDataFrame([(0, 0, "", '{"faqs":['), (2, 0, "", '],"synonyms":{'), (4, 0, "", "}}")], "s int, o bigint, t string, v string")
+    parts.unionByName(frame).repartition(1).sortWithinPartitions("s", "o", "t").select(F.col("v").alias("value")).write.mode("overwrite").text(path)
+
+
+#: Which sink serves which kind of output.
+SINKS = {"json": lambda faqs, synonyms, path: write_graph(faqs, synonyms, path, single=True), "json_lines": write_graph}
+
+
+def write(kind: str, faqs: DataFrame, synonyms: DataFrame | None, path: str) -> None:
+    if kind not in SINKS:
+        raise ValueError(f"unknown sink {kind!r}; there are {', '.join(SINKS)}")
+    SINKS[kind](faqs, synonyms, path)
+
+
+REPORT = ("timestamp", "language", "error_type", "question", "path", "tags")
 
 
 def report_rows(issues: DataFrame, language: str = "en") -> DataFrame:
-    """The analyzer's report: ``timestamp, language, error_type, question, path, tags``, lists joined by commas."""
+    """The analyzer's report, in its order: ``timestamp, language, error_type, question, path, tags``, lists joined by commas."""
     now = F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    return issues.select(now.alias("timestamp"), F.lit(language).alias("language"), "error_type", "question", F.array_join("path", ",").alias("path"), F.array_join("tags", ",").alias("tags"))
+    order = [c for c in ORDER if c in issues.columns]
+    ordered = issues.orderBy(*order) if order else issues
+    return ordered.select(now.alias("timestamp"), F.lit(language).alias("language"), "error_type", "question", F.array_join("path", ",").alias("path"), F.array_join("tags", ",").alias("tags"))
 
 
 def write_report(issues: DataFrame, path: str, language: str = "en") -> None:
-    report_rows(issues, language).write.mode("append").option("header", True).csv(path)
+    """Appends the report; a header stands once, before the first row of the first report."""
+    spark = issues.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.createDataFrame([REPORT], ", ".join(f"{c} string" for c in REPORT)).coalesce(1).write.csv(path)
+    report_rows(issues, language).write.mode("append").csv(path)
 
 
 def write_synonyms(suggestions: DataFrame, path: str) -> None:
