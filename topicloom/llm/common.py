@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.store import discard, shared_dir, staged  # noqa: F401
+
 #: The white space that separates words, as bytes and as a Java / DuckDB / Python character class.
 SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_own_folder: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset, a temporary folder of this process serves, but only for a local master: on a
-    cluster the executors would not see it, so that case is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="topicloom-"))
-    return _own_folder[0]
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prefix(df: DataFrame) -> str:
     """A prefix that no column of ``df`` has (in any case): names with it clash with nothing."""
     p = "__"
@@ -47,11 +19,20 @@ def prefix(df: DataFrame) -> str:
     return p
 
 
+#: Bytes of a batch of texts on the way to Python; one longer text is a batch of its own.
+BATCH_BYTES = 16 << 20
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Sends whole texts to Python in batches of at most so many rows (a session setting, lowered only)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(rows))
+    """Sends whole texts to Python in batches of at most so many rows, and of BATCH_BYTES where they are longer.
+
+    Spark takes these bounds from the session when it plans a query, so they stay set; they are lowered only.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        now = int(str(now).lower().removesuffix("b")) if now and str(now).lower().removesuffix("b").lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 #: Called by a worker that goes over to another operator: frees what the last one remembered.
@@ -94,16 +75,18 @@ def components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-low")
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-low")
         # written before the join, so that Spark can split the links of a node that has many
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct()
         )
-        e = staged(small, f"{tag}-star")
+        old, e = e, staged(small, f"{tag}-star")
+        for done in (old, least):  # the new round is written, and nothing reads these any more
+            discard(done)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
