@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,14 +13,24 @@ from pyspark.sql.functions import pandas_udf
 
 from topicloom.llm.common import components, staged
 
-#: A pair at cosine 0.98 shares a table's bits with probability (1 - acos(0.98)/pi)^12 = 0.45, so it is
-#: missed by all of 16 tables with probability 7e-5.
-TABLES, BITS, COSINE = 16, 12, 0.98
+#: Links have this cosine; a pair that has just so much is missed by all tables with probability MISS at most.
+COSINE, MISS = 0.98, 1e-4
+#: Bits of a table at least, and distinct vectors for each bucket, about: more vectors mean more bits and so more tables.
+LEAST_BITS, BUCKET = 12, 16
 #: Vectors that one task compares with as many others; larger buckets are split into pairs of such blocks.
 BLOCK = 512
+#: Rows that are compared in one go, and groups of up to so many rows that are compared shift by shift, all at once.
+ROWS, SMALL = 16384, 48
+
 
+def hashing(vectors: int, cosine: float = COSINE, miss: float = MISS, bits: int | None = None) -> tuple[int, int]:
+    """Tables and bits for so many vectors. Two at the cosine share a bit with probability 1 - acos(cosine) / pi."""
+    bits = bits or max(LEAST_BITS, math.ceil(math.log2(max(1, vectors) / BUCKET)))
+    shared = (1 - math.acos(cosine) / math.pi) ** bits
+    return math.ceil(math.log(miss) / math.log1p(-shared)), bits
 
-def planes(dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 11) -> np.ndarray:
+
+def planes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed + dim).standard_normal((dim, tables * bits))
 
 
@@ -28,8 +40,8 @@ def signatures(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return side @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _verify(x: np.ndarray, y: np.ndarray | None, table: int, tables: int, bits: int, cosine: float):
-    """Links between the rows of two blocks (or within one) that no earlier table shows: ``(i, j)`` pairs in blocks of bounded size."""
+def _blocks(x: np.ndarray, y: np.ndarray | None, cosine: float):
+    """Pairs ``(i, j)`` of rows of two blocks (or within one) that are near, in pieces of bounded size."""
     one = y is None
     y = x if one else y
     nx, ny = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (x, y))
@@ -39,34 +51,70 @@ def _verify(x: np.ndarray, y: np.ndarray | None, table: int, tables: int, bits:
         if one:
             near &= np.arange(at, at + near.shape[0])[:, None] < np.arange(len(y))[None]
         i, j = np.nonzero(near)
-        i += at
-        if table and len(i):
-            new = ~(signatures(x[i], tables, bits)[:, :table] == signatures(y[j], tables, bits)[:, :table]).any(1)
-            i, j = i[new], j[new]
-        yield i, j
-
+        yield i + at, j
 
-def _forest(pairs, n: int):
-    up = list(range(n))
 
-    def root(a):
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
+def _shifts(x: np.ndarray, group: np.ndarray, most: int, cosine: float):
+    """Near pairs within consecutive groups of up to ``most`` rows: each row against the next, the one after, and so on."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    for k in range(1, most):
+        i = np.nonzero(group[k:] == group[:-k])[0]
+        if not len(i):
+            return
+        i = i[np.einsum("ij,ij->i", x[i], x[i + k]) / (norm[i] * norm[i + k]) >= cosine]
+        yield i, i + k
 
-    for a, b in pairs:
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            yield a, b
 
+def group_links(x: np.ndarray, table: np.ndarray, left: np.ndarray, cuts: np.ndarray, same: np.ndarray, weight: np.ndarray, tables: int, bits: int, cosine: float):
+    """Links of groups of rows: ``(total, root)`` for each row.
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", group: str = "label", cosine: float = COSINE, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    ``cuts`` are the borders of the groups; a group compares its rows with each other (``same``) or those
+    ``left`` with the rest. A pair counts in the first table that shows it. ``total`` adds up the weights of
+    a row's partners, and ``root`` names the least row that its links reach: a spanning forest of stars.
+    """
+    size = np.diff(cuts)
+    group = np.repeat(np.arange(len(size)), size)
+    few = (size <= SMALL) & same
+    found = []
+    rows = np.nonzero(few[group])[0]
+    if len(rows):
+        found += [(rows[i], rows[j]) for i, j in _shifts(x[rows], group[rows], int(size[few].max()), cosine)]
+    for k in np.nonzero(~few)[0].tolist():
+        at = np.arange(cuts[k], cuts[k + 1])
+        a, b = (at, None) if same[k] else (at[left[at]], at[~left[at]])
+        if len(a) and (b is None or len(b)):
+            for i, j in _blocks(x[a], None if b is None else x[b], cosine):
+                found.append((a[i], (a if b is None else b)[j]))
+    total, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    sign, old = None, np.arange(tables)
+    for n, (i, j) in enumerate(found):
+        late = table[i] > 0
+        if late.any():
+            sign = signatures(x, tables, bits) if sign is None else sign
+            new = ~late
+            for at in range(0, len(i), ROWS):
+                s = slice(at, at + ROWS)
+                new[s] |= ~((sign[i[s]] == sign[j[s]]) & (old < table[i[s], None])).any(1)
+            i, j = found[n] = i[new], j[new]
+        np.add.at(total, i, weight[j])
+        np.add.at(total, j, weight[i])
+    while True:  # the least root spreads over the links, and through what it names
+        before = root.copy()
+        for i, j in found:
+            low = np.minimum(root[i], root[j])
+            np.minimum.at(root, i, low)
+            np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            return total, root
+
+
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", group: str = "label", cosine: float = COSINE, tables: int | None = None, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row for each row: ``(key, n_links, component_id, kept)``.
 
     Rows link when ``group`` is equal and not null and the cosine, in double precision, is ``cosine`` or
-    more. Candidates share a bucket of a table; every candidate is verified. Vectors that are null,
+    more. Candidates share a bucket of a table; every candidate is verified. ``hashing`` chooses tables and
+    bits by the number of distinct vectors, so that buckets stay small. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing, nor do those of different
     dimension. Equal vectors of a group collapse to one with a multiplicity before hashing; a bucket
     of any size is split into blocks whose pairs are compared by separate tasks, and a pair counts in
@@ -83,6 +131,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = staged(rows.withColumn("_class", F.when(F.col("_g").isNotNull(), form)), "vectors")
     classes = rows.where("_class is not null").groupBy("_class").agg(F.min("_k").alias("least"), F.count("*").alias("n"), F.first("_g").alias("g"), F.first("_v").alias("vector"))
     classes = staged(classes.withColumn("id", F.xxhash64("_class")), "vector-classes")
+    if tables is None or bits is None:
+        found, bits = hashing(classes.count(), cosine, bits=bits)
+        tables = tables or found
 
     @pandas_udf("array<bigint>")
     def signed(vs: pd.Series) -> pd.Series:
@@ -105,52 +156,44 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     )
     placed = placed.join(classes.select(F.col("id").alias("_id"), "vector"), F.col("id") == F.col("_id")).drop("_id")
 
-    def links(t, x, y, own, ids, n, vectors):
-        """Counts and a forest of one pair of blocks, as rows (a, b, n)."""
-        v, left = vectors.astype(np.float64), own == x
-        if x == y:
-            first, a, b = np.arange(len(ids)), v, None
-            second = first
-        else:
-            first, second = np.nonzero(left)[0], np.nonzero(~left)[0]
-            a, b = v[first], v[second]
-        if not len(first) or not len(second):
-            return []
-        total, tree = np.zeros(len(ids), np.int64), []
-        for i, j in _verify(a, b, t, tables, bits, cosine):
-            i, j = first[i], second[j]
-            np.add.at(total, i, n[j])
-            np.add.at(total, j, n[i])
-            tree.append(np.stack([i, j], 1))
-        if not total.any():
-            return []
-        some = np.nonzero(total)[0]
-        edges = [(ids[i], ids[j], 0) for i, j in _forest((p for e in tree for p in e.tolist()), len(ids))]
-        return [*zip(ids[some], ids[some], total[some], strict=True), *edges]
-
     def checked(batches):
-        """Rows come sorted by pair of blocks; one pair is in memory at a time."""
-        name, held = None, []
-
-        def flush():
-            own, ids, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            out = np.array(links(name[2], name[4], name[5], own, ids, n, np.concatenate([h[3] for h in held])), np.int64).reshape(-1, 3)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, k], pa.int64()) for k in range(3)], ["a", "b", "n"])
+        """Rows come sorted by pair of blocks; whole groups of them, of about ROWS rows, are in memory at a time."""
+        held, rows = [], 0
+
+        def flush(parts):
+            keys, own, ids, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            for d in np.unique(keys[:, 1]).tolist():  # one dimension at a time
+                at = np.nonzero(keys[:, 1] == d)[0]
+                k, x = keys[at], np.stack([v for p in parts for v, q in zip(p[4], p[0], strict=True) if q[1] == d]).astype(np.float64)
+                cuts = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1, [len(k)]])
+                first = k[cuts[:-1]]
+                total, root = group_links(x, k[:, 2], own[at] == k[:, 4], cuts, first[:, 4] == first[:, 5], n[at], tables, bits, cosine)
+                some, tied = np.nonzero(total)[0], np.nonzero(root != np.arange(len(root)))[0]
+                a = np.concatenate([ids[at][some], ids[at][tied]])
+                b = np.concatenate([ids[at][some], ids[at][root[tied]]])
+                m = np.concatenate([total[some], np.zeros(len(tied), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, m)], ["a", "b", "n"])
 
         for batch in batches:
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
             keys = np.stack([c.astype(np.int64) for c in cols[:6]], 1)
-            cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1, [len(keys)]])
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if hi == lo:
+            vectors = batch.column(9).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(keys):
+                to = min(len(keys), at + ROWS)
+                held.append((keys[at:to], cols[6][at:to], cols[7][at:to], cols[8][at:to], vectors[at:to]))
+                at, rows = to, rows + to - at
+                if rows < ROWS:
                     continue
-                if tuple(keys[lo]) != name and held:
-                    yield flush()
-                    held = []
-                name = tuple(keys[lo].tolist())
-                held.append((cols[6][lo:hi], cols[7][lo:hi], cols[8][lo:hi], np.stack(list(batch.column(9).slice(lo, hi - lo).to_numpy(zero_copy_only=False)))))
+                # all but the last group, which may go on
+                last = held[-1][0]
+                cut = int(np.nonzero((last != last[-1]).any(1))[0][-1]) + 1 if (last != last[-1]).any() else 0
+                if cut or len(held) > 1 and (held[-2][0][-1] != last[-1]).any():
+                    yield from flush([*held[:-1], tuple(c[:cut] for c in held[-1])])
+                    held = [tuple(c[cut:] for c in held[-1])]
+                    rows = len(held[0][0])
         if held:
-            yield flush()
+            yield from flush(held)
 
     by = ["g", "d", "t", "s", "x", "y"]
     placed = placed.select(F.xxhash64("g").alias("g"), *by[1:], "_i", "id", "n", "vector").repartition(*by).sortWithinPartitions(*by)
