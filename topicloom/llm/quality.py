@@ -6,6 +6,7 @@ Trusted positives and unlabelled web text train a small network by the non-negat
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +68,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(h @ self.w2 + self.b2, -30, 30)))
 
 
+def risk(z: np.ndarray, n_pos: int, prior: float) -> tuple[float, float]:
+    """The two parts of the risk of logits ``z``, positives first, under the sigmoid loss: that of positives, and that of negatives before it is cut off at zero."""
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # l(+) = 1 - s, l(-) = s
+    return prior * (1 - s[:n_pos]).mean(), s[n_pos:].mean() - prior * s[:n_pos].mean()
+
+
+def risk_slope(z: np.ndarray, n_pos: int, prior: float) -> np.ndarray:
+    """Slope of the non-negative risk; where the part of negatives is below zero, that of its negative alone: a step back along it."""
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    g = np.empty(len(z))
+    if risk(z, n_pos, prior)[1] >= 0:
+        g[:n_pos], g[n_pos:] = -2 * prior / n_pos, 1 / (len(z) - n_pos)
+    else:
+        g[:n_pos], g[n_pos:] = prior / n_pos, -1 / (len(z) - n_pos)
+    return g * s * (1 - s)
+
+
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.02, most: float = 0.98) -> float:
+    """The share of positives among the unlabelled rows, from positives and unlabelled rows alone.
+
+    One half of each trains a classifier of positives against unlabelled rows, and the other half is scored.
+    Above any threshold stand a share of the positives and, of the unlabelled rows, at least the prior's
+    part of that share; so their ratio bounds the prior from above, and it is close where only positives
+    score so high. The threshold is the one of the least ratio with its sampling error.
+    """
+    if min(len(pos), len(unl)) < 20:
+        return 0.5
+    model = fit_nnpu(pos[::2], unl[::2], 0.5, epochs=20)
+    p, u = np.sort(model.score(pos[1::2])), np.sort(model.score(unl[1::2]))
+    at = np.quantile(p, np.linspace(0, 0.95, 96))  # at least a twentieth of the positives above
+    share = lambda x: 1 - np.searchsorted(x, at) / len(x)
+    error = (math.log(40) / 2) ** 0.5 * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = np.argmin((share(u) + error) / share(p))
+    return float(np.clip(share(u)[best] / share(p)[best], least, most))
+
+
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
     """Minimises the non-negative PU risk with the sigmoid loss by Adam; deterministic."""
     rng = np.random.default_rng(seed)
@@ -85,16 +122,7 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, e
             x = np.concatenate([xp, xu])
             a = x @ theta[0] + theta[1]
             h = np.maximum(a, 0)
-            s = 1 / (1 + np.exp(-np.clip(h @ theta[2] + theta[3], -30, 30)))
-            # sigmoid loss: l(+) = 1 - s, l(-) = s
-            slope, negative = s * (1 - s), s[len(xp) :].mean() - prior * s[: len(xp)].mean()
-            g = np.empty(len(x))
-            if negative >= 0:
-                g[: len(xp)] = (-prior - prior) / len(xp)
-                g[len(xp) :] = 1 / len(xu)
-            else:  # the risk of negatives fell below zero: step back along it
-                g[: len(xp)], g[len(xp) :] = prior / len(xp), -1 / len(xu)
-            g *= slope
+            g = risk_slope(h @ theta[2] + theta[3], len(xp), prior)
             dh = np.outer(g, theta[2]) * (a > 0)
             grad = [x.T @ dh + decay * theta[0], dh.sum(0), h.T @ g + decay * theta[2], np.array([g.sum()])]
             t += 1
@@ -112,14 +140,14 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED) -> Model:
     """Fits the model from rows outside the held-out fold.
 
-    Positives: rows labelled 1. Unlabelled: rows without any label. The prior is the share of 1 among
-    all labelled rows outside the fold (0.5 where there is none). The fit uses the ``n_positive`` and
-    ``n_unlabelled`` rows of each kind with the smallest hashed ids: at most so many feature rows
-    reach the driver, whatever the size of the corpus.
+    Positives: rows labelled 1. Unlabelled: rows without any label. No label 0 is used: the prior is
+    ``estimated_prior`` of these rows. The fit uses the ``n_positive`` and ``n_unlabelled`` rows of each kind
+    with the smallest hashed ids: at most so many feature rows reach the driver, whatever the size of the
+    corpus. Of rows that repeat an id the one with the smallest features counts. Rows without an id train
+    nothing; without positives or unlabelled rows every score is 0.5. Columns besides doc_id and text are not read.
     """
+    bounded_batches(docs.sparkSession)
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out())
-    counts = marks.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
-    prior = min(0.98, max(0.02, counts[1] / counts[0])) if counts[0] else 0.5
     order = F.xxhash64("doc_id", F.lit(17))
     pos = marks.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(n_positive)
     free = docs.select("doc_id").where("doc_id is not null").where(~held_out()).join(labels.select("doc_id"), "doc_id", "left_anti")
@@ -132,14 +160,18 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = N_POSITIVE, n_un
         forget()
         return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "_kind", packed("text").alias("x")).dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "_kind", packed("text").alias("x")).groupBy("doc_id", "_kind").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     of = lambda kind: np.array([np.frombuffer(r.x, np.float32) for r in rows if r["_kind"] == kind]).reshape(-1, WIDTH)
-    return fit_nnpu(of(1), of(0), prior)
+    pos, unl = of(1), of(0)
+    return fit_nnpu(pos, unl, estimated_prior(pos, unl))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds ``out``, the model's score of the whole text (0 to 1; null as empty). Nothing but the text enters it."""
+    """Adds ``out``, the model's score of the whole text (0 to 1; null as empty). Nothing but the text enters it.
+
+    Equal texts have equal scores, so repeated rows do. A column named ``out`` is replaced. No rows give no rows.
+    """
 
     bounded_batches(docs.sparkSession)
 
