@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -36,19 +37,24 @@ MOST_SOURCES = 4096
 
 
 class WordIds:
-    """Ids by a ``tokenizers`` file whose pre-tokenizer never joins what stands on two sides of a space.
+    """Ids by a ``tokenizers`` file, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    So each part between spaces is encoded once and its ids are remembered; the result equals that of
-    encoding the whole text.
+    Where the file's tokenizer drops white space, what stands on two sides of a space is independent: each
+    part between spaces is encoded once and its ids are remembered. For another tokenizer, which ``PROBES``
+    tell, whole texts are encoded.
     """
 
+    PROBES = ("a b", " a", "a ", "a  b", "a\nb", "a \n b", "1 2", "it 's", ". .", "a . 1", "<|endoftext|> a", "é  ü")
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.most = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        whole = [e.ids for e in self.tokenizer.encode_batch([*self.PROBES], add_special_tokens=False)]
+        parts = [[i for w in re.split("[ \n]", p) for i in self.tokenizer.encode(w, add_special_tokens=False).ids] for p in self.PROBES]
+        self.by_words = whole == parts
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {}
@@ -88,6 +94,8 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words that are new to some of about BLOCK characters of texts are learned together."""
+        if not self.by_words:
+            return [x for t in texts for x in self._slow([t])]
         out: list[list[bytes]] = [[] for _ in texts]
         held, size = [], 0
 
@@ -131,7 +139,9 @@ remembered.append(_clear)
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenises whole texts and cuts those over ``capacity`` ids: ``(key, piece, start, length, ids_crc32[, ids])``.
 
-    A document's ids end with ``end_id``, so a null or empty text is one piece of one id.
+    A document's ids end with ``end_id``, so a null or empty text is one piece of one id. Strings of special
+    tokens in a text count as the library takes them, as special tokens. Repeated rows are cut each, a null
+    key stays null, other columns are not read, and no rows give no rows.
     ``cache_words`` bounds what a worker remembers (some 200 bytes a word, twice) and changes no result.
     """
     bounded_batches(df.sparkSession)
