@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -159,7 +160,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     packed = packing.pack(packing.pieces(docs, WORDS, capacity=64, with_ids=True), capacity=64).collect()
     own = {}
     for r in docs.collect():
@@ -174,7 +174,10 @@ def test_packing(docs, none):
     assert len(at) <= -(-sum(at.values()) // 64) * 1.05 + 1
     assert packing.pack(packing.pieces(none, WORDS)).count() == 0
     s = ["a\x01b x", "İ. x'. 'S. A'll: ǅ! <|endoftext|> 日本", "ﬁ́  é\n\n12"]
-    assert packing.WordIds(WORDS)(s) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in s]
+    s += ["a <|endoftext|> b", "a<|startoftext|>b <|endoftext|", " ".join(f"w{i % 7000}x" for i in range(300_000))]  # more than a block
+    for path in (WORDS, public_tokenizers.path("byte_bpe_50k.json")):  # the second keeps spaces
+        t, ours = Tokenizer.from_file(path), packing.WordIds(path)
+        assert ours.by_words == (path == WORDS) and ours(s) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in s]
 
 
 def test_plan_places_all():
@@ -323,6 +326,37 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_recall_of_the_shipped_tables():
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((2, 30_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.98 * x + (1 - 0.98**2) ** 0.5 * y / np.linalg.norm(y, axis=1)[:, None]  # pairs at the very cosine
+    for n in (1000, 1_000_000, 100_000_000):
+        tables, bits = vectors.hashing(n)
+        a, b = (vectors.signatures(v, tables, bits) for v in (x[: 30_000 if n < 10_000 else 4000], y[: 30_000 if n < 10_000 else 4000]))
+        assert (a == b).any(1).mean() >= 0.999 and n / 2**bits <= vectors.BUCKET
+    assert vectors.hashing(1000) == (16, 12)
+
+
+def test_vectors_of_dense_groups_and_odd_keys(spark):
+    rng = np.random.default_rng(3)
+    near = rng.standard_normal(16) + rng.standard_normal((700, 16)) * 0.03  # a group larger than a block
+    far = rng.standard_normal((500, 16))
+    v = np.concatenate([near, far]).astype(np.float32)
+    rows = [(i, [float(c) for c in w], 3) for i, w in enumerate(v)] + [(5, [float(c) for c in v[6]], 3), (None, [float(c) for c in v[0]], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("x")).repartition(5)
+    u = np.concatenate([v, v[6:7]]).astype(float)
+    n = np.linalg.norm(u, axis=1)
+    s = (u @ u.T) / (n[:, None] * n[None]) >= 0.98
+    np.fill_diagonal(s, False)
+    want = sorted([*zip(range(1200), s[:1200].sum(1).tolist()), (5, int(s[1200].sum())), (-1, 0)])
+    got = vectors.near_duplicates(df).collect()
+    assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links) for r in got) == want
+    reach = {r.vec_id: r.component_id for r in got if r.vec_id is not None}
+    assert {reach[i] for i in range(700) if s[i].any()} == {min(i for i in range(700) if s[i].any())}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in common.components(e, "t").collect()}
@@ -394,6 +428,17 @@ def test_licenses(spark):
     assert licenses.scan(df.where("doc_id < 0")).count() == 0
 
 
+def test_licenses_whole_texts(spark):
+    t, wrap = licenses.TEMPLATES, lambda s: "\n".join(textwrap.wrap(s, 72))
+    names = ["MIT-full", "BSD-2-Clause-full", "BSD-3-Clause-full", "ISC-full", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Zlib", "Unlicense", "EPL-2.0"]
+    head = "Some Project\nCopyright (c) 2020 A. Nobody. All rights reserved.\n"
+    rows = [(i, f(t[n]), n) for i, (n, f) in enumerate((n, f) for n in names for f in (str, wrap, lambda x: head + wrap(x), lambda x: "Unlike words stand here.\n\n" + wrap(x) + "\n\nAnd here."))]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: n for i, _, n in rows}
+    tie = licenses.scan(spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string"), templates={"b": "alpha beta gamma delta", "a": "Alpha, beta gamma delta"}).first()
+    assert (tie.license, tie.dice, tie.n_matches) == ("a", 1.0, 2)
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
@@ -406,6 +451,20 @@ def test_quality(spark):
     assert {r.score for r in quality.score(odd, quality.train(docs.where("doc_id < 0"), labels.where("doc_id < 0"))).collect()} == {0.5}
 
 
+def test_risk_and_prior():
+    rng = np.random.default_rng(1)
+    for z in (rng.normal(0, 2, 40), np.concatenate([rng.normal(4, 1, 20), rng.normal(-6, 1, 20)])):  # the second cuts the negatives' risk off
+        value = lambda z: (lambda p, n: p + n if n >= 0 else -n)(*quality.risk(z, 20, 0.6))
+        step = [(value(z + d) - value(z - d)) / 2e-5 for d in np.eye(40) * 1e-5]
+        assert np.allclose(quality.risk_slope(z, 20, 0.6), step, atol=1e-8)
+    assert quality.risk(np.concatenate([np.full(20, 9.0), np.full(20, -9.0)]), 20, 0.6)[1] < 0
+    for share in (0.2, 0.5, 0.8):
+        good, bad = rng.normal(1, 1, (4000, 6)), rng.normal(-1, 1, (4000, 6))
+        mixed = np.where((rng.random(4000) < share)[:, None], good[::-1], bad)
+        assert abs(quality.estimated_prior(good[:2000], mixed) - share) < 0.07
+    assert quality.estimated_prior(good[:5], mixed) == 0.5
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
