@@ -179,6 +179,35 @@ def test_binary_vectors_and_zip_corpora(spark, tmp_path):
     assert sorted(r.text for r in faq.read_corpus(spark, str(tmp_path / "c.zip"), bytes.decode).collect()) == ["one", "three", "two"]
 
 
+def test_word2vec_puts_words_of_like_contexts_together(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"the {r.choice(['cat', 'dog'])} eats {r.choice(['meat', 'fish'])} at {r.choice(['noon', 'night'])}",) if i % 2 else (f"a {r.choice(['stone', 'rock'])} lies below {r.choice(['water', 'sand'])} since {r.choice(['ages', 'years'])}",) for i in range(800)]
+    v = {x.word: x.vector for x in synonyms.train_vectors(spark.createDataFrame(rows, "text string"), size=16, epochs=25, partitions=1).collect()}
+    assert len(v) == 19 and {len(x) for x in v.values()} == {16}
+
+    def cos(a, b):
+        dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
+        return dot(v[a], v[b]) / (dot(v[a], v[a]) * dot(v[b], v[b])) ** 0.5
+
+    assert cos("cat", "dog") > max(cos("cat", "stone"), cos("cat", "rock")) and cos("stone", "rock") > max(cos("stone", "cat"), cos("stone", "dog"))
+
+
+def test_programs(spark, tmp_path):
+    import struct
+
+    faqs = [{"question": "what is it", "terms": ["card", "R"], "tags": ["fee"], "alternateQuestions": [], "answer": [{"text": f"answer {i}"}]} for i in range(2)]
+    (tmp_path / "g.json").write_text(json.dumps({"faqs": faqs, "synonyms": {}}))
+    pipeline.main(["analyze", str(tmp_path / "g.json"), str(tmp_path / "report"), "--limit", "UnreachableQuestions=1"])
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "report").glob("part*")) == 2
+    words = ["card", "fee", "pin", "cost"]
+    (tmp_path / "v.bin").write_bytes(b"4 2\n" + b"".join(w.encode() + b" " + struct.pack("<2f", *x) for w, x in zip(words, [(1, 0), (0, 1), (1, 0.1), (0.1, 1)], strict=True)))
+    pipeline.main(["synonyms", str(tmp_path / "g.json"), str(tmp_path / "s"), "--vectors", str(tmp_path / "v.bin")])
+    got = dict(x.split(",") for p in (tmp_path / "s").glob("part*") for x in p.read_text().splitlines())
+    assert {w: s.split("/")[0] for w, s in got.items()} == {"card": "pin", "fee": "cost", "R": '""'}
+
+
 def test_graph_document_is_one_json(spark, tmp_path):
     rows = [(i, f"q{i}", [{"text": "a", "type": "b", "channel": "c"}]) for i in range(40)]
     faqs = spark.createDataFrame(rows, f"q_id long, question string, answer array<{faq.ANSWER}>").repartition(7)
