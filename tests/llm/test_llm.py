@@ -212,6 +212,31 @@ def test_simhash(docs, none):
     assert simhash.groups(none).count() == 0
 
 
+def test_simhash_fingerprints_bit_by_bit(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcDEÉ.") for _ in range(r.randint(1, 5)))
+    rows = [None, "", " \t", "One", "one  TWO", "A b\nc d", "É à ü", "x x x x x", *(" ".join(word() for _ in range(n)) for n in (3, 4, 50, 2000, 70_000))]
+
+    def bits(text):
+        data = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+        w = [x for x in re.split(rb"[\x20\x09-\x0D]+", data) if x]
+        grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+    df = spark.createDataFrame([*enumerate(rows), (None, "lone one")], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in simhash.groups(df).select("doc_id", simhash.hexadecimal().alias("fingerprint")).collect()}
+    assert got == {k: f"{bits(t):016x}" for k, t in [*enumerate(rows), (None, "lone one")]}
+
+
+def test_null_keys_of_exact_dedup(spark):
+    rows = [(None, "a b"), (None, "c"), (None, "c "), (4, "a  b"), (4, "a b"), (3, None), (None, "")]
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 1, True), (0, 0, 1, True), (0, 3, 2, False), (0, 4, 3, False), (3, 3, 2, True), (4, 4, 3, True), (4, 4, 3, True)]
+    kept = exact.deduplicate(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string"))
+    assert sorted((r.doc_id or 0, re.sub(" +", " ", r.text or "")) for r in kept.collect()) == [(0, "c"), (0, "c "), (3, ""), (4, "a b")]
+
+
 def test_simhash_replaces_rows_only_within_groups(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(None, a), (None, b), (None, c), (None, a), (7, b), (8, a.upper() + " more"), (8, c + " other"), (8, "another")]

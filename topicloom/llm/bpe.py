@@ -67,7 +67,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
 
     Long texts are cut at safe boundaries first, so the regex works in bounded memory. Only the text
     column goes to Python; other columns, whatever their names, stay in the JVM. A column that is
-    already named ``out`` is replaced.
+    already named ``out`` is replaced. Repeated rows have equal ids, null keys pass, no rows give no rows.
     """
 
     bounded_batches(df.sparkSession)
@@ -83,7 +83,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``, the bytes that the ids stand for (binary: ids may end inside a character); null gives none."""
+    """Adds ``out``, the bytes that the ids stand for (binary: ids may end inside a character); null gives none, and no rows give no rows. A column named ``out`` is replaced."""
 
     @arrow_udf("binary")
     def raw(lists: pa.Array) -> pa.Array:

@@ -3,7 +3,8 @@
 A text's fingerprint is its UTF-8 bytes read as one number in base 256, modulo a 120-bit prime. Those
 of two chunks combine by a shift of the second one's length: f(ab) = f(a) 256^|b| + f(b). So chunks of
 a huge document are hashed by many tasks. Texts with equal fingerprint and length are then compared
-chunk by chunk; no decision rests on a hash alone.
+chunk by chunk, so no two texts are called equal by fingerprints alone. Only where that comparison finds
+unlike texts of one fingerprint does their SHA-256 tell which are which.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import normal_space, prefix, staged
+from topicloom.llm.common import bounded_batches, normal_space, prefix, staged
 
 #: Fixed value: the largest prime below 2^120.
 PRIME = 2**120 - 119
@@ -58,6 +59,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", huge: i
 
     Null counts as empty. Documents of ``huge`` bytes or more are hashed in chunks by several tasks.
     """
+    bounded_batches(df.sparkSession)
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0))
     narrow = df.select(F.col(key).alias("_key"), normal_space(F.col(text)).alias("_text"), size.alias("_size"))
     last = [F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("text_sha256")]

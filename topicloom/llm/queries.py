@@ -11,10 +11,12 @@ from topicloom.llm.common import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licence that any of its units matches best; null and empty texts match none, repeated rows stand for themselves, ties go to the smaller name."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, null and empty texts too. Rows without an id are scored and not held out; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs.select("doc_id", "text"), model)
@@ -22,11 +24,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that stay. Null texts have none; a repeated row equals the row that it repeats; a null id counts as the largest; an empty table gives no rows."""
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with digests of its ids and of the bytes they decode to. Null counts as empty, repeated rows and null ids stay as they are, an empty table gives no rows."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
     both = bpe.decode(ids, ranks, pattern)
@@ -34,23 +38,28 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component. Vectors or labels that are null link with nothing; repeated ids are vectors of their own; an empty table gives no rows."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group. Null counts as empty; a group keeps its smallest id, a null one only without others; repeated rows count each; an empty table gives no rows."""
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place. A null or empty text is one piece of one id; repeated rows are packed each; an empty table gives no rows."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with fingerprint and component. Texts without words have fingerprint zero and are linked like others; null ids take part; an empty table gives no rows."""
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and slot by the law of rows. Null texts count no bytes; repeated rows and null ids get slots of their own; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -59,11 +68,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the bytes that stay, and their whole characters as ``text``. Null counts as empty; a repeated row is another place; rows of one id stand apart; an empty table gives no rows."""
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over the whole table; what odd rows give stands with each stage."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
