@@ -152,16 +152,17 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def necessary_words(bigrams: list[str], threshold: float) -> list[str]:
+def necessary_words(bigrams: list[str], threshold: float, chosen=()) -> list[str]:
     """Words of which a match must hold one.
 
     A match lacks at most |B| (1 - t/(2-t)) of the template's bigrams B, so words that stand in more of
-    them than that cannot all be missing. Greedy: words of most bigrams first, common and short ones last.
+    them than that cannot all be missing. Greedy: words ``chosen`` for
+    another template and words of most bigrams first, common and short ones last.
     """
     left, out, spare = set(bigrams), [], len(bigrams) * (1 - threshold / (2 - threshold)) + 1e-9
     while len(bigrams) - len(left) <= spare:
         words = sorted({w for b in left for w in b.split()})
-        best = max(words, key=lambda w: (w not in COMMON, len(w) > 3, sum(w in b.split() for b in left), len(w)))
+        best = max(words, key=lambda w: (w not in COMMON, w in chosen, len(w) > 3, sum(w in b.split() for b in left), len(w)))
         left = {b for b in left if best not in b.split()}
         out.append(best)
     return out
@@ -191,13 +192,19 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
     lit = {name: F.array(*[F.lit(b) for b in bs]) for name, bs in spread.items()}
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    needed = sorted({w for b in spread.values() for w in necessary_words(b, threshold)})
+    needed: list[str] = []
+    for b in sorted(spread.values(), key=len):
+        needed += [w for w in necessary_words(b, threshold, needed) if w not in needed]
+    needed = [w for w in needed if not any(v != w and v in w for v in needed)]  # who holds the longer word holds the shorter
 
     def may(unit):
-        lower, out = F.lower(unit), F.lit(False)
-        for word in needed:
-            out |= F.contains(lower, F.lit(word))
-        return out
+        def any_of(lower):
+            out = F.lit(False)
+            for word in needed:
+                out |= F.contains(lower, F.lit(word))
+            return out
+
+        return F.exists(F.array(F.lower(unit)), any_of)  # lower case once, not once a word
 
     # units of texts without a necessary word are not cut, and those without one not turned into bigrams
     units = F.array_distinct(F.concat(F.array(whole), F.split(whole, r"\n[\x20\x09-\x0D]*\n"), F.split(whole, r"\n")))
