@@ -232,7 +232,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Dat
     before = Window.partitionBy("length").orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_source", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("length", "_source").orderBy("_key", "piece")
-    ranked = rows.withColumn("_own", F.row_number().over(own) - 1).join(starts, ["length", "_source"]).withColumn("_rank", F.col("_before") + F.col("_own"))
+    # merge: the window has dealt and sorted the rows by these keys, and the starts, up to capacity x MOST_SOURCES rows, are no broadcast
+    ranked = rows.withColumn("_own", F.row_number().over(own) - 1).join(starts.hint("merge"), ["length", "_source"]).withColumn("_rank", F.col("_before") + F.col("_own"))
     run = F.filter("_runs", lambda x: (x.lo <= F.col("_rank")) & (F.col("_rank") < x.hi))[0]
     placed = ranked.join(F.broadcast(runs), "length").withColumn("_run", run)  # runs are bounded by the capacity
     return placed.select(
