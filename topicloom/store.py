@@ -33,7 +33,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors, and its size is known."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # smaller than the default; these tables are read a few times at most
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
