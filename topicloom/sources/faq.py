@@ -5,12 +5,12 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from topicloom.functions import lexicon, text
-from topicloom.store import staged
+from topicloom.operators import scans
 
 ANSWER = "struct<text:string,type:string,channel:string>"
 JSON_SCHEMA = (
@@ -44,16 +44,8 @@ def _answer(column) -> F.Column:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds ``q_id``: 10001 and on, by the columns of ``order``; their values are distinct.
-
-    Rows are sorted over all tasks and numbered within each; what stands before a task's rows comes from
-    the tasks' counts. The sorted rows are written first, so that the numbers are the same each time.
-    """
-    sorted_ = staged(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row a task
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = sorted_.join(before.select("_part", "_first", "_before"), "_part")
-    return own.withColumn("q_id", (F.col("_before") + F.col("_at") - F.col("_first") + FIRST_ID).cast("long")).drop("_part", "_at", "_first", "_before")
+    """Adds ``q_id``: 10001 and on, by the columns of ``order``; their values are distinct."""
+    return scans.positioned(rows, *order, name="q_id", first=FIRST_ID)
 
 
 def _questions(rows: DataFrame, lang: str) -> DataFrame:
@@ -95,8 +87,8 @@ def csv_export_rows(rows: DataFrame) -> DataFrame:
     stop = rows.where(F.coalesce(F.get("cells", F.lit(0)), F.lit("")) != "faq").agg(F.min("row_no").alias("_stop"))
     lead = rows.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("row_no") < F.col("_stop")))  # one row
     kind = F.get("cells", F.lit(2))
-    fill = F.last(F.when(kind == "primary", F.col("row_no")), ignorenulls=True).over(Window.orderBy("row_no"))
-    return lead.withColumn("kind", kind).withColumn("primary_row", fill).where("kind in ('primary', 'alternate')").drop("_stop")
+    filled = scans.carried(lead.withColumn("kind", kind), F.when(F.col("kind") == "primary", F.col("row_no")), "row_no", "primary_row")
+    return filled.where("kind in ('primary', 'alternate')").drop("_stop")
 
 
 def from_csv_export(rows: DataFrame, lang: str = "en") -> DataFrame:
