@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, exact, licenses, packing, quality, shards, simhash, substrings, suffixes, vectors
+from topicloom.llm import bpe, clusters, exact, licenses, merkle, minhash, packing, quality, shards, simhash, substrings, suffixes, vectors
 from topicloom.llm.common import table
 
 
@@ -73,6 +75,34 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
 
 
+LOWER = (string.ascii_uppercase, string.ascii_lowercase)
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its leaf, subroot, root and proof, and whether its row, tampered with or not, leads to the root. Null ids come first and are not tampered with; repeated rows are leaves of their own; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    own = fields(F.col("text")).alias("leaf")
+    rows = docs.select("doc_id", "lang", own, F.when(hit, fields(F.translate("text", *LOWER))).alias("changed"))
+    out = merkle.verified(merkle.manifest(rows, "lang", ["doc_id"]).withColumn("again", F.coalesce("changed", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and that of its edited text. Null texts count as empty; repeated rows follow each other; null ids come last; an empty table gives no rows."""
+    near = minhash.neighbours(table(spark, sf_dir, "documents"))
+    edited = near.withColumn("edited", F.concat("text_head", "next_head"))
+    out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", minhash.fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    likeness = lambda other: minhash.likeness(F.col("fingerprint"), F.col(other))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("edited_fingerprint").alias("near_edited"), likeness("next_fingerprint").alias("near_next"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 finite components with its cluster. Other vectors, null ones too, give no row; repeated rows give one each; rows without an id start no cluster before others; an empty table gives no rows."""
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over the whole table; what odd rows give stands with each stage."""
     import corpus_pipeline
@@ -80,7 +110,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_substring_dedup, op4_byte_bpe, op5_embedding_dedup, op6_exact_dedup, op7_best_fit_packing, op8_simhash_dedup, op9_sharding, op10_suffix_array_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_substring_dedup, op4_byte_bpe, op5_embedding_dedup, op6_exact_dedup, op7_best_fit_packing, op8_simhash_dedup, op9_sharding, op10_suffix_array_dedup, op11_merkle_manifest, op12_order_minhash, op13_centroid_clustering, pipeline)}
+
+counted = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+
+
+def leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(counted, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: crc32 of the decimal doc_id, bit by bit, as a remainder in whole numbers.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+ lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+def kmeans(rounds: int = 3) -> str:
+    """The rounds one after the other; whole numbers stay exact in DOUBLE products below 2^53."""
+    out = """WITH v AS (SELECT vec_id, row_number() OVER () i, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 j, q c FROM v QUALIFY j < 16)"""
+    for r in range(rounds + 1):
+        out += f""", d{r} AS (SELECT vec_id, i, q, j, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT d FROM v, c{r}),
+a{r} AS (SELECT i, any_value(vec_id) vec_id, any_value(q) q, min(d) d, arg_min(j, d * 16 + j) j FROM d{r} GROUP BY i)"""
+        if r < rounds:
+            out += f""", s{r} AS (SELECT j, k, floor(sum(x) / count(*))::BIGINT x FROM (SELECT j, unnest(q) x, unnest(range(64)) k FROM a{r}) GROUP BY j, k),
+c{r + 1} AS (SELECT c{r}.j, coalesce(n, c) c FROM c{r} LEFT JOIN (SELECT j, list(x ORDER BY k) n FROM s{r} GROUP BY j) m USING (j))"""
+    return out + f""" SELECT vec_id, j::INT AS cluster, d distance, (sum(d) OVER (PARTITION BY j))::BIGINT cluster_inertia, (sum(d) OVER ())::BIGINT inertia, sha256(array_to_string(c, ',')) centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (j)"""
+
 
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
@@ -118,4 +174,20 @@ k AS (SELECT doc_id, string_agg(x, '' ORDER BY lo) k, string_agg(decode(unhex(e)
 h AS (SELECT doc_id, sum(hi - lo)::BIGINT n, count(*) m FROM r GROUP BY doc_id)
 SELECT doc_id, octet_length(t)::BIGINT n_bytes, coalesce(n, 0) n_removed, coalesce(m, 0) n_spans, sha256(coalesce(unhex(k), t)) kept_sha256, coalesce(kept, decode(t)) AS text
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE l AS (SELECT doc_id, lang, {leaf("text")} leaf, CASE WHEN crc % 3 = 0 THEN {leaf(f"translate(text, '{LOWER[0]}', '{LOWER[1]}')")} ELSE {leaf("text")} END again
+  FROM (SELECT *, {CRC} crc FROM documents)),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 pos, count(*) OVER (PARTITION BY lang) n FROM l),
+t(lang, lvl, pos, n, h) AS (SELECT lang, 0, pos, n, leaf FROM s UNION ALL SELECT lang, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 8, n),
+b AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 pos, count(*) OVER () n FROM t WHERE n = 1),
+u(lvl, pos, n, h) AS (SELECT 0, pos, n, h FROM b UNION ALL SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 8, n),
+w AS (SELECT s.doc_id, s.lang, s.pos, t.lvl, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos < t.pos), '') lo, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos > t.pos), '') hi
+  FROM s JOIN t ON t.lang IS NOT DISTINCT FROM s.lang AND t.n > 1 AND t.pos = s.pos // (8 ** t.lvl)::BIGINT JOIN t o ON o.lang IS NOT DISTINCT FROM t.lang AND o.lvl = t.lvl AND o.pos // 8 = t.pos // 8 GROUP BY ALL),
+x AS (SELECT b.lang, u.lvl, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos < u.pos), '') lo, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos > u.pos), '') hi
+  FROM b JOIN u ON u.n > 1 AND u.pos = b.pos // (8 ** u.lvl)::BIGINT JOIN u o ON o.lvl = u.lvl AND o.pos // 8 = u.pos // 8 GROUP BY b.lang, b.pos, u.lvl, u.pos),
+p AS (SELECT lang, pos, list(lo || '|' || hi ORDER BY lvl) p FROM w GROUP BY lang, pos), q AS (SELECT lang, list(lo || '|' || hi ORDER BY lvl) q FROM x GROUP BY lang),
+a AS (SELECT s.*, b.h subroot, (SELECT h FROM u WHERE n = 1) root, list_concat(coalesce(p, []), coalesce(q, [])) path FROM s JOIN b ON b.lang IS NOT DISTINCT FROM s.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM s.lang AND p.pos = s.pos LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang),
+f AS (SELECT *, list_reduce(list_prepend(again, path), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) proof_sha256, folded_root, folded_root = root verified FROM f""",
+    "op13_centroid_clustering": kmeans(),
 }
