@@ -122,29 +122,33 @@ def likeness(a: Column, b: Column) -> Column:
 RUN = 1024
 
 
-def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """``(key, n_chars, fingerprint, text_head, next_head, next_fingerprint)``: each row beside the next one by ascending key, the last beside the first.
 
     ``text_head`` is the first ceil(n / 2) code points, ``next_head`` the first floor(n / 2) of the next row's
-    text, or all. Null texts count as empty. Rows of one key go by a hash of their texts, then by where
-    they were read; null keys come last. Rows are put in order by keys alone; then runs of RUN rows in
-    order meet, each with the first row of the next run. No key gathers: places are all different. An
-    empty table gives no rows.
+    text, or all. Null texts count as empty. Rows of one key go by a hash of their texts, then by ``row``; null
+    keys come last. ``row`` names a column that tells all rows apart and is the same at each reading, such as
+    file and place of a Parquet row; without one, a copy of the texts is written. Rows are put in order by
+    keys alone; then runs of RUN rows in order meet, each with the first row of the next run. No key gathers:
+    places are all different. An empty table gives no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = staged(df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), t.alias("t")).select("*", F.length("t").alias("n"), fingerprint(F.col("t")).alias("fp")), "minhash-texts")
-    placed = staged(positioned(rows.select("row", "n", F.col("key").alias("k"), F.xxhash64("t").alias("h")), F.asc_nulls_last("k"), "h", "row").select("row", "n", "pos"), "minhash-places")
+    rows = df.select(F.col(key).alias("key"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), t.alias("t"))
+    rows = rows if row else staged(rows, "minhash-texts")
+    placed = staged(positioned(rows.select("row", F.length("t").alias("n"), F.col("key").alias("k"), F.xxhash64("t").alias("h")), F.asc_nulls_last("k"), "h", "row").select("row", "n", "pos"), "minhash-places")
     count = placed.count()
-    before = placed.select(((F.col("pos") + 1) % max(count, 1)).alias("pos"), F.floor(F.col("n") / 2).cast("int").alias("asked"))
-    # what the row itself and the one before it take of its text
-    both = rows.join(placed.join(before, "pos").select("row", "pos", "asked"), "row")
-    own = F.col("n") - F.floor(F.col("n") / 2).cast("int")
-    both = both.select("key", "n", "fp", "pos", F.left("t", F.greatest(own, F.col("asked"))).alias("head"))
-    halo = (F.col("pos") % RUN) == 0
+    half = F.floor(F.col("n") / 2).cast("int")
+    before = placed.select(((F.col("pos") + 1) % max(count, 1)).alias("pos"), half.alias("asked"))
+    # fingerprints are made where texts are read, and travel as bytes; then texts lose what neither they nor the one before need
+    printed = rows.select("key", "row", "t", F.unhex(fingerprint(F.col("t"))).alias("fp"))
+    both = printed.join(placed.join(before, "pos"), "row")
+    both = both.select("key", "n", "fp", "pos", F.left("t", F.greatest(F.col("n") - half, F.col("asked"))).alias("head"))
+    run = lambda pos: F.struct(pos.alias("pos"), F.floor(pos / RUN).alias("run"))
     last = F.when(F.col("pos") == 0, F.lit(count)).otherwise(F.col("pos"))
-    places = F.when(halo, F.array(F.struct("pos", F.floor(F.col("pos") / RUN).alias("run")), F.struct(last.alias("pos"), F.floor((last - 1) / RUN).alias("run")))).otherwise(F.array(F.struct("pos", F.floor(F.col("pos") / RUN).alias("run"))))
+    # the first row of a run stands behind the run before it too
+    behind = F.struct(last.alias("pos"), F.floor((last - 1) / RUN).alias("run"))
+    places = F.when(F.col("pos") % RUN == 0, F.array(run(F.col("pos")), behind)).otherwise(F.array(run(F.col("pos"))))
     each = both.select("key", "n", "fp", "head", F.posexplode(places).alias("copy", "at"))
     after = Window.partitionBy("at.run").orderBy("at.pos")
     found = each.withColumn("next", F.lead(F.struct("head", "fp")).over(after)).where("copy = 0")
-    half = F.floor(F.col("n") / 2).cast("int")
-    return found.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_chars"), F.col("fp").alias("fingerprint"), F.left("head", F.col("n") - half).alias("text_head"), F.left("next.head", half).alias("next_head"), F.col("next.fp").alias("next_fingerprint"))
+    return found.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_chars"), F.hex("fp").alias("fingerprint"), F.left("head", F.col("n") - half).alias("text_head"), F.left("next.head", half).alias("next_head"), F.hex("next.fp").alias("next_fingerprint"))

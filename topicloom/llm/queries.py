@@ -91,7 +91,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and that of its edited text. Null texts count as empty; repeated rows follow each other; null ids come last; an empty table gives no rows."""
-    near = minhash.neighbours(table(spark, sf_dir, "documents"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    near = minhash.neighbours(table(spark, sf_dir, "documents").withColumn("row", place), row="row")
     edited = near.withColumn("edited", F.concat("text_head", "next_head"))
     out = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", minhash.fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     likeness = lambda other: minhash.likeness(F.col("fingerprint"), F.col(other))
