@@ -41,6 +41,7 @@ def assign(questions: DataFrame, counts: DataFrame, stop, root: str = ROOT) -> D
     terms = counts if "sort_cnt" in counts.columns else model(counts, stop)
     place = terms.schema["f"].dataType.simpleString()
     doc = text.words(F.col("normalized"))
+    asked = "words" if "words" in questions.columns else "question"  # words apart, where a script has no spaces
     held = questions.select("q_id", F.explode(F.array_distinct(text.ngrams_up_to(doc, 3))).alias("term")).join(terms, "term")
     own = held.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("k", "c", "f", "term", "sort_cnt"))).alias("cands"))
     base = questions.join(own, "q_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast(f"array<struct<k:int,c:bigint,f:{place},term:string,sort_cnt:bigint>>")))
@@ -52,7 +53,7 @@ def assign(questions: DataFrame, counts: DataFrame, stop, root: str = ROOT) -> D
 
     folded = base.withColumn("s", F.aggregate(F.filter("cands", lambda t: t.k < 2), start, step))
     verbs = F.filter("cands", lambda t: (t.k == 2) & F.contains(F.col("s.d"), text.padded(t.term)))
-    tag = F.when(F.size(verbs) > 0, F.element_at(verbs, -1).term).when(F.size("s.h") == 0, text.single_word_tag(F.col("question"), stop))
+    tag = F.when(F.size(verbs) > 0, F.element_at(verbs, -1).term).when(F.size("s.h") == 0, text.single_word_tag(F.col(asked), stop))
     left = F.filter("s.h", lambda t: ~F.exists("s.h", lambda u: (u.term != t.term) & F.contains(u.term, t.term)))
     path = F.concat(F.transform(F.array_sort(left), lambda t: t.term), F.array(F.lit(root)))
     return folded.select("q_id", path.alias("terms"), F.when(tag.isNotNull(), F.array(tag)).otherwise(F.array().cast("array<string>")).alias("tags"))

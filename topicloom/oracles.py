@@ -161,6 +161,20 @@ ORACLES = {
 t AS (SELECT q_id, {toks('s')} w FROM a), v AS (SELECT DISTINCT unnest(w) word FROM t) {LEMMAS('v')}, e AS (SELECT q_id, i, w[i] word FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) i))
 SELECT q_id, string_agg(coalesce(lemma, word), ' ' ORDER BY i) lemmas FROM e LEFT JOIN lem USING (word) GROUP BY q_id""",
     "verb_phrases": f"""WITH a AS (SELECT p_partkey q_id, p_name n, p_partkey % 6 k FROM part), t AS (SELECT q_id, {toks(norm("CASE k " + " ".join(f"WHEN {i} THEN concat({x})" for i, x in enumerate(q.VERB_TEMPLATES)) + " END"))} w FROM a), {spoken('t')} SELECT * FROM vb""",
+    "segmented_documents": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(lower(text), ''), '[^\\p{{L}}]+'), lambda x: x <> '') ws FROM documents),
+r AS (SELECT run, count(*) n FROM (SELECT unnest(ws) run FROM w) GROUP BY run),
+c AS (FROM (SELECT substr(run, i, m) word, sum(n) cnt FROM r, range(1, {q.UNIT} + 1) t(m), LATERAL (SELECT unnest(range(1, length(run) - m + 2)) i) GROUP BY 1) WHERE cnt >= 20 OR length(word) = 1),
+z AS (SELECT sum(cnt) z FROM c WHERE length(word) = 1),
+m AS (SELECT word, greatest(1, least(round(ln(z / cnt) * 1000)::INT, 39999)) cost FROM (FROM c ORDER BY length(word) = 1 DESC, cnt * length(word) DESC, word LIMIT {q.UNITS}), z),
+e AS (SELECT run, i + k - 1 j, k, cost FROM r, range(1, {q.UNIT} + 1) t(k), LATERAL (SELECT unnest(range(1, length(run) - k + 2)) i) JOIN m ON word = substr(run, i, k)
+ UNION ALL SELECT run, i, 1, 40000 FROM r, LATERAL (SELECT unnest(range(1, length(run) + 1)) i) WHERE substr(run, i, 1) NOT IN (SELECT word FROM m)),
+v AS (SELECT run, 0 j, [0]::INT[] best, []::INT[] back FROM r UNION ALL
+ SELECT v.run, v.j + 1, list_append(any_value(best), min(best[e.j - e.k + 1] + cost)::INT), list_append(any_value(back), arg_min(k, (best[e.j - e.k + 1] + cost) * 100 - k)::INT) FROM v JOIN e ON e.run = v.run AND e.j = v.j + 1 GROUP BY v.run, v.j),
+b AS (SELECT run, length(run)::INT t, back, []::VARCHAR[] ws FROM v WHERE j = length(run) UNION ALL SELECT run, t - back[t], back, list_prepend(substr(run, t - back[t] + 1, back[t]), ws) FROM b WHERE t > 0),
+u AS (SELECT run, ws FROM b WHERE t = 0),
+o AS (SELECT doc_id, unnest(ws) run, unnest(range(len(ws))) i FROM w),
+g AS (SELECT doc_id, sum(len(u.ws))::BIGINT n, string_agg(array_to_string(u.ws, ' '), ' ' ORDER BY i) s FROM o JOIN u USING (run) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) n_units, md5(coalesce(s, '')) units_md5 FROM w LEFT JOIN g USING (doc_id)""",
     "json_export_ids": f"""WITH n AS (SELECT n_nationkey k, n_name nm, r_name r FROM nation JOIN region ON n_regionkey = r_regionkey),
 a AS (SELECT k, 0 i, 'Where is ' || nm || '?' question, CASE WHEN k % 2 = 0 THEN 'dialog' END response_type FROM n UNION ALL SELECT k, 1, CASE k % 3 WHEN 0 THEN 'Tell me about ' || nm ELSE r END, NULL FROM n WHERE k % 3 < 2 UNION ALL SELECT k, 2, 'What''s ' || r, NULL FROM n WHERE k % 3 = 0),
 b AS (SELECT *, 10000 + row_number() OVER (ORDER BY k, i) q_id FROM a) SELECT q_id, min(q_id) OVER (PARTITION BY k) primary_id, i = 0 is_primary, question, {norm('question')} normalized, response_type FROM b""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from topicloom import store
 from topicloom.functions import lexicon, text
-from topicloom.operators import analyze, assign, grams, lemmas, optimise, synonyms
+from topicloom.operators import analyze, assign, grams, lemmas, optimise, segment, synonyms
 from topicloom.sources import faq, sinks
 
 STRATEGIES = {"gram_based": assign.assign}
@@ -27,15 +27,19 @@ def lemmatized(questions: DataFrame, stop, table: DataFrame | None = None) -> Da
     return lemmas.lemmatize(questions, table)
 
 
-def build_graph(questions: DataFrame, stop=None, strategy: str = "gram_based", counts: DataFrame | None = None, verbs=None, chunker=None, tagger=None, noun_lemmas: DataFrame | bool = False) -> DataFrame:
+def build_graph(questions: DataFrame, stop=None, strategy: str = "gram_based", counts: DataFrame | None = None, verbs=None, chunker=None, tagger=None, noun_lemmas: DataFrame | bool = False, segments: DataFrame | bool = False) -> DataFrame:
     """``(q_id, terms, tags)``: every question is assigned, primaries are optimised.
 
     ``verbs``, ``chunker`` and ``tagger`` are those of ``grams.mine``; ``noun_lemmas`` is a table ``(word, lemma)``,
-    or True for one of the questions' own words. Statistics are computed once, and the terms made of them written.
+    or True for one of the questions' own words; ``segments`` is a model ``(word, cost)`` that puts words of
+    scripts without spaces apart, or True for one learnt from the questions. Statistics are computed once, and the terms
+    made of them written.
     """
     stop = lexicon.stop_words() if stop is None else stop
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
+    if segments is not False:
+        questions = store.staged(segment.segmented(questions, None if segments is True else segments), "segmented")
     if noun_lemmas is not False:
         questions = store.staged(lemmatized(questions, stop, None if noun_lemmas is True else noun_lemmas), "lemmatized")
     counts = term_statistics(questions, stop, verbs, chunker, tagger) if counts is None else counts
@@ -118,7 +122,7 @@ def main(argv=None) -> None:
             table = synonyms.merge_synonyms(table if table is not None else new.select("term", F.array().cast("array<string>").alias("synonyms")).distinct(), new)
         verbs = {r.cells[0]: r.cells[1] for r in faq.csv_rows(spark, args.verbs).where(F.size("cells") > 1).collect()} if args.verbs else None  # the caller's word table
         named = {n: faq.named_function(f) for n, f in (("chunker", args.chunker), ("tagger", args.tagger)) if f}
-        found = build_graph(asked, stop, args.strategy, verbs=verbs, noun_lemmas=args.language == "en" and not args.no_lemmas, **named)
+        found = build_graph(asked, stop, args.strategy, verbs=verbs, noun_lemmas=args.language == "en" and not args.no_lemmas, segments=args.language in segment.LANGUAGES, **named)
         faqs = store.staged(sinks.export_faqs(asked, found), "export")
         sinks.write(args.sink, faqs, table, args.output)
         if args.analyze:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import lexicon, text
-from topicloom.operators import analyze, assign, grams, lemmas, optimise, synonyms, tree
+from topicloom.operators import analyze, assign, grams, lemmas, optimise, segment, synonyms, tree
 from topicloom.plans import pipeline
 from topicloom.sources import faq, sinks
 from topicloom.store import staged
@@ -174,6 +174,27 @@ def faq_table_source(spark, d):
     return part_faqs(spark, d).select("q_id", "question", "normalized", F.col("answer")[0]["text"].alias("answer"))
 
 
+# --- words of runs without spaces ---------------------------------------------------------------
+
+
+LETTERS = r"\p{L}"
+#: Letters of a unit, and units of the model.
+UNIT, UNITS = 5, 1 << 15
+
+
+def unit_costs(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed model of ``segmented_documents``: counts of substrings of the documents' runs of letters."""
+    own = segment.runs(table(spark, d, "documents").select(F.lower("text").alias("text")), script=LETTERS)
+    return staged(segment.costs(segment.candidates(staged(own, "letter-runs"), UNIT, 20), UNITS), "units")
+
+
+def segmented_documents(spark, d):
+    """The units that the runs of letters of each document are cut into; null texts have none."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    found = segment.document_words(docs, unit_costs(spark, d), LETTERS)
+    return found.select("doc_id", F.size("words").cast("long").alias("n_units"), F.md5(F.array_join("words", " ")).alias("units_md5"))
+
+
 # --- n-grams and statistics -----------------------------------------------------------------------
 
 
@@ -372,7 +393,7 @@ def word2vec_synonyms(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        optimised_graph, normalize_text, normalize_documents, noun_lemmas, lemmatized_questions, verb_phrases, json_export_ids, limited_report, expand_contractions, single_word_tag, tokenize_stopfilter, analyzer_tokens, faq_ids_altmap, csv_export_ffill, faq_table_source, ngrams_1_4, unigram_counts,
+        optimised_graph, normalize_text, normalize_documents, noun_lemmas, lemmatized_questions, verb_phrases, segmented_documents, json_export_ids, limited_report, expand_contractions, single_word_tag, tokenize_stopfilter, analyzer_tokens, faq_ids_altmap, csv_export_ffill, faq_table_source, ngrams_1_4, unigram_counts,
         phrase_counts, ranked_terms, subphrase_elimination, merged_sort_keys, term_assignment, verb_tag, path_groups, empty_node_to_tags, collapse_thin_nodes, optimised_hand_paths, export_faq_rows, alternate_tags,
         parse_term_syntax, tree_nodes, tree_preorder, node_questions, unreachable_questions, questions_at_root, issue_report, issue_summary, answer_corpus_dedup, retrieve_words, corpus_tokens, nearest_vectors_top3,
         merge_synonyms, word2vec_synonyms,
