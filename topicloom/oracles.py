@@ -124,6 +124,29 @@ top AS (SELECT 'QuestionsAtRoot' error_type, []::VARCHAR[] path, question, tags,
 shown = lambda s: f"SELECT error_type, array_to_string(path, '>') path, question, array_to_string(tags, '|') tags FROM {s}"
 
 
+def branched(source: str) -> str:
+    """``pr(a, b, n)`` of the word lists ``w`` of ``source``, where marks are empty words, and ``br``, the branching of words."""
+    return f"""pr AS (SELECT a, b, count(*) n FROM (SELECT CASE WHEN i > 0 THEN w[i] ELSE '' END a, CASE WHEN i < len(w) THEN w[i + 1] ELSE '' END b FROM {source}, LATERAL (SELECT unnest(range(len(w) + 1)) i)) WHERE a <> '' OR b <> '' GROUP BY a, b),
+br AS (SELECT * FROM (SELECT b word, sum(n)::BIGINT n, round(1000 * (log2(sum(n)) - sum(n * log2(n)) / sum(n)))::BIGINT left_bits FROM pr WHERE b <> '' GROUP BY b)
+ JOIN (SELECT a word, round(1000 * (log2(sum(n)) - sum(n * log2(n)) / sum(n)))::BIGINT right_bits FROM pr WHERE a <> '' GROUP BY a) USING (word))"""
+
+
+def bonded(hub: int) -> str:
+    return f"""al AS (SELECT sum(n) z FROM pr), bo AS (SELECT * FROM (SELECT pr.a, pr.b, CASE WHEN pr.n >= z THEN 1000 ELSE round(1000 * ln(pr.n / x.n * z / y.n) / ln(z / pr.n))::BIGINT END npmi
+ FROM pr JOIN br x ON x.word = a JOIN br y ON y.word = b, al WHERE pr.n >= 3 AND least(x.left_bits, x.right_bits) < {hub} AND least(y.left_bits, y.right_bits) < {hub}) WHERE npmi >= 100)"""
+
+
+coined = lambda n: f"[{listed(q.COINED)}][p_partkey // {n} % {len(q.COINED)} + 1]"
+
+
+def bootstrapped(rounds: int) -> str:
+    out = f"v0 AS (SELECT DISTINCT word, 0 AS round FROM fr WHERE word IN ({listed(q.LISTED)}))"
+    for r in range(1, rounds + 1):
+        out += f""", g{r} AS (SELECT l, r FROM fr GROUP BY l, r HAVING sum(CASE WHEN word IN (SELECT word FROM v{r - 1}) THEN n ELSE 0 END) * 100 >= sum(n) * 60 AND count(*) FILTER (word IN (SELECT word FROM v{r - 1})) >= 2),
+v{r} AS (SELECT * FROM v{r - 1} UNION ALL SELECT word, {r} FROM fr LEFT JOIN (SELECT *, 1 k FROM g{r}) USING (l, r) WHERE word NOT IN (SELECT word FROM v{r - 1}) GROUP BY word HAVING sum(n * coalesce(k, 0)) * 100 >= sum(n) * 20 AND count(k) >= 2)"""
+    return out
+
+
 def grams_of(n: int) -> str:
     return f"WITH w AS (SELECT {stopped(toks(norm('text')))} w FROM conversations) SELECT array_to_string(w[i:i + {n - 1}], ' ') term, count(*) cnt FROM w, LATERAL (SELECT unnest(range(1, len(w) - {n - 2})) i) GROUP BY 1 HAVING count(*) > 2"
 
@@ -175,6 +198,15 @@ u AS (SELECT run, ws FROM b WHERE t = 0),
 o AS (SELECT doc_id, unnest(ws) run, unnest(range(len(ws))) i FROM w),
 g AS (SELECT doc_id, sum(len(u.ws))::BIGINT n, string_agg(array_to_string(u.ws, ' '), ' ' ORDER BY i) s FROM o JOIN u USING (run) GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) n_units, md5(coalesce(s, '')) units_md5 FROM w LEFT JOIN g USING (doc_id)""",
+    "word_branching": f"WITH {FAQ}, t AS (SELECT {toks(norm('question'))} w FROM faq), {branched('t')} SELECT word, n, left_bits, right_bits FROM br",
+    "word_bonds": f"""WITH t AS (SELECT list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]'), lambda x: CASE WHEN regexp_matches(x, '[\\p{{L}}\\p{{N}}_]') THEN x ELSE '' END) w FROM conversations WHERE text IS NOT NULL),
+{branched('t')}, {bonded(4000)} SELECT * FROM bo""",
+    "statistical_chunks": f"""WITH t AS (SELECT p_partkey q_id, [{coined(1)}, 'unit' || p_brand[7:], 'frame' || p_brand[7:], {coined(6)}, 'grade' || p_size, 'steel' || p_size, {coined(36)}] w FROM part), {branched('t')}, {bonded(4000)},
+e AS (SELECT q_id, i, w[i] b, (w[i - 1], w[i]) IN (SELECT (a, b) FROM bo) tied FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) i) WHERE w[i] NOT IN (SELECT word FROM br WHERE least(left_bits, right_bits) >= 4000)),
+c AS (SELECT q_id, i, b, sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY q_id ORDER BY i) - 1 c FROM e) SELECT q_id, c::INT c, string_agg(b, ' ' ORDER BY i) chunk FROM c GROUP BY q_id, c""",
+    "bootstrapped_verbs": f"""WITH p AS (SELECT p_partkey k, p_name n FROM part), a AS (SELECT k, CASE k % {len(q.VERB_FRAMES)} {' '.join(f"WHEN {i} THEN replace(replace({lit(f)}, '{{v}}', [{listed(v)}][k // {len(q.VERB_FRAMES)} % {len(v)} + 1]), '{{n}}', n)" for i, (f, v) in enumerate(q.VERB_FRAMES))} END question FROM p),
+t AS (SELECT {toks(norm('question'))} w FROM a), fr AS (SELECT w[i] word, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END l, coalesce(w[i + 1], '') r, count(*) n FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) i) GROUP BY 1, 2, 3),
+{bootstrapped(4)} SELECT * FROM v4""",
     "json_export_ids": f"""WITH n AS (SELECT n_nationkey k, n_name nm, r_name r FROM nation JOIN region ON n_regionkey = r_regionkey),
 a AS (SELECT k, 0 i, 'Where is ' || nm || '?' question, CASE WHEN k % 2 = 0 THEN 'dialog' END response_type FROM n UNION ALL SELECT k, 1, CASE k % 3 WHEN 0 THEN 'Tell me about ' || nm ELSE r END, NULL FROM n WHERE k % 3 < 2 UNION ALL SELECT k, 2, 'What''s ' || r, NULL FROM n WHERE k % 3 = 0),
 b AS (SELECT *, 10000 + row_number() OVER (ORDER BY k, i) q_id FROM a) SELECT q_id, min(q_id) OVER (PARTITION BY k) primary_id, i = 0 is_primary, question, {norm('question')} normalized, response_type FROM b""",

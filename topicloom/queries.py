@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import lexicon, text
-from topicloom.operators import analyze, assign, grams, lemmas, optimise, segment, synonyms, tree
+from topicloom.operators import analyze, assign, chunking, grams, lemmas, optimise, segment, synonyms, tree
 from topicloom.plans import pipeline
 from topicloom.sources import faq, sinks
 from topicloom.store import staged
@@ -225,6 +225,61 @@ def verb_phrases(spark, d):
     return grams.tag_verbs(asked.select("q_id", text.normalize(F.col("q")).alias("normalized")), STOP, lexicon.verb_table()).select("q_id", "i", "term")
 
 
+#: Coined words that stand between names of two words; they are in no table.
+COINED = ("zu", "ek", "ol", "mi", "ta", "re")
+
+
+def coined_questions(spark: SparkSession, d: str) -> DataFrame:
+    """``(q_id, question, normalized)``: two names for each part, by brand and size, between coined words."""
+    k, b, s = F.col("p_partkey"), F.regexp_replace("p_brand", "[^0-9]", ""), F.col("p_size").cast("string")
+    coined = lambda n: F.element_at(F.array(*[F.lit(x) for x in COINED]), (F.floor(k / n) % len(COINED) + 1).cast("int"))
+    q = F.concat_ws(" ", coined(1), F.concat(F.lit("unit"), b), F.concat(F.lit("frame"), b), coined(6), F.concat(F.lit("grade"), s), F.concat(F.lit("steel"), s), coined(36))
+    return table(spark, d, "part").select(k.alias("q_id"), q.alias("question"), text.normalize(q).alias("normalized"))
+
+
+def word_branching(spark, d):
+    """How the neighbours of each word of the templated questions branch."""
+    return chunking.branching(staged(chunking.pairs(part_faqs(spark, d)), "word-pairs"))
+
+
+def word_bonds(spark, d):
+    """Neighbours in the conversations that hold together, with their normalised mutual information."""
+    met = staged(chunking.pairs(table(spark, d, "conversations").select(F.lower("text").alias("normalized"))), "word-pairs")
+    return chunking.bonds(met, staged(chunking.branching(met), "branching"))
+
+
+def statistical_chunks(spark, d):
+    """Chunks of the questions in coined words, by statistics alone."""
+    found = chunking.statistical_chunks(coined_questions(spark, d))
+    return found.select("q_id", "c", F.array_join("chunk", " ").alias("chunk"))
+
+
+#: Verbs of the table, and frames of questions on parts with the words that stand in them; some are in no table, and two are no verbs.
+LISTED = ("order", "return", "cancel", "buy")
+VERB_FRAMES = (
+    ("How do I {v} a {n}?", (*LISTED, "lease", "refurbish")), ("Can I {v} my {n} today?", (*LISTED, "lease", "refurbish")), ("They will {v} the {n}", ("lease", "refurbish", "swap")), ("We could {v} your {n}", ("lease", "refurbish", "swap")),
+    ("You might {v} that {n}", ("lease", "swap", "acquire")), ("Let me {v} this {n}", ("refurbish", "swap", "acquire")), ("We may {v} one {n}", ("acquire", "swap", "haggle")), ("Where is the {v} {n}?", ("small", "zip")),
+)
+
+
+def verb_questions(spark: SparkSession, d: str) -> DataFrame:
+    """``(q_id, question, normalized)``: templated questions on parts, with verbs that are in no table."""
+    n = len(VERB_FRAMES)
+    k, t = F.col("p_partkey"), F.col("p_partkey") % n
+    q = F.lit(None).cast("string")
+    for i, (frame, verbs) in enumerate(VERB_FRAMES):
+        verb = F.element_at(F.array(*[F.lit(v) for v in verbs]), (F.floor(k / n) % len(verbs) + 1).cast("int"))
+        head, tail = (F.replace(F.lit(x), F.lit("{n}"), F.col("p_name")) for x in frame.split("{v}"))
+        q = F.when(t == i, F.concat(head, verb, tail)).otherwise(q)
+    return table(spark, d, "part").select(k.alias("q_id"), q.alias("question"), text.normalize(q).alias("normalized"))
+
+
+def bootstrapped_verbs(spark, d):
+    """Verbs of the templated questions, from those of the table: some join because others did."""
+    seeds = spark.createDataFrame([(v,) for v in LISTED], "word string")
+    return chunking.bootstrapped_verbs(verb_questions(spark, d), seeds, rounds=4)
+
+
 def ngrams_1_4(spark, d):
     g = text.ngrams_up_to(text.tokens(F.lower("text")))
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(g).alias("n"), F.md5(F.array_join(F.array_sort(g), LIST)).alias("grams_md5"))
@@ -393,7 +448,7 @@ def word2vec_synonyms(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        optimised_graph, normalize_text, normalize_documents, noun_lemmas, lemmatized_questions, verb_phrases, segmented_documents, json_export_ids, limited_report, expand_contractions, single_word_tag, tokenize_stopfilter, analyzer_tokens, faq_ids_altmap, csv_export_ffill, faq_table_source, ngrams_1_4, unigram_counts,
+        optimised_graph, normalize_text, normalize_documents, noun_lemmas, lemmatized_questions, verb_phrases, segmented_documents, word_branching, word_bonds, statistical_chunks, bootstrapped_verbs, json_export_ids, limited_report, expand_contractions, single_word_tag, tokenize_stopfilter, analyzer_tokens, faq_ids_altmap, csv_export_ffill, faq_table_source, ngrams_1_4, unigram_counts,
         phrase_counts, ranked_terms, subphrase_elimination, merged_sort_keys, term_assignment, verb_tag, path_groups, empty_node_to_tags, collapse_thin_nodes, optimised_hand_paths, export_faq_rows, alternate_tags,
         parse_term_syntax, tree_nodes, tree_preorder, node_questions, unreachable_questions, questions_at_root, issue_report, issue_summary, answer_corpus_dedup, retrieve_words, corpus_tokens, nearest_vectors_top3,
         merge_synonyms, word2vec_synonyms,
