@@ -102,6 +102,11 @@ def test_report_order_header_and_limits(spark, tmp_path):
         assert [r.question for r in sinks.report_rows(analyze.issues(f, limits=limits)).collect()] == some
     cells = [x.split(",") for p in sorted((tmp_path / "report").glob("part*")) for x in p.read_text().splitlines()]
     assert sum(c == [*sinks.REPORT] for c in cells) == 1 and len(cells) == 1 + len(want) + 3
+    assert cells[0] == [*sinks.REPORT] and [c[3] for c in cells[1:]] == [*want, "one", "one more", "two"]
+    before = sorted(p.name for p in (tmp_path / "report").iterdir())
+    for folder in ("report", "none"):
+        sinks.write_report(analyze.issues(f.where("false")), str(tmp_path / folder))
+    assert sorted(p.name for p in (tmp_path / "report").iterdir()) == before and [p.name for p in tmp_path.iterdir()] == ["report"]
 
 
 def test_places_of_long_questions_and_large_ids(spark):

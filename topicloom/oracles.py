@@ -160,7 +160,7 @@ ORACLES = {
     "tokenize_stopfilter": f"SELECT conv_id, turn, array_to_string(list_filter({stopped(toks(norm('text')))}, lambda x: length(x) > 1), ' ') words FROM conversations",
     "analyzer_tokens": f"WITH {FAQ} SELECT q_id, {plain('question')} words FROM faq",
     "faq_ids_altmap": f"WITH {CONV}, i AS (SELECT *, 10000 + row_number() OVER (ORDER BY conv_id, turn) q_id FROM f1 WHERE turn >= f) SELECT q_id, min(q_id) OVER (PARTITION BY conv_id) primary_id, md5(text) question_md5, md5(CASE WHEN turn = f THEN reply END) answer_md5 FROM i",
-    "csv_export_ffill": "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, [{listed(c)}])" for n, c in q.CSV_CELLS) + ") x(row_no, cells)), l AS (SELECT * FROM r WHERE row_no < (SELECT min(row_no) FROM r WHERE cells[1] <> 'faq')) SELECT row_no, cells[3] kind, cells[4] question, (SELECT max(b.row_no) FROM l b WHERE b.cells[3] = 'primary' AND b.row_no <= l.row_no) primary_row FROM l",
+    "csv_export_ffill": f"WITH r AS (SELECT conv_id * {q.TURNS} + turn AS row_no, CASE WHEN turn = 0 THEN 'primary' ELSE 'alternate' END AS kind, text AS question FROM conversations WHERE role = 'user') SELECT row_no, kind, question, max(CASE WHEN kind = 'primary' THEN row_no END) OVER (ORDER BY row_no) AS primary_row FROM r",
     "faq_table_source": f"WITH {FAQ} SELECT q_id, question, {norm('question')} normalized, answer FROM faq",
     "ngrams_1_4": f"WITH w AS (SELECT conv_id, turn, {toks('lower(text)')} w FROM conversations), g AS (SELECT conv_id, turn, flatten(list_transform([1, 2, 3, 4], lambda m: list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))) g FROM w) SELECT conv_id, turn, len(g) n, md5(array_to_string(list_sort(g), '|')) grams_md5 FROM g",
     "question_bigrams": grams_of(2),

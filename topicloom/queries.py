@@ -76,10 +76,8 @@ def geo_synonyms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select(F.col("r_name").alias("term"), F.array(F.concat(F.lower("r_name"), F.lit(" area")), F.lit("region")).alias("synonyms"))
 
 
-CSV_CELLS = [
-    (0, ["faq", "", "primary", "How do I pay?", "By card."]), (1, ["faq", "", "alternate", "Can I pay by card?"]), (2, ["faq", "", "alternate", "Paying?"]),
-    (3, ["faq", "", "primary", "Where is my order?", "On its way."]), (4, ["header"]), (5, ["kgParams", "", "", "", "the", "a"]),
-]
+#: More than a conversation's turns.
+TURNS = 1 << 20
 HAND_PATHS = [(1, ["c", "b", "a", "R"]), (2, ["a", "R"]), (3, ["d", "R"]), (4, ["d", "R"]), (5, ["f", "e", "R"])]
 
 
@@ -166,7 +164,11 @@ def json_export_ids(spark, d):
 
 
 def csv_export_ffill(spark, d):
-    rows = faq.csv_export_rows(spark.createDataFrame(CSV_CELLS, "row_no int, cells array<string>"))
+    """Users' turns as rows of a CSV export: a conversation's first is a primary, the others name none."""
+    kind = F.when(F.col("turn") == 0, "primary").otherwise("alternate")
+    turns = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * TURNS + F.col("turn")).alias("row_no"), F.array(F.lit("faq"), F.lit(""), kind, F.col("text")).alias("cells"))
+    last = spark.createDataFrame([(2**62, ["header"])], "row_no long, cells array<string>")
+    rows = faq.csv_export_rows(turns.unionByName(last))
     return rows.select("row_no", "kind", F.col("cells")[3].alias("question"), "primary_row")
 
 

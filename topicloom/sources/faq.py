@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import csv
 import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from topicloom.functions import lexicon, text
 from topicloom.operators import scans
+from topicloom.sources import splits
 
 ANSWER = "struct<text:string,type:string,channel:string>"
 JSON_SCHEMA = (
@@ -26,17 +25,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_no, cells)`` of a headerless CSV file: ragged, blank and multi-line rows kept, in order."""
-
-    @udtf(returnType="row_no int, cells array<string>")
-    class Rows:
-        def eval(self, body: str):
-            for no, cells in enumerate(csv.reader(io.StringIO(body or ""))):
-                yield no, cells
-
-    spark.udtf.register("topicloom_csv_rows", Rows)
-    spark.read.text(path, wholetext=True).createOrReplaceTempView("topicloom_csv_text")
-    return spark.sql("SELECT r.row_no, r.cells FROM topicloom_csv_text t, LATERAL topicloom_csv_rows(t.value) r")
+    """``(row_no, cells)`` of headerless CSV files: ragged, blank and multi-line rows kept, in order. Many tasks read a large file."""
+    return splits.csv_rows(spark, path)
 
 
 def _answer(column) -> F.Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,12 +82,29 @@ def report_rows(issues: DataFrame, language: str = "en") -> DataFrame:
 
 
 def write_report(issues: DataFrame, path: str, language: str = "en") -> None:
-    """Appends the report; a header stands once, before the first row of the first report."""
+    """Appends the report. Files read in its order by name: ``part-<run>-<part>.csv``; run 0 is the header alone.
+
+    Rows are written beside ``path`` first, in as many files as there are tasks, then get their names. Without
+    issues nothing is written, no header either.
+    """
     spark = issues.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        spark.createDataFrame([REPORT], ", ".join(f"{c} string" for c in REPORT)).coalesce(1).write.csv(path)
-    report_rows(issues, language).write.mode("append").csv(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    at, new = place(path), place(f"{path.rstrip('/')}.run-{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    report_rows(issues, language).write.csv(new.toString())
+    parts = [f.getPath() for f in fs.listStatus(new) if f.getPath().getName().startswith("part-") and f.getLen()]
+    if parts:
+        fs.mkdirs(at)
+        runs = [int(f.getPath().getName().split("-")[1]) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")]
+        if not runs:
+            out = fs.create(place(at, "part-000000-00000.csv"), False)
+            out.write(bytearray((",".join(REPORT) + "\n").encode()))
+            out.close()
+        run = max(runs, default=0) + 1
+        for no, part in enumerate(sorted(parts, key=lambda p: (int(p.getName().split("-")[1]), p.getName()))):
+            if not fs.rename(part, place(at, f"part-{run:06d}-{no:05d}.csv")):
+                raise OSError(f"{part.toString()} could not be moved to {path}")
+    fs.delete(new, True)
 
 
 def write_synonyms(suggestions: DataFrame, path: str) -> None:

@@ -88,12 +88,12 @@ def stays_open(line: str, open_: bool) -> bool:
     """Whether a quoted field is open after a line. A quote opens a field at its begin only, and a doubled one closes none."""
     if '"' not in line:
         return open_
-    at = 0 if open_ else 1 if line[0] == '"' else line.find(',"') + 2
-    while open_ or at > (0 if line[0] == '"' and at == 1 else 1):
-        open_ = False
+    after = lambda q: q + 2 if q >= 0 else -1
+    at = 0 if open_ else 1 if line[0] == '"' else after(line.find(',"'))
+    while at >= 0:
         if (at := _closing(line, at)) < 0:
             return True
-        at = line.find(',"', at) + 2
+        at = after(line.find(',"', at))
     return False
 
 
