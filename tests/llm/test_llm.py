@@ -154,6 +154,9 @@ def test_colliding_fingerprints_split(docs, monkeypatch):
     monkeypatch.setattr(exact, "_prints", lambda xs: pa.array([b"same"] * len(xs), pa.binary()))
     got = exact.groups(docs).collect()
     assert len({r.keep_id for r in got}) == len({r.text_sha256 for r in got})
+    odd = docs.sparkSession.createDataFrame([(None, "aa"), (None, "bb"), (3, "cc"), (3, "dd"), (None, "bb"), (4, "cc")], docs.select("doc_id", "text").schema)
+    got = sorted((r.text_sha256, r.group_size, r.keep_id) for r in exact.groups(odd).collect())
+    assert got == sorted((sha(x), n, k) for x, n, k in ((b"aa", 1, None), (b"bb", 2, None), (b"bb", 2, None), (b"cc", 2, 3), (b"cc", 2, 3), (b"dd", 1, 3)))
 
 
 def test_packing(docs, none):

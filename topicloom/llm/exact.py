@@ -79,14 +79,17 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", huge: i
 
 
 def unequal(df: DataFrame, suspects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Those ``(fingerprint, n_bytes)`` of ``suspects(key, fingerprint, n_bytes)`` whose texts are not all equal.
+    """Those ``(fingerprint, n_bytes)`` of ``suspects(key, fingerprint, n_bytes, text_sha256)`` whose texts are not all equal.
 
     Texts stream by chunk; equal chunks collapse before they are shuffled, so a group of any size sends
-    one copy of each chunk from a task.
+    one copy of each chunk from a task. A row meets its own fingerprint by key, null or not, and SHA-256, so
+    rows that repeat a key, or have none, are compared too; repeated rows count once. No suspects give none.
     """
-    whole = normal_space(F.col(text))
+    p = prefix(df)
+    rows = df.select(F.col(key).alias(f"{p}k"), normal_space(F.col(text)).alias("_text")).withColumn(f"{p}s", F.sha2("_text", 256))
+    asked = suspects.select(key, "fingerprint", "n_bytes", "text_sha256").distinct()
     # merge: the same plan at every size
-    pairs = df.select(F.col(key), whole.alias("_text")).join(suspects.select(key, "fingerprint", "n_bytes").distinct().hint("merge"), key).where(F.octet_length("_text") == F.col("n_bytes"))
+    pairs = rows.join(asked.hint("merge"), F.col(f"{p}k").eqNullSafe(asked[key]) & (F.col(f"{p}s") == F.col("text_sha256")))
     many = F.greatest(F.lit(0), F.ceil(F.length("_text") / COMPARE).cast("int") - 1)
     part = (
         pairs.select("fingerprint", "n_bytes", "_text", F.explode(F.sequence(F.lit(0), many)).alias("_no"))
@@ -107,7 +110,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", huge: int = H
     prints = staged(fingerprints(df, key, text, huge), "exact-prints")
     # counts are written before they are joined: only sides that are shuffled as they stand can be split where a group is hot
     same = staged(prints.groupBy("fingerprint", "n_bytes").agg(F.count("*").alias("_n")), "exact-counts")
-    suspects = staged(prints.join(same.where("_n > 1"), ["fingerprint", "n_bytes"]).select(key, "fingerprint", "n_bytes"), "exact-suspects")
+    suspects = staged(prints.join(same.where("_n > 1"), ["fingerprint", "n_bytes"]).select(key, "fingerprint", "n_bytes", "text_sha256"), "exact-suspects")
     odd = staged(unequal(df, suspects, key, text), "exact-unequal")
     if odd.isEmpty():
         marked = prints.withColumn("_split", F.lit(""))
