@@ -1,13 +1,11 @@
-"""Best-fit packing in bulk-synchronous rounds.
-
-Pieces and gaps are sorted by length. A round takes the longest pieces left, sweeps each to its
-successor among the gaps (the smallest that holds it), lets rank resolve conflicts (the i-th piece
-takes the i-th such gap), updates the gaps and repeats; pieces without a successor open sequences.
-
-Both sorted lists are kept as runs of equal length. Lengths are 1 to ``capacity``, so the runs of a
-sweep are bounded by the capacity and not by the corpus: the sweeps need only the histogram of
-lengths. What grows with the corpus (tokenising, ranking the pieces of a length, looking up each
-one's place) is distributed.
+"""Best-fit packing, planned over runs of equal length.
+
+The rounds over rows of the bulk-synchronous method (range-sort, successor sweeps, conflicts by rank) are
+not run. Lengths are 1 to ``capacity``, and pieces of one length are alike to a sweep, so all that it would
+decide follows from the histogram of lengths: the driver plans over its at most ``capacity`` runs, from the
+longest pieces to the shortest, each into the smallest gap that holds it (the i-th piece takes the i-th such
+gap), and pieces without a gap open sequences. What grows with the corpus (tokenising, ranking the
+pieces of a length, looking up each one's place) is distributed.
 """
 
 from __future__ import annotations
