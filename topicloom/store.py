@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+#: Spark deletes what an execution shuffled when it ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors, and its size is known."""
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors, and its size is known.
+
+    What the write shuffled goes when it is done, as nothing reads it again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)  # smaller than the default; these tables are read a few times at most
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)  # smaller than the default; these tables are read a few times at most
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
