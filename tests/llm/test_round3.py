@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from topicloom.llm import clusters, merkle, minhash
+from topicloom.llm import clusters, merkle, minhash, substrings
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -160,3 +160,33 @@ def test_bounds_spare_scans_and_change_nothing():
         moved = np.array([q[state[0] == j].astype(np.int64).sum(0) // max(1, (state[0] == j).sum()) for j in range(16)])
         drift, centres = np.nextafter(np.sqrt(((moved - centres) ** 2).sum(1).astype(float)), np.inf), moved
     assert scans[0] == 5000 and max(scans[1:]) < 500
+
+
+def test_substrings_split_hot_slots_at_any_size(spark, monkeypatch):
+    """No bucket holds more unsplit strings than an absolute number; a common window goes about once a task."""
+    r = random.Random(12)
+    fill = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage = fill(25)
+    rows = [(i, " ".join(fill(10) + passage + fill(10))) for i in range(600)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3).select("k", substrings.number_of(F.col("t")).alias("d"), "t")
+    first, gone = {}, {}
+    for k, t in sorted(rows):
+        w = t.split()
+        gone[k] = {x for i in range(len(w) - 19) if first.setdefault(tuple(w[i : i + 20]), (k, i)) != (k, i) for x in range(i, i + 20)}
+    monkeypatch.setattr(substrings, "SLOTS", 1 << 12)
+    monkeypatch.setattr(substrings, "HEAVY", 1)  # the share alone splits nothing
+    for most, hot in ((1 << 17, False), (256, True)):
+        monkeypatch.setattr(substrings, "BUCKET_STRINGS", most)
+        bits, strings = substrings.heavy_slots(df, 20, 4)
+        assert strings >= 600 and bool(bits.any()) == hot
+        sent = substrings.packed(df, 20, 4, 4, bits, flush=2000).where("not done").collect()
+        copies = sum(substrings._unblob(x.blob)[-1].count(" ".join(passage[:20]).encode()) for x in sent)
+        assert (copies < 60) == hot  # some 25 flushes of 8 documents a task
+        got = substrings.repeated_windows(df, "k", "t", flush=2000).collect()
+        assert {x.key: {w for run in x.runs for w in range(run.start, run.end)} for x in got} == {k: g for k, g in gone.items() if g}
+
+
+def test_substrings_replace_columns_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, Kept int")
+    assert substrings.remove_repeats(df).select("kept").first().kept == "a b"

@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from topicloom.llm.common import SPACES, bounded_batches, forget, prefix, staged
+from topicloom.llm.common import SPACES, bounded_batches, discard, forget, prefix, staged
 
 WINDOW, GRAM = 20, 4
 #: Bytes of text whose packed strings are gathered before they are sent, and bytes that are cut into words at once.
 FLUSH, BLOCK = 4 << 20, 1 << 20
-#: A minimiser is split into its windows when it leads a share of 1 / HEAVY of all packed strings, so at most HEAVY are.
-HEAVY = 4096
+#: Minimisers are counted in so many slots. The strings of a slot are split into their windows when it leads a share of
+#: 1 / HEAVY of all packed strings, or so many of them that they would fill a bucket, whatever the input.
+SLOTS, HEAVY = 1 << 24, 4096
+#: Minimisers that a task counts at once, and split windows whose first place it remembers.
+COUNTED, RECENT = 1 << 20, 1 << 16
 #: Buckets for each shuffle partition at least, and packed strings (some 170 bytes each) for each bucket at most, about.
 BUCKETS, BUCKET_STRINGS = 2, 1 << 17
 _TO_SPACE = bytes.maketrans(SPACES, b" " * len(SPACES))
@@ -74,8 +77,8 @@ def _runs(rows, window: int, gram: int):
                 carry = words
 
 
-def _flushes(batches):
-    """Lists of ``(key, number, text)`` in the order of keys, of about FLUSH bytes each; a null key counts as the largest."""
+def _flushes(batches, most: int):
+    """Lists of ``(key, number, text)`` in the order of keys, of about so many bytes each; a null key counts as the largest."""
     forget()
     rows, size = [], 0
     for batch in batches:
@@ -83,7 +86,7 @@ def _flushes(batches):
             t = t.as_py() or ""
             rows.append((_LAST if k is None else k, n, t))
             size += len(t)
-            if size >= FLUSH:
+            if size >= most:
                 yield sorted(rows)
                 rows, size = [], 0
     if rows:
@@ -127,50 +130,75 @@ def merged(key: np.ndarray, number: np.ndarray, start: np.ndarray, windows: np.n
     return k[cut], d[cut], s[cut], reach[last] - shift[last] - s[cut]
 
 
-def heavy_minimisers(df: DataFrame, window: int, gram: int) -> tuple[np.ndarray, int]:
-    """Minimisers that lead a large share of the packed strings, at most HEAVY of them, and the number of strings.
+def heavy_slots(df: DataFrame, window: int, gram: int) -> tuple[np.ndarray, int]:
+    """A bit for each slot of minimisers, set if its strings are to be split, and the number of all strings.
 
-    It decides how work is dealt, never a result.
+    Every string is counted, and what reaches the driver are the split slots. The bits take SLOTS / 8
+    bytes at any size of the input. They decide how work is dealt, never a result.
     """
 
     def count(batches):
-        for rows in _flushes(batches):
-            found = [np.zeros(0, np.uint64)]
+        held, size = [], 0
+
+        def flush():
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n, pa.int64())], ["slot", "n"])
+
+        for rows in _flushes(batches, FLUSH):
             for *_, (mins, _, _) in _runs(rows, window, gram):
-                found.append(mins)
-            mins, n = np.unique(np.concatenate(found), return_counts=True)
-            total = int(n.sum())
-            big = n >= max(8, total // HEAVY)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(mins[big].view(np.int64), 0), pa.int64()), pa.array(np.append(n[big], 0), pa.int64()), pa.array([0] * int(big.sum()) + [total], pa.int64())], ["m", "n", "total"])
+                held.append((mins % np.uint64(SLOTS)).astype(np.int32))
+                size += len(mins)
+            if size > COUNTED:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    seen = staged(df.mapInArrow(count, "m bigint, n bigint, total bigint").groupBy("m").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "superkmer-heavy")
-    total = seen.agg(F.sum("total")).first()[0] or 0
-    rows = seen.where(F.col("n") >= max(64, total // HEAVY)).select("m").collect()  # HEAVY at most: each holds 1 / HEAVY of the total
-    return np.sort(np.array([r.m for r in rows], np.int64).view(np.uint64)), total
+    seen = staged(df.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "superkmer-slots")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    most = max(64, min(total // HEAVY, BUCKET_STRINGS // 2))
+    bits = np.zeros(SLOTS, bool)
+    bits[seen.where(F.col("n") >= most).select("slot").toArrow()["slot"].to_numpy()] = True  # SLOTS numbers at most
+    discard(seen)
+    return np.packbits(bits), total
 
 
-def packed(df: DataFrame, window: int, gram: int, buckets: int, heavy: np.ndarray) -> DataFrame:
+def _is_set(bits: np.ndarray, mins: np.ndarray) -> np.ndarray:
+    slot = mins % np.uint64(8 * len(bits))
+    return (bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def packed(df: DataFrame, window: int, gram: int, buckets: int, heavy: np.ndarray, flush: int = FLUSH) -> DataFrame:
     """``(bucket int, done boolean, blob binary)``: each flush sends a bucket one blob; equal strings of a flush go once.
 
+    A split window that the task sent before goes again only if it stands earlier now, so a passage of
+    many copies costs its bucket a few strings a task, however many flushes that task has.
+
     The copies that are not the first need no comparison any more; they travel as merged runs, without
     their strings, to the bucket of their document.
     """
 
+    shared = df.sparkSession.sparkContext.broadcast(heavy)
+
     def out(batches):
-        for rows in _flushes(batches):
+        recent: dict[bytes, tuple[int, int, int]] = {}
+        for rows in _flushes(batches, flush):
             seen: dict[bytes, tuple[int, int, int]] = {}
+            if len(recent) > RECENT:
+                recent.clear()
             sent: dict[int, list] = {}
             done: list[tuple[int, int, int, int]] = []
             for key, number, first, words, (mins, lo, hi) in _runs(rows, window, gram):
-                hot = np.isin(mins, heavy) if len(heavy) else np.zeros(len(mins), bool)
+                hot = _is_set(shared.value, mins)
                 for m, a, b, split in zip((mins % np.uint64(buckets)).tolist(), lo.tolist(), hi.tolist(), hot.tolist(), strict=True):
                     for i, j in [(x, x + 1) for x in range(a, b)] if split else ((a, b),):
                         s = b" ".join(words[i : j + window - 1])
-                        place = seen.get(s)
-                        if place is None:
-                            seen[s] = (key, number, first + i)
+                        here, met = (key, number, first + i), recent if split else seen
+                        place = met.get(s)
+                        if place is None or here < place:
+                            met[s] = here
                             sent.setdefault(xxhash.xxh64_intdigest(s) % buckets if split else m, []).append((key, number, first + i, j - i, s))
-                        elif place != (key, number, first + i):  # else a repeated row
+                        elif place != here:  # else a repeated row
                             done.append((key, number, first + i, j - i))
             blobs = [(b, False, _blob(x)) for b, x in sent.items()]
             blobs += [(b, True, x) for b, x in _by_document(np.array(done, np.int64).reshape(-1, 4).T, buckets)]
@@ -275,7 +303,7 @@ def number_of(text) -> F.Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, flush: int = FLUSH) -> DataFrame:
     """``(key, number, runs array<struct<start,end>>)``: the words of each document that are in a window whose word sequence also starts earlier.
 
     Earlier is: at a smaller key, among rows of one key at a smaller ``number_of`` their text, or earlier in
@@ -286,9 +314,9 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", win
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("bigint").alias("k"), number_of(F.col(text)).alias("d"), F.col(text).alias("t"))
-    heavy, strings = heavy_minimisers(rows, window, gram)
+    heavy, strings = heavy_slots(rows, window, gram)
     buckets = buckets or max(parts * BUCKETS, strings // BUCKET_STRINGS)
-    sent = packed(rows, window, gram, buckets, heavy)
+    sent = packed(rows, window, gram, buckets, heavy, flush)
 
     def find(batches):
         bucket, blobs, found, held = None, [], [], 0
@@ -372,7 +400,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     Words are runs of bytes other than white space; null and empty texts have none. A repeated row is
     treated as the row that it repeats. Rows of one key with different texts are documents of their own;
     the one whose text has the smaller hash counts as earlier. A null key counts as the largest.
-    Keys are integers. Columns of ``df`` that are named like the new ones are replaced. An empty
+    Keys are integers. Columns of ``df`` that are named like the new ones, in any case, are replaced. An empty
     table gives no rows.
     """
     p = prefix(df)
@@ -381,4 +409,5 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     # called nondeterministic, so that a filter on its results doesn't evaluate it a second time, in a second worker
     cut = arrow_udf(_kept, "struct<n_words:bigint,n_removed:bigint,kept:string>").asNondeterministic()
     both = both.withColumn(f"{p}out", cut(F.col(text), F.col(f"{p}runs")))
-    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"{p}out.{c}").alias(new) for c, new in zip(("n_words", "n_removed", "kept"), names, strict=True)])
+    taken = {n.lower() for n in names}
+    return both.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[F.col(f"{p}out.{c}").alias(new) for c, new in zip(("n_words", "n_removed", "kept"), names, strict=True)])
