@@ -58,19 +58,26 @@ def _names(column) -> F.Column:
 
 def graph_faqs(doc: DataFrame) -> DataFrame:
     """``(ord, terms, tags, question, alternates)`` of a graph document, as the analyzer reads it."""
-    rows = doc.select(F.posexplode("faqs").alias("ord", "x"))
+    rows = faq.elements(doc, "faqs").withColumnRenamed("no", "ord")
     alts = F.transform(F.coalesce("x.alternateQuestions", F.array().cast("array<struct<question:string,tags:array<string>,terms:array<string>>>")), lambda a: F.struct(a.question.alias("question"), _names(a.tags).alias("tags")))
     return rows.select(F.col("ord").cast("long").alias("ord"), _names(F.col("x.terms")).alias("terms"), _names(F.col("x.tags")).alias("tags"), F.col("x.question").alias("question"), alts.alias("alternates"))
 
 
+#: More than a document has FAQs.
+AFTER = 1 << 48
+
+
 def graph_unmapped(doc: DataFrame) -> DataFrame:
     """``(ord, terms)`` of the document's paths without questions; they come after its FAQs."""
-    rows = doc.select(F.size(F.coalesce("faqs", F.array())).alias("n"), F.posexplode("unmappedpath").alias("i", "x"))
-    return rows.select((F.col("n") + F.col("i")).cast("long").alias("ord"), _names(F.col("x.terms")).alias("terms"))
+    if "section" in doc.columns:
+        rows = faq.elements(doc, "unmappedpath").select((F.col("no") + AFTER).alias("ord"), "x")
+    else:
+        rows = doc.select(F.size(F.coalesce("faqs", F.array())).alias("n"), F.posexplode("unmappedpath").alias("i", "x")).select((F.col("n") + F.col("i")).cast("long").alias("ord"), "x")
+    return rows.select("ord", _names(F.col("x.terms")).alias("terms"))
 
 
 def analyze_graph(doc: DataFrame, stop=None, lang: str = "en", limits: dict[str, int] | None = None) -> DataFrame:
-    """Issues of a graph document (see ``read_json``), with the columns that order the report; its own stop words hold unless some are given."""
+    """Issues of a graph document (see ``read_json`` and ``read_elements``), with the columns that order the report; its own stop words hold unless some are given."""
     stop = faq.analyzer_stop_words(doc, lang) if stop is None else stop
     return analyze.issues(graph_faqs(doc), stop, faq.graph_synonyms(doc), graph_unmapped(doc), limits)
 
@@ -112,7 +119,7 @@ def main(argv=None) -> None:
     spark = SparkSession.builder.appName("topicloom").getOrCreate()
     log.info("%s of %s", args.program, args.path)
     if args.program == "graph":
-        doc = faq.read_json(spark, args.path) if args.type == "json_export" else None
+        doc = faq.read_elements(spark, args.path) if args.type == "json_export" else None
         rows = None if doc is not None else faq.csv_rows(spark, args.path)
         asked = faq.read(spark, args.type, args.path, args.language)
         stop = faq.json_stop_words(doc, args.language) if doc is not None else faq.csv_stop_words(rows, args.language) if args.type == "csv_export" else lexicon.stop_words(args.language)
@@ -130,10 +137,10 @@ def main(argv=None) -> None:
             sinks.write_report(analyze.issues(own, (), table), args.analyze, args.language)
     elif args.program == "analyze":
         limits = {k: int(v) for k, _, v in (x.partition("=") for x in args.limit)}
-        sinks.write_report(analyze_graph(faq.read_json(spark, args.path), lang=args.language, limits=limits), args.report, args.language)
+        sinks.write_report(analyze_graph(faq.read_elements(spark, args.path), lang=args.language, limits=limits), args.report, args.language)
     else:
-        doc = faq.read_json(spark, args.path)
-        faqs = doc.select(F.posexplode("faqs").alias("ord", "x")).select("ord", F.col("x.answer")[0]["text"].alias("answer"), *[F.coalesce(f"x.{c}", F.array().cast("array<string>")).alias(c) for c in ("terms", "tags")])
+        doc = faq.read_elements(spark, args.path)
+        faqs = faq.elements(doc, "faqs").select(F.col("no").alias("ord"), F.col("x.answer")[0]["text"].alias("answer"), *[F.coalesce(f"x.{c}", F.array().cast("array<string>")).alias(c) for c in ("terms", "tags")])
         if args.documents and not args.extract:
             p.error("--documents needs --extract")
         if args.documents:

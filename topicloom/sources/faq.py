@@ -6,10 +6,11 @@ import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.functions import lexicon, text
 from topicloom.operators import scans
-from topicloom.sources import splits
+from topicloom.sources import documents, splits
 
 ANSWER = "struct<text:string,type:string,channel:string>"
 JSON_SCHEMA = (
@@ -20,10 +21,41 @@ JSON_SCHEMA = (
 FIRST_ID = 10001
 
 
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON export as the elements of its lists and objects, ``(no, section, text)``. Many tasks read a large document."""
+    return documents.json_elements(spark, path)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON export as one row, for small ones; what takes the rows of ``read_elements`` takes this too."""
     return spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
 
 
+def _kind(name: str):
+    return T.StructType.fromDDL(JSON_SCHEMA)[name].dataType
+
+
+def elements(doc: DataFrame, name: str) -> DataFrame:
+    """``(no, x)``: the elements of a list of an export, of ``read_elements`` or as one row; ``no`` orders them."""
+    if "section" not in doc.columns:
+        return doc.select(F.posexplode(name).alias("no", "x"))
+    return doc.where(F.col("section") == name).select("no", F.from_json("text", _kind(name).elementType).alias("x"))
+
+
+def members(doc: DataFrame, name: str) -> DataFrame:
+    """``(x)``: an object of an export, in parts of a member each if it comes of ``read_elements``."""
+    if "section" not in doc.columns:
+        return doc.select(F.col(name).alias("x"))
+    whole = F.concat(F.lit("{"), "text", F.lit("}"))
+    return doc.where(F.col("section") == name).select(F.from_json(whole, _kind(name)).alias("x"))
+
+
+def _listed(doc: DataFrame) -> list[str]:
+    """The stop words that an export lists."""
+    found = members(doc, "kgParams").select("x.stopWords").where("stopWords is not null").first()
+    return [*found.stopWords] if found else []
+
+
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """``(row_no, cells)`` of headerless CSV files: ragged, blank and multi-line rows kept, in order. Many tasks read a large file."""
     return splits.csv_rows(spark, path)
@@ -48,7 +80,7 @@ def _questions(rows: DataFrame, lang: str) -> DataFrame:
 
 def from_json(doc: DataFrame, lang: str = "en") -> DataFrame:
     """Questions of a JSON export; a primary is followed by its alternates. ``ord`` is struct(FAQ, place in it)."""
-    faqs = doc.select(F.posexplode("faqs").alias("f", "x"))
+    faqs = elements(doc, "faqs").withColumnRenamed("no", "f")
     rows = faqs.select("f", "x", F.posexplode(F.concat(F.array("x.question"), F.coalesce(F.col("x.alternateQuestions.question"), F.array().cast("array<string>")))).alias("a", "question"))
     of_first = lambda c: F.when(F.col("a") == 0, F.col(c))
     own = rows.select(
@@ -96,20 +128,18 @@ def csv_stop_words(rows: DataFrame, lang: str = "en") -> list[str]:
 
 
 def json_stop_words(doc: DataFrame, lang: str = "en") -> list[str]:
-    found = doc.select(F.col("kgParams.stopWords").alias("w")).first()
-    return lexicon.stop_words(lang, [*(found.w or [])] if found else None)
+    return lexicon.stop_words(lang, _listed(doc))
 
 
 def analyzer_stop_words(doc: DataFrame, lang: str = "en") -> list[str]:
     """The stop words of a graph document alone: none if it lists none, none for ``kk``; ``en_kore`` adds question words."""
-    found = doc.select(F.col("kgParams.stopWords").alias("w")).first()
-    own = {*(found.w or [])} if found and lang != "kk" else set()
+    own = {*_listed(doc)} if lang != "kk" else set()
     return sorted(own | ({*lexicon.QUESTION_WORDS} if lang == "en_kore" else set()))
 
 
 def graph_synonyms(doc: DataFrame) -> DataFrame:
     """``(term, synonyms)`` of a JSON export."""
-    return doc.select(F.explode("synonyms").alias("term", "synonyms"))
+    return members(doc, "synonyms").select(F.explode("x").alias("term", "synonyms"))
 
 
 def synonym_file(rows: DataFrame) -> DataFrame:
@@ -123,7 +153,7 @@ def from_table(df: DataFrame, question: str, answer: str, key: str, lang: str =
     return df.select(k.alias("q_id"), k.alias("ord"), k.alias("primary_id"), F.lit(True).alias("is_primary"), F.col(question).alias("question"), text.normalize(F.col(question), lang).alias("normalized"), _answer(F.col(answer)).alias("answer"), F.lit(None).cast(f"array<array<{ANSWER}>>").alias("sub_answers"), F.lit("message").alias("response_type"))
 
 
-SOURCES = {"json_export": lambda s, p, lang: from_json(read_json(s, p), lang), "csv": lambda s, p, lang: from_csv(csv_rows(s, p), lang), "csv_export": lambda s, p, lang: from_csv_export(csv_rows(s, p), lang)}
+SOURCES = {"json_export": lambda s, p, lang: from_json(read_elements(s, p), lang), "csv": lambda s, p, lang: from_csv(csv_rows(s, p), lang), "csv_export": lambda s, p, lang: from_csv_export(csv_rows(s, p), lang)}
 
 
 def read(spark: SparkSession, kind: str, path: str, lang: str = "en") -> DataFrame:
