@@ -38,6 +38,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, as it was: five-word shingles, similarity 0.8 or more, verified.
 
+    SimHash fingerprints and anchor covering give candidates; prefix filtering adds those that are similar but
+    have other fingerprints, so none is missed.
     The row of the smallest id stays; rows are told apart by a number of their own, so null and repeated
     ids lose nothing. Null, empty and wordless texts are copies of each other. Columns of any names pass.
     No documents give none.

@@ -43,3 +43,24 @@ def test_word_vectors_are_trained_by_the_whole_cluster(spark, monkeypatch):
     rows = spark.createDataFrame([("one two three",), ("two three four",)], "text string").repartition(2)
     monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda self: 7))
     assert {len(x.vector) for x in synonyms.train_vectors(rows, size=4).collect()} == {4} and used == [7]
+
+
+def test_pipeline_near_stage_links_by_fingerprints(spark, monkeypatch):
+    """SimHash alone finds copies of few changed bits, and whole texts verify what it finds."""
+    import corpus_pipeline
+
+    from topicloom.llm import near, simhash
+
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join(words).upper(), " ".join([*words, "x"]), " ".join(f"v{i}" for i in range(300))]
+    assert 0 < (simhash.fingerprint(texts[0], 5) ^ simhash.fingerprint(texts[2], 5)).bit_count() <= 3
+    df = spark.createDataFrame([*enumerate(texts), (9, None), (10, " ")], "doc_id long, text string")
+    shared = near._shared
+    monkeypatch.setattr(near, "_shared", lambda tokens: shared(tokens).where("false"))  # without prefix filtering
+    got = lambda: sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect())
+    assert got() == [0, 3, 9]
+    every = lambda prints, column: prints.select(prints[column].alias("a")).distinct().crossJoin(prints.select(prints[column].alias("b")).distinct()).where("a < b")
+    monkeypatch.setattr(simhash, "links", lambda prints, column="simhash", **b: every(prints, column))
+    assert got() == [0, 3, 9]
+    monkeypatch.setattr(simhash, "links", lambda prints, column="simhash", **b: every(prints, column).where("false"))
+    assert got() == [0, 2, 3, 9]

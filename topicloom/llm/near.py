@@ -1,9 +1,11 @@
-"""Near-dedup by similarity of shingle sets, with prefix filtering.
-
-Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Under
-any one order of all shingles, the sets of such a pair share a shingle among the first n - ceil(0.8 n) + 1
-of either, so comparing the documents that share one finds every link. The order puts shingles that lead
-many documents last and is else that of their hashes. Candidates are verified on their whole texts.
+"""Near-dedup by SimHash, with a verified similarity of shingle sets and an exact way for what fingerprints miss.
+
+Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Texts whose
+SimHash fingerprints of these shingles differ in few bits are candidates; anchor covering finds them. Not
+all similar texts have such fingerprints. The rest comes from prefix filtering: under any one order of all
+shingles, the sets of a similar pair share a shingle among the first n - ceil(0.8 n) + 1 of either, so
+comparing the documents that share one finds every link. The order puts shingles that lead many documents
+last and is else that of their hashes. All candidates are verified on their whole texts.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from topicloom.llm import simhash
 from topicloom.llm.common import bounded_batches, components, discard, forget, prefix, staged
 from topicloom.llm.simhash import _TABLE
 from topicloom.llm.substrings import _MIX, _mixed
@@ -185,6 +188,19 @@ def _alike(a: str, b: str) -> F.Column:
     return (DOWN - UP) * (F.col(f"{a}.n") + F.col(f"{b}.n")) >= (UP + DOWN) * apart
 
 
+def _by_fingerprints(rows: DataFrame) -> DataFrame:
+    """Candidates ``(a long, b long)``: rows of one SimHash fingerprint with the first of them, and first rows of fingerprints that are linked."""
+    prints = staged(simhash.with_fingerprints(rows, "text", "print", SHINGLE).select("row", "print"), "near-prints")
+    least = staged(prints.groupBy("print").agg(F.min("row").alias("least"), F.count("*").alias("c")), "near-first-rows")
+    same = prints.join(least.where("c > 1"), "print").where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    of = lambda c: least.select(F.col("print").alias(c), F.col("least").alias(f"{c}_row"))
+    met = simhash.links(prints, column="print").join(of("a"), "a").join(of("b"), "b")
+    out = staged(same.unionByName(met.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b"))), "near-candidates")
+    discard(prints)
+    discard(least)
+    return out
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
     """Those of ``pairs(a long, b long)`` whose whole texts are similar."""
 
@@ -204,16 +220,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
 def links(rows: DataFrame) -> DataFrame:
     """Links ``(a long, b long)`` between rows of ``rows(row long, text)``, enough of them to connect all that are similar.
 
-    First each row is compared with two rows of those that share a leading shingle with it. Then all pairs
+    First each row is compared with those that its fingerprint is near to, and with two rows of those that share a
+    leading shingle with it. Then all pairs
     that share one, are not yet connected and can be similar by places, sizes and sketches are compared, so a
     large group of copies costs few comparisons, and one of unlike texts too.
     """
+    near = _by_fingerprints(rows)
     written = staged(_shared(_tokens(rows, _heavy(rows))), "near-shared")
     place = lambda i: F.struct(F.col(f"row{i}").alias("row"), F.col(f"n{i}").alias("n"), F.col(f"at{i}").alias("at"))
     shared = written.withColumns({"lo": place(0), "hi": place(1)})
     x = shared.select("token", F.struct("row", "n", "at").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
     pair = [F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")]
-    first = _verified(x.where((F.col("x.row") != F.col("y.row")) & _fits("x", "y")).select(*pair), rows, "near-first")
+    first = _verified(near.unionByName(x.where((F.col("x.row") != F.col("y.row")) & _fits("x", "y")).select(*pair)), rows, "near-first")
+    discard(near)
     found = staged(components(first, "near-first"), "near-connected")
     x = shared.select("token", F.struct("row", "n", "at").alias("x")).join(found, F.col("x.row") == F.col("node"), "left")
     # pairs within a component need no comparison, so only tokens of several components stay
