@@ -64,3 +64,28 @@ def test_pipeline_near_stage_links_by_fingerprints(spark, monkeypatch):
     assert got() == [0, 3, 9]
     monkeypatch.setattr(simhash, "links", lambda prints, column="simhash", **b: every(prints, column).where("false"))
     assert got() == [0, 2, 3, 9]
+
+
+def test_equal_questions_are_mined_and_assigned_once(spark):
+    from pyspark.sql import functions as F
+
+    from topicloom.functions import text
+    from topicloom.operators import assign, grams
+
+    asked = ["How do I pay the red ring?", "how do i pay the red ring", "red ring price", "red ring price", "red ring price", "Pay", None, None, "", "the blue ring price"]
+    q = spark.createDataFrame([(40 - i if i % 3 else 100 + i, a) for i, a in enumerate(asked * 3)], "q_id long, question string").withColumn("normalized", text.normalize(F.col("question")))
+    stop = ["how", "do", "i", "the"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    counts = grams.count(grams.mine(q, stop))
+    assert rows(grams.statistics(q, stop)) == rows(counts) and counts.where("kind = 'phrase' and cnt > 2").count() > 1
+    got = assign.assign(q, counts, stop, "R")
+    alone = {a: assign.assign(spark.createDataFrame([(1, a)], "q_id long, question string").withColumn("normalized", text.normalize(F.col("question"))), counts, stop, "R").first() for a in dict.fromkeys(asked)}
+    assert sorted(r.q_id for r in got.collect()) == sorted(r.q_id for r in q.collect())
+    own = {r.q_id: alone[r.question] for r in q.collect()}
+    assert all((r.terms, r.tags) == (own[r.q_id].terms, own[r.q_id].tags) for r in got.collect()) and len(set(map(str, alone.values()))) > 3
+
+
+def test_rows_of_a_small_file_go_to_all_cores(spark):
+    from topicloom import queries
+
+    assert queries.part_faqs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

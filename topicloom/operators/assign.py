@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text
 from topicloom.operators import grams
+from topicloom.store import spread
 
 ROOT = "Auto Ontology"
 MASK = "~~~~"
@@ -32,6 +33,8 @@ def model(counts: DataFrame, stop) -> DataFrame:
 def assign(questions: DataFrame, counts: DataFrame, stop, root: str = ROOT) -> DataFrame:
     """``(q_id, terms, tags)`` for ``questions(q_id, question, normalized)``; terms are leaf first, root last.
 
+    Equal questions get their path once, which is then joined to each. ``questions`` are read three times, so
+    stage them where they are dear.
     ``counts`` are term statistics or the ``model`` made of them. Terms that can match a question are found
     by an equi-join on its n-grams, so each question folds over its own few candidates: in order of kind,
     count and first appearance, each that still stands in the text is taken and masked. A verb that is left
@@ -42,9 +45,11 @@ def assign(questions: DataFrame, counts: DataFrame, stop, root: str = ROOT) -> D
     place = terms.schema["f"].dataType.simpleString()
     doc = text.words(F.col("normalized"))
     asked = "words" if "words" in questions.columns else "question"  # words apart, where a script has no spaces
-    held = questions.select("q_id", F.explode(F.array_distinct(text.ngrams_up_to(doc, 3))).alias("term")).join(terms, "term")
-    own = held.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("k", "c", "f", "term", "sort_cnt"))).alias("cands"))
-    base = questions.join(own, "q_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast(f"array<struct<k:int,c:bigint,f:{place},term:string,sort_cnt:bigint>>")))
+    keys = ["normalized", asked]
+    texts = spread(questions.select(*keys).distinct(), "normalized")
+    held = spread(questions.select("normalized").distinct(), "normalized").select("normalized", F.explode(F.array_distinct(text.ngrams_up_to(doc, 3))).alias("term")).join(terms, "term")
+    own = held.groupBy("normalized").agg(F.array_sort(F.collect_list(F.struct("k", "c", "f", "term", "sort_cnt"))).alias("cands"))
+    base = texts.join(own, "normalized", "left").withColumn("cands", F.coalesce("cands", F.array().cast(f"array<struct<k:int,c:bigint,f:{place},term:string,sort_cnt:bigint>>")))
     start = F.struct(text.padded(F.array_join(doc, " ")).alias("d"), F.array().cast("array<struct<sort_cnt:bigint,i:int,term:string>>").alias("h"))
 
     def step(acc, t):
@@ -56,4 +61,6 @@ def assign(questions: DataFrame, counts: DataFrame, stop, root: str = ROOT) -> D
     tag = F.when(F.size(verbs) > 0, F.element_at(verbs, -1).term).when(F.size("s.h") == 0, text.single_word_tag(F.col(asked), stop))
     left = F.filter("s.h", lambda t: ~F.exists("s.h", lambda u: (u.term != t.term) & F.contains(u.term, t.term)))
     path = F.concat(F.transform(F.array_sort(left), lambda t: t.term), F.array(F.lit(root)))
-    return folded.select("q_id", path.alias("terms"), F.when(tag.isNotNull(), F.array(tag)).otherwise(F.array().cast("array<string>")).alias("tags"))
+    found = folded.select(*[F.col(k).alias(f"_{k}") for k in keys], path.alias("terms"), F.when(tag.isNotNull(), F.array(tag)).otherwise(F.array().cast("array<string>")).alias("tags"))
+    same = F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}")) & F.col(keys[1]).eqNullSafe(F.col(f"_{keys[1]}"))
+    return questions.select("q_id", *keys).join(found, same).select("q_id", "terms", "tags")

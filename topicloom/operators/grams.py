@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import lexicon, text
+from topicloom.store import spread, staged
 
 MIN_PHRASE, MIN_UNIGRAM, MIN_VERB = 2, 5, 1
 #: Where a term stands: question, chunk, trigrams (0) before bigrams (1), place. Orders as Spark orders structs.
@@ -17,20 +18,20 @@ def forms_of(verbs) -> dict[str, str]:
     return dict(verbs) if isinstance(verbs, dict) else {v: v for v in verbs}
 
 
-def cut_chunks(questions: DataFrame, stop, verbs) -> DataFrame:
-    """``(q_id, c, chunk array<string>)``: runs of words between stop words, verb forms and marks."""
+def cut_chunks(questions: DataFrame, stop, verbs, *more: str) -> DataFrame:
+    """``(q_id, c, chunk array<string>)``, and the columns of ``more``: runs of words between stop words, verb forms and marks."""
     cut = text.chunks(text.words(F.col("normalized")), [*stop, *verbs])
-    return questions.select("q_id", F.posexplode(cut).alias("c", "chunk"))
+    return questions.select("q_id", *more, F.posexplode(cut).alias("c", "chunk"))
 
 
-def tag_verbs(questions: DataFrame, stop, verbs) -> DataFrame:
-    """``(q_id, i, term)``: bases of the verbs and of phrases of adverbs and a verb, without stop words and single letters."""
+def tag_verbs(questions: DataFrame, stop, verbs, *more: str) -> DataFrame:
+    """``(q_id, i, term)``, and the columns of ``more``: bases of the verbs and of phrases of adverbs and a verb, without stop words and single letters."""
     forms = forms_of(verbs)
     if not forms:
-        return questions.select("q_id", F.lit(0).alias("i"), F.lit("").alias("term")).limit(0)
-    found = questions.select("q_id", F.inline(text.verb_words(text.words(F.col("normalized")), forms)))
+        return questions.select("q_id", *more, F.lit(0).alias("i"), F.lit("").alias("term")).limit(0)
+    found = questions.select("q_id", *more, F.inline(text.verb_words(text.words(F.col("normalized")), forms)))
     bases = found.sparkSession.createDataFrame([*forms.items()], "term string, base string")
-    based = found.join(F.broadcast(bases), "term", "left").select("q_id", "i", F.coalesce("base", "term").alias("term"))  # the caller's word table, no data
+    based = found.join(F.broadcast(bases), "term", "left").select("q_id", *more, "i", F.coalesce("base", "term").alias("term"))  # the caller's word table, no data
     return based.where(~text.among(F.col("term"), [*stop]) & (F.length("term") > 1))
 
 
@@ -39,22 +40,36 @@ def mine(questions: DataFrame, stop, verbs=None, chunker=None, tagger=None) -> D
 
     ``ord`` tells where they stand (``PLACE``). ``chunker`` takes the questions to rows ``(q_id, c, chunk
     array<string>)`` and ``tagger`` to ``(q_id, i, term)``: any DataFrame function, so also ``mapInArrow`` or
-    ``mapInPandas`` around a language model. By default chunks end at stop words, verbs and marks.
+    ``mapInPandas`` around a language model. By default chunks end at stop words, verbs and marks, and a column
+    ``_n`` of the questions, how many times each is asked, goes with their occurrences.
     """
     verbs = forms_of(lexicon.verb_table() if verbs is None else verbs)
-    chunked = chunker(questions) if chunker else cut_chunks(questions, stop, verbs)
-    chunked = chunked.select("q_id", "c", F.filter("chunk", lambda w: ~text.among(w, [*stop])).alias("chunk"))
+    more = ["_n"] if "_n" in questions.columns and not chunker and not tagger else []
+    chunked = chunker(questions) if chunker else cut_chunks(questions, stop, verbs, *more)
+    chunked = chunked.select("q_id", *more, "c", F.filter("chunk", lambda w: ~text.among(w, [*stop])).alias("chunk"))
     at = lambda c, k, i: F.struct(F.col("q_id").cast("bigint").alias("q"), c.cast("int").alias("c"), F.lit(k).alias("k"), i.cast("int").alias("i"))
     grams = lambda kind, n, k: F.transform(text.ngrams(F.col("chunk"), n), lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), at(F.col("c"), k, i).alias("ord")))
-    rows = chunked.select(F.inline(F.concat(grams("phrase", 3, 0), grams("phrase", 2, 1), grams("unigram", 1, 0))))
-    spoken = tagger(questions) if tagger else tag_verbs(questions, stop, verbs)
-    spoken = spoken.select(F.lit("verb").alias("kind"), "term", at(F.lit(0), 0, F.col("i")).alias("ord"))
+    rows = chunked.select(*more, F.inline(F.concat(grams("phrase", 3, 0), grams("phrase", 2, 1), grams("unigram", 1, 0))))
+    spoken = tagger(questions) if tagger else tag_verbs(questions, stop, verbs, *more)
+    spoken = spoken.select(*more, F.lit("verb").alias("kind"), "term", at(F.lit(0), 0, F.col("i")).alias("ord"))
     return rows.unionByName(spoken).where((F.col("kind") == "phrase") | (F.length("term") > 1))
 
 
 def count(occurrences: DataFrame) -> DataFrame:
     """``(kind, term, cnt, first_seen)``; occurrences count, not documents."""
-    return occurrences.groupBy("kind", "term").agg(F.count("*").alias("cnt"), F.min("ord").alias("first_seen"))
+    n = F.sum("_n") if "_n" in occurrences.columns else F.count("*")
+    return occurrences.groupBy("kind", "term").agg(n.alias("cnt"), F.min("ord").alias("first_seen"))
+
+
+def statistics(questions: DataFrame, stop, verbs=None, chunker=None, tagger=None) -> DataFrame:
+    """``count`` of ``mine``. Equal normalised questions are mined once: a term of theirs stands first where the first of them is.
+
+    A chunker or a tagger may look at more than that, so they get every question.
+    """
+    if not chunker and not tagger:
+        same = questions.groupBy("normalized").agg(F.min(F.struct("q_id"))["q_id"].alias("q_id"), F.count("*").alias("_n"))
+        questions = staged(spread(same, "normalized"), "questions")
+    return count(mine(questions, stop, verbs, chunker, tagger))
 
 
 def frequent(counts: DataFrame) -> DataFrame:

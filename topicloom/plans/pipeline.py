@@ -18,7 +18,7 @@ log = logging.getLogger("topicloom")
 
 
 def term_statistics(questions: DataFrame, stop, verbs=None, chunker=None, tagger=None) -> DataFrame:
-    return grams.count(grams.mine(questions, stop, verbs, chunker, tagger))
+    return grams.statistics(questions, stop, verbs, chunker, tagger)
 
 
 def lemmatized(questions: DataFrame, stop, table: DataFrame | None = None) -> DataFrame:
@@ -42,6 +42,8 @@ def build_graph(questions: DataFrame, stop=None, strategy: str = "gram_based", c
         questions = store.staged(segment.segmented(questions, None if segments is True else segments), "segmented")
     if noun_lemmas is not False:
         questions = store.staged(lemmatized(questions, stop, None if noun_lemmas is True else noun_lemmas), "lemmatized")
+    if segments is False and noun_lemmas is False:
+        questions = store.staged(questions, "questions")  # read several times
     counts = term_statistics(questions, stop, verbs, chunker, tagger) if counts is None else counts
     terms = store.staged(assign.model(counts, stop), "terms") if "sort_cnt" not in counts.columns else counts
     found = STRATEGIES[strategy](questions, terms, stop)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from topicloom.functions import lexicon, text
 from topicloom.operators import scans
 from topicloom.sources import documents, splits
+from topicloom.store import spread
 
 ANSWER = "struct<text:string,type:string,channel:string>"
 JSON_SCHEMA = (
@@ -148,9 +149,9 @@ def synonym_file(rows: DataFrame) -> DataFrame:
 
 
 def from_table(df: DataFrame, question: str, answer: str, key: str, lang: str = "en") -> DataFrame:
-    """Any table as FAQs: the key serves as id and order, so nothing is sorted in one place."""
+    """Any table as FAQs: the key serves as id and order, so nothing is sorted in one place. Rows are dealt to all cores before their texts are normalised."""
     k = F.col(key).cast("long")
-    return df.select(k.alias("q_id"), k.alias("ord"), k.alias("primary_id"), F.lit(True).alias("is_primary"), F.col(question).alias("question"), text.normalize(F.col(question), lang).alias("normalized"), _answer(F.col(answer)).alias("answer"), F.lit(None).cast(f"array<array<{ANSWER}>>").alias("sub_answers"), F.lit("message").alias("response_type"))
+    return spread(df, key).select(k.alias("q_id"), k.alias("ord"), k.alias("primary_id"), F.lit(True).alias("is_primary"), F.col(question).alias("question"), text.normalize(F.col(question), lang).alias("normalized"), _answer(F.col(answer)).alias("answer"), F.lit(None).cast(f"array<array<{ANSWER}>>").alias("sub_answers"), F.lit("message").alias("response_type"))
 
 
 SOURCES = {"json_export": lambda s, p, lang: from_json(read_elements(s, p), lang), "csv": lambda s, p, lang: from_csv(csv_rows(s, p), lang), "csv_export": lambda s, p, lang: from_csv_export(csv_rows(s, p), lang)}
