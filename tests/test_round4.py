@@ -89,3 +89,24 @@ def test_rows_of_a_small_file_go_to_all_cores(spark):
     from topicloom import queries
 
     assert queries.part_faqs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_segmenting_holds_little_at_once(spark, monkeypatch):
+    """A worker turns distinct runs into strings, not each occurrence; slices and bounds change nothing."""
+    from topicloom.operators import segment
+
+    model = spark.createDataFrame([("a", 900), ("b", 900), ("ab", 700), ("c", 2000), ("abc", 1500)], "word string, cost int")
+    texts = ["abcab ab", None, "", "zz abc", "ab " * 50, "cabz" * 20, "-"] * 3
+    lattice = segment._held(model)
+    want = [[w for r in (t or "").replace("-", " ").split() for w in lattice.cut([r])[0]] for t in texts]
+    seen, kept = [], []
+    monkeypatch.setattr(segment, "arrow_udf", lambda f, kind: kept.append(f) or (lambda c: c))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    segment.document_words(docs, model, r"\p{L}")
+    monkeypatch.setattr(segment.Lattice, "cut", lambda self, runs, cut=segment.Lattice.cut: seen.append(len(runs)) or cut(self, runs))
+    lists = pa.array([[r for r in (t or "").replace("-", " ").split()] for t in texts], pa.list_(pa.string()))
+    assert kept[0](lists).to_pylist() == want and seen == [5]
+    for runs, met in ((1, 2), (7, 0), (40, 1 << 16)):
+        monkeypatch.setattr(segment, "RUNS", runs)
+        monkeypatch.setattr(segment, "MET", met)
+        assert kept[0](lists).to_pylist() == want and kept[0](lists.slice(3, 5)).to_pylist() == want[3:8] and kept[0](lists[:0]).to_pylist() == []

@@ -30,7 +30,9 @@ UNKNOWN = 40_000
 #: Thousandths by which a word must cost less than its best cut into others, else it goes: a chance meeting of words is none.
 GAIN = 1500
 #: Cells of the tables of a batch: runs times places.
-CELLS = 1 << 21
+CELLS = 1 << 18
+#: Runs of texts that are looked up at once, and runs whose cuts a worker remembers, none of them longer than so many letters.
+RUNS, MET, SHORT = 1 << 18, 1 << 16, 32
 
 
 def runs(texts: DataFrame, column: str = "text", script: str = UNSPACED) -> DataFrame:
@@ -274,18 +276,40 @@ def segmented(questions: DataFrame, model: DataFrame | None = None, script: str
 def document_words(docs: DataFrame, model: DataFrame, script: str, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``(key, words array<string>)``: the words of the script's runs of each text, in order; other characters only part runs. A null text has none.
 
-    A worker remembers the cuts of runs that it has met, within a bound.
+    Texts stay in Arrow's form: only the distinct runs of some texts become Python strings, and a worker
+    remembers few cuts, so its memory is that of a batch and doesn't grow with the input.
     """
     held = model.sparkSession.sparkContext.broadcast(_held(model))
     met: dict[str, list[str]] = {}
 
-    def cut(column: pa.Array) -> pa.Array:
-        lists = column.to_pylist()
-        if len(met) > 1 << 19:
+    def words_of(known: list[str]) -> pa.Array:
+        """The words of distinct runs."""
+        if len(met) + len(known) > MET:
             met.clear()
-        new = list({r for x in lists if x for r in x if r not in met})
-        met.update(zip(new, held.value.cut(new), strict=True))
-        return pa.array([None if x is None else [w for r in x for w in met[r]] for x in lists], pa.list_(pa.string()))
+        new = [r for r in known if r not in met]
+        own = dict(zip(new, held.value.cut(new), strict=True))
+        out = pa.array([own[r] if r in own else met[r] for r in known], pa.list_(pa.string()))
+        if len(met) + len(own) <= MET:
+            met.update((r, w) for r, w in own.items() if len(r) <= SHORT)
+        return out
+
+    def part(column: pa.Array) -> pa.Array:
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = column.flatten().dictionary_encode()
+        found = words_of(coded.dictionary.to_pylist()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        at = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), found.flatten())
+
+    def cut(column: pa.Array) -> pa.Array:
+        column = column.cast(pa.list_(pa.string()))
+        runs_before = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        parts, lo = [], 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(runs_before, (runs_before[lo - 1] if lo else 0) + RUNS, "right")))
+            parts.append(part(column.slice(lo, hi - lo)))
+            lo = hi
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     found = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), f"[^{script}]+"), lambda r: r != "")
     return docs.select(F.col(key), arrow_udf(cut, "array<string>")(found).alias("words"))
