@@ -110,3 +110,22 @@ def test_segmenting_holds_little_at_once(spark, monkeypatch):
         monkeypatch.setattr(segment, "RUNS", runs)
         monkeypatch.setattr(segment, "MET", met)
         assert kept[0](lists).to_pylist() == want and kept[0](lists.slice(3, 5)).to_pylist() == want[3:8] and kept[0](lists[:0]).to_pylist() == []
+
+
+def test_contractions_are_expanded_again_only_where_an_apostrophe_is_left(spark, monkeypatch):
+    from topicloom.functions import lexicon, text
+
+    rows = spark.createDataFrame([("why isn't it?",), ("what's up",), ("plain",), (None,), ("",)], "s string")
+    double = spark.createDataFrame([("she'd've gone",), ("ann's cat isn't here",), ("i couldn't've",)], "s string")
+    got = lambda df: [r[0] for r in df.select(text.expand_contractions(df["s"])).collect()]
+    assert got(double) == ["she would have gone", "ann's cat is not here", "i could not have"]
+
+    class Rounds(dict):
+        met = 0
+
+        def items(self):
+            Rounds.met += 1
+            return super().items() if Rounds.met == 1 else {"(": "no regular expression"}.items()  # fails where it is evaluated
+
+    monkeypatch.setattr(lexicon, "CONTRACTIONS", Rounds(lexicon.CONTRACTIONS))
+    assert got(rows) == ["why is not it?", "what is up", "plain", None, ""] and Rounds.met == 2

@@ -17,16 +17,19 @@ def words_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
+def _expanded_once(text: Column) -> Column:
+    for short, full in lexicon.CONTRACTIONS.items():
+        text = F.regexp_replace(text, rf"\b{short}\b", full)
+    for ending, full in lexicon.ENDINGS.items():
+        text = F.regexp_replace(text, rf"([a-z]){ending}\b", f"$1{full}")
+    return F.regexp_replace(text, rf"\b({'|'.join(lexicon.IS_WORDS)})'s\b", "$1 is")
+
+
 def expand_contractions(text: Column) -> Column:
-    """``isn't`` to ``is not`` and so on in lower-case text, whole words only; twice, for double contractions."""
-    plain = text
-    for _ in range(2):
-        for short, full in lexicon.CONTRACTIONS.items():
-            text = F.regexp_replace(text, rf"\b{short}\b", full)
-        for ending, full in lexicon.ENDINGS.items():
-            text = F.regexp_replace(text, rf"([a-z]){ending}\b", f"$1{full}")
-        text = F.regexp_replace(text, rf"\b({'|'.join(lexicon.IS_WORDS)})'s\b", "$1 is")
-    return F.when(F.contains(plain, F.lit("'")), text).otherwise(plain)
+    """``isn't`` to ``is not`` and so on in lower-case text, whole words only; twice, for double contractions, where an apostrophe is left."""
+    short = lambda t: F.contains(t, F.lit("'"))
+    again = lambda t: F.when(short(t), _expanded_once(t)).otherwise(t)
+    return F.when(short(text), let(_expanded_once(text), again)).otherwise(text)
 
 
 def normalize(text: Column, lang: str = "en") -> Column:
